@@ -141,3 +141,26 @@ def windows(w: Words, size: int) -> tuple[np.ndarray, np.ndarray]:
     for k in range(size):
         out += w.hash[k : k + n] * U64(pow(_R, 2 * k + 1, 1 << 64))
     return mix(out), w.doc[:n] == w.doc[size - 1 :]
+
+
+def segment_hash(buf: np.ndarray, start: np.ndarray, end: np.ndarray, values: np.ndarray = BYTES) -> np.ndarray:
+    """64-bit hashes of byte ranges of one buffer."""
+    power, inverse = _tables(len(buf) + 1)
+    total = np.zeros(len(buf) + 1, U64)
+    np.cumsum(values[buf] * power[: len(buf)], out=total[1:])
+    return mix((total[end] - total[start]) * inverse[start] + (end - start).astype(U64))
+
+
+def copies(doc: np.ndarray, digest: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of items of several texts: how often the item is found in its text, and whether it came before."""
+    if not len(digest):
+        return np.zeros(0, np.int64), np.zeros(0, bool)
+    _, first, inverse, count = np.unique(mix(digest + doc.astype(U64) * U64(_R)), return_index=True, return_inverse=True, return_counts=True)
+    return count[inverse], first[inverse] != np.arange(len(digest))
+
+
+def prefix(flags: np.ndarray) -> np.ndarray:
+    """Running counts with a zero in front: counts of a range are differences."""
+    out = np.zeros(len(flags) + 1, np.int64)
+    np.cumsum(flags, out=out[1:])
+    return out
