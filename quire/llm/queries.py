@@ -14,6 +14,7 @@ from quire.llm.packing import pack
 from quire.llm.quality_classifier import quality
 from quire.llm.quality_rules import quality_rules
 from quire.llm.toxicity import toxicity
+from quire.llm.warc import archive_round_trip
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,6 +38,12 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = archive_round_trip(_table(spark, sf_dir, "pages"))
+    page = lambda c: F.regexp_extract(F.col(c), r"^page-(-?\d+):", 1).try_cast("long")
+    return out.select(page("source").alias("page_id"), "payload_bytes", "payload_digest", "record_type", page("refers_to").alias("refers_to"))
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = pack(_table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
     return out.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
@@ -64,6 +71,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
     "op2_bpe": op2_bpe,
+    "op5_warc": op5_warc,
     "op6_packing": op6_packing,
     "op7_toxicity": op7_toxicity,
     "op8_exact_dedup": op8_exact_dedup,
