@@ -2,7 +2,7 @@
 
 The distinct new words of a chunk are merged together: their symbols lie in one flat array, each
 round looks the adjacent pairs up in the sorted pair keys, and merges in every word its pairs of
-lowest rank.  Words that a worker has met are kept in a bounded table.
+lowest rank.  Words that a worker has met are kept, by 64-bit hash, in bounded arrays.
 """
 
 from __future__ import annotations
@@ -16,13 +16,13 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from quire.llm.textkernel import flat, spans
+from quire.llm.textkernel import BLANK, SPACE_ONLY, flat, spans, words
 
 # Fixed values of the byte-level pre-tokenizer: its pattern, and the bytes that stand for themselves.
 BYTE_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
 
-KEPT_WORDS = 300_000
+KEPT_WORDS = 1_500_000
 _SHIFT = 32
 _NONE = np.iinfo(np.int64).max
 
@@ -59,21 +59,16 @@ class Bpe:
         for token, i in [*vocab.items(), *self.special.items()]:
             self.names[i] = token
         self.bytes_out = {c: b for b, c in enumerate(names)} if (spec["decoder"] or {}).get("type") == "ByteLevel" else None
-        self.known: dict[str, bytes] = {}
+        self.byte_level = self.bytes_out is not None
+        self.space = b" " if self.byte_level else b""
         self._forget()
 
     def _forget(self) -> None:
-        self.known = {token: np.array([i], "<u4").tobytes() for token, i in self.special.items()}
+        """Known units: sorted hashes with each one's number, and the ids of the units by number."""
+        self.hash, self.number = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        self.at, self.ids = np.zeros(1, np.int64), np.zeros(0, "<u4")
 
-    def _pieces(self, text: str) -> list[str]:
-        if self.split_special and "<|" in text:
-            out: list[str] = []
-            for k, part in enumerate(self.split_special.split(text)):
-                out += [part] if k % 2 else self._plain(part)
-            return out
-        return self._plain(text)
-
-    def _plain(self, text: str) -> list[str]:
+    def normal(self, text: str) -> str:
         if not text.isascii():
             if self.nfc:
                 text = unicodedata.normalize("NFC", text)
@@ -81,7 +76,7 @@ class Bpe:
                 text = "".join(map(str.lower, text)) if "Σ" in text else text.lower()  # no final sigma
         elif self.lower:
             text = text.lower()
-        return self.find(text)
+        return text
 
     def merge(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all pieces one after the other, and where each piece's ids begin (with the end)."""
@@ -94,45 +89,100 @@ class Bpe:
         known = symbol >= 0  # a vocabulary without all bytes has no id for some
         symbol, word = symbol[known], word[known]
         done_symbols, done_words = [], []
+        at = np.full(len(symbol), -1)  # each symbol's pair with the next one, in keys
+        rank = np.full(len(symbol), _NONE)
+        look = np.arange(len(symbol))  # pairs to look up: at first all, then those beside a merge
         while len(symbol):
+            look = look[look < len(symbol) - 1]
+            look = look[word[look] == word[look + 1]]
+            key = symbol[look] << _SHIFT | symbol[look + 1]
+            found = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+            hit = self.keys[found] == key
+            at[look], rank[look] = found, np.where(hit, self.ranks[found], _NONE)
             first = np.flatnonzero(np.r_[True, word[1:] != word[:-1]])
-            rank = np.full(len(symbol), _NONE)
-            key = symbol[:-1] << _SHIFT | symbol[1:]
-            at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-            hit = (self.keys[at] == key) & (word[1:] == word[:-1])
-            rank[:-1][hit] = self.ranks[at[hit]]
             lowest = np.repeat(np.minimum.reduceat(rank, first), np.diff(np.r_[first, len(symbol)]))
-            open_ = lowest != _NONE
-            if not open_.all():
-                done_symbols.append(symbol[~open_])
-                done_words.append(word[~open_])
-                if not open_.any():
+            stay = lowest != _NONE
+            if not stay.all():
+                done_symbols.append(symbol[~stay])
+                done_words.append(word[~stay])
+                if not stay.any():
                     break
-            left = (rank == lowest) & open_
-            run = np.arange(len(left)) - np.maximum.accumulate(np.where(left, -1, np.arange(len(left))))
-            left &= run % 2 == 1  # of a, a, a only the first two merge
+            left = (rank == lowest) & stay
             spot = np.flatnonzero(left)
+            if (spot[1:] == spot[:-1] + 1).any():  # of a, a, a only the first two merge
+                run = np.arange(len(left)) - np.maximum.accumulate(np.where(left, -1, np.arange(len(left))))
+                spot = np.flatnonzero(left & (run % 2 == 1))
             symbol[spot] = self.merged[at[spot]]
-            stay = open_
+            fresh = np.zeros(len(symbol), bool)
+            fresh[spot] = True
             stay[spot + 1] = False
-            symbol, word = symbol[stay], word[stay]
+            symbol, word, at, rank, fresh = symbol[stay], word[stay], at[stay], rank[stay], fresh[stay]
+            fresh[:-1] |= fresh[1:]
+            look = np.flatnonzero(fresh)
+            rank[look] = _NONE
         if not done_symbols:
             return np.zeros(0, np.int64), np.zeros(len(pieces) + 1, np.int64)
         symbol, word = np.concatenate(done_symbols), np.concatenate(done_words)
         order = np.argsort(word, kind="stable")
         return symbol[order], np.searchsorted(word[order], np.arange(len(pieces) + 1))
 
+    def whole(self, text: str) -> bytes:
+        """Ids of a text taken as one, with the special tokens that it spells out."""
+        out = []
+        cut = self.split_special.split(text) if self.split_special else [text]
+        for k, part in enumerate(cut):
+            if k % 2:
+                out.append(np.array([self.special[part]]))
+            elif part and (pieces := self.find(self.normal(part))):
+                out.append(self.merge([p.encode() for p in pieces])[0])
+        return np.concatenate(out).astype("<u4").tobytes() if out else b""
+
+    def _learn(self, units: list[bytes], inner: list[bool]) -> None:
+        """Adds the ids of new units; inner ones follow a space, which a byte-level piece takes along."""
+        pieces: list[bytes] = []
+        ends = [0]
+        for raw, follows in zip(units, inner):
+            space = self.space if follows else b""
+            text = raw.decode()
+            if text.isalpha():
+                pieces.append(space + raw)
+            else:
+                pieces += [p.encode() for p in self.find(space.decode() + text)]
+            ends.append(len(pieces))
+        ids, at = self.merge(pieces) if pieces else (np.zeros(0, np.int64), np.zeros(1, np.int64))
+        self.at = np.r_[self.at, self.at[-1] + at[ends][1:]]
+        self.ids = np.r_[self.ids, ids.astype("<u4")]
+
     def encode(self, texts: list[str]) -> list[bytes]:
-        split = [self._pieces(t) for t in texts]
-        if len(self.known) > KEPT_WORDS:
+        """Ids of each text.  What lies between spaces is split and encoded once: no piece reaches over
+        a lone space, but that a byte-level piece takes it along.  Texts with more than lone spaces
+        between words, and those that may spell special tokens, are taken whole."""
+        apart = {k for k, t in enumerate(texts) if "<|" in t or (self.byte_level and ("  " in t or t.endswith(" ")))}
+        raw = [b"" if k in apart else self.normal(t).encode() for k, t in enumerate(texts)]
+        w = words(np.frombuffer(b"".join(raw), np.uint8), np.r_[0, np.cumsum([len(r) for r in raw])].astype(np.int64), blank=SPACE_ONLY if self.byte_level else BLANK)
+        head = (w.start == w.offsets[w.doc]) if self.byte_level else np.zeros(len(w.start), bool)
+        digest, pick, unit = np.unique(np.where(head, ~w.hash, w.hash), return_index=True, return_inverse=True)
+        if len(self.hash) > KEPT_WORDS:
             self._forget()
-        known = self.known
-        new = list({p for pieces in split for p in pieces if p not in known})
-        if new:
-            ids, at = self.merge([p.encode() for p in new])
-            raw, cut = ids.astype("<u4").tobytes(), (at * 4).tolist()
-            known.update(zip(new, (raw[a:b] for a, b in zip(cut, cut[1:]))))
-        return [b"".join(map(known.__getitem__, pieces)) for pieces in split]
+        spot = np.searchsorted(self.hash, digest)
+        new = np.ones(len(digest), bool)
+        new[spot < len(self.hash)] = self.hash[spot[spot < len(self.hash)]] != digest[spot < len(self.hash)]
+        number = np.empty(len(digest), np.int64)
+        number[~new] = self.number[spot[~new]]
+        if new.any():
+            fresh = pick[new]
+            data = w.buf.tobytes()
+            number[new] = np.arange(len(self.at) - 1, len(self.at) - 1 + len(fresh))
+            self._learn([data[a:b] for a, b in zip(w.start[fresh].tolist(), w.end[fresh].tolist())], (~head[fresh]).tolist())
+            keys, numbers = np.r_[self.hash, digest[new]], np.r_[self.number, number[new]]
+            order = np.argsort(keys, kind="stable")
+            self.hash, self.number = keys[order], numbers[order]
+        number = number[unit]
+        begin, size = self.at[number], self.at[number + 1] - self.at[number]
+        to = np.r_[0, np.cumsum(size)]
+        out = self.ids[np.repeat(begin - to[:-1], size) + np.arange(to[-1])].tobytes()
+        cut = (to[w.first()] * 4).tolist()
+        return [self.whole(texts[k]) if k in apart else out[a:b] for k, (a, b) in enumerate(zip(cut, cut[1:]))]
 
     def decode(self, ids: bytes) -> str:
         """The text of ids: names joined by spaces, or bytes put together where the file names a byte-level decoder."""
@@ -152,8 +202,8 @@ def loaded(path: str) -> Bpe:
     return _LOADED[path]
 
 
-def text_slices(batch: pa.RecordBatch, column: str, most: int = 1 << 20) -> Iterator[tuple[int, int, list[str]]]:
-    """(from, to, texts) for ranges of a batch's rows of about a megabyte; null counts as empty."""
+def text_slices(batch: pa.RecordBatch, column: str, most: int = 1 << 21) -> Iterator[tuple[int, int, list[str]]]:
+    """(from, to, texts) for ranges of a batch's rows of about two megabytes; null counts as empty."""
     texts = batch.column(column)
     for a, b in spans(flat(texts)[1], most):
         yield a, b, ["" if t is None else t for t in texts.slice(a, b - a).to_pylist()]

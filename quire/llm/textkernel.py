@@ -15,8 +15,8 @@ import pyarrow.compute as pc
 
 U64 = np.uint64
 CHUNK_BYTES = 1 << 21
-_BLANK = np.zeros(256, bool)
-_BLANK[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
+BLANK = np.zeros(256, bool)
+BLANK[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 _R = 0x9E3779B97F4A7C15
 _RINV = pow(_R, -1, 1 << 64)
 
@@ -103,12 +103,15 @@ def spans(offsets: np.ndarray, most: int = CHUNK_BYTES) -> Iterator[tuple[int, i
         at = min(to, n)
 
 
-def words(buf: np.ndarray, offsets: np.ndarray, values: np.ndarray = BYTES) -> Words:
+SPACE_ONLY = np.arange(256) == 0x20
+
+
+def words(buf: np.ndarray, offsets: np.ndarray, values: np.ndarray = BYTES, blank: np.ndarray = BLANK) -> Words:
     n = len(buf)
     if not n:
         none = np.zeros(0, np.int64)
         return Words(buf, offsets, none, none, none, np.zeros(0, U64))
-    inside = ~_BLANK[buf]
+    inside = ~blank[buf]
     cut = np.zeros(n + 1, bool)
     cut[offsets] = True
     begins = inside.copy()
