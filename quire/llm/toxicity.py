@@ -83,13 +83,14 @@ def scale(rows: np.ndarray) -> np.ndarray:
 
 
 def embed(rows: np.ndarray) -> np.ndarray:
-    """The kernel's features of a few rows, dense."""
-    out = np.zeros((len(rows), LETTERS**3), np.float32)
+    """The kernel's features of a few rows, dense: (subsequence, row)."""
+    out = np.zeros((LETTERS**3, len(rows)), np.float32)
     line = np.arange(len(rows))[:, None]
     for code, weight in codes(rows):
-        np.add.at(out, (np.broadcast_to(line, code.shape), code), np.float32(weight))
-    out[:, 0] = 0
-    return out / scale(rows)[:, None].astype(np.float32)
+        np.add.at(out, (code, np.broadcast_to(line, code.shape)), np.float32(weight))
+    out[0] = 0
+    out /= scale(rows).astype(np.float32)
+    return out
 
 
 def project(rows: np.ndarray, table: np.ndarray) -> np.ndarray:
@@ -181,9 +182,10 @@ def fit(texts: list[str], labels: list[int], share: float, landmarks: int = 400,
     gram = ((rows[:, :-3] * LETTERS + rows[:, 1:-2]) * LETTERS + rows[:, 2:-1]) * LETTERS + rows[:, 3:]
     gram[(rows[:, 3:] == 0) | (rows[:, :-3] == 0)] = 0
     width = LETTERS**4
-    pairs = np.unique(np.repeat(doc, gram.shape[1]) * width + gram[row].ravel())
-    seen = [np.bincount(pairs[label[pairs // width] == v] % width, minlength=width) for v in (0, 1)]
-    odds = np.log((seen[1] + 0.5) / (sum(label) + 1)) - np.log((seen[0] + 0.5) / (len(label) - sum(label) + 1))
+    seen = np.zeros((2, width), np.int32)
+    for v, own in zip(label, np.split(row[np.argsort(doc, kind="stable")], np.cumsum(np.bincount(doc, minlength=len(label)))[:-1])):
+        seen[v, np.unique(gram[own])] += 1
+    odds = (np.log((seen[1] + 0.5) / (sum(label) + 1)) - np.log((seen[0] + 0.5) / (len(label) - sum(label) + 1))).astype(np.float32)
     odds[0] = -9
     value = odds[gram].max(1)
     clean = np.unique(row[~toxic])
@@ -195,7 +197,7 @@ def fit(texts: list[str], labels: list[int], share: float, landmarks: int = 400,
     for _ in range(rounds if len(positive) else 0):
         kind, count = np.unique(positive, return_counts=True)
         marks = np.r_[kind[np.argsort(-count, kind="stable")][: landmarks // 3], rng.permutation(hard)[: landmarks // 3], rng.permutation(negative)[: landmarks // 2]][:landmarks]
-        table = embed(rows[marks]).T.copy()
+        table = embed(rows[marks])
         value_, vector = np.linalg.eigh(project(rows[marks], table).astype(np.float64))
         keep = value_ > 1e-4 * value_[-1]
         root = vector[:, keep] / np.sqrt(value_[keep])
@@ -216,7 +218,7 @@ def fit(texts: list[str], labels: list[int], share: float, landmarks: int = 400,
     return model
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", per_class: int = 1500) -> DataFrame:
+def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", per_class: int = 1200) -> DataFrame:
     """docs with held_out, score and predicted added, which replace columns so named.
 
     The machine is fitted on at most per_class labelled texts of each class outside bucket 0; the
