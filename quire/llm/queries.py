@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from quire.llm.bpe import bpe_round_trip
 from quire.llm.exact_dedup import exact_dedup
 from quire.llm.line_dedup import line_dedup
+from quire.llm.ngram_join import ngram_join
 from quire.llm.packing import pack
 from quire.llm.quality_classifier import quality
 from quire.llm.quality_rules import quality_rules
@@ -38,6 +39,10 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 
+def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = archive_round_trip(_table(spark, sf_dir, "pages"))
     page = lambda c: F.regexp_extract(F.col(c), r"^page-(-?\d+):", 1).try_cast("long")
@@ -71,6 +76,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
     "op2_bpe": op2_bpe,
+    "op4_ngram_join": op4_ngram_join,
     "op5_warc": op5_warc,
     "op6_packing": op6_packing,
     "op7_toxicity": op7_toxicity,
