@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from quire.llm.bpe import bpe_round_trip
 from quire.llm.exact_dedup import exact_dedup
 from quire.llm.line_dedup import line_dedup
+from quire.llm.lm_scoring import lm_scores
 from quire.llm.ngram_join import ngram_join
 from quire.llm.packing import pack
 from quire.llm.quality_classifier import quality
@@ -39,6 +40,10 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 
+def op3_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scores(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join(_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -76,6 +81,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
     "op2_bpe": op2_bpe,
+    "op3_lm_scores": op3_lm_scores,
     "op4_ngram_join": op4_ngram_join,
     "op5_warc": op5_warc,
     "op6_packing": op6_packing,
