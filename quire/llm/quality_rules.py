@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quire.llm.quality_classifier import BAR, BLANKS, DIGITS, HIGH, LOWER, NEWLINE, SHOUT, STOPS, SYMBOLS, TAIL, UPPER
-from quire.llm.textkernel import Words, chunks, copies, prefix, segment_hash, windows, words
+from quire.llm.textkernel import Words, chunks, copies, prefix, segment_hash, windows
 from quire.llm.training import labelled_sample
 
 CONTENT = 1
@@ -107,18 +107,17 @@ def fit(texts: list[str], labels: list[int], share: float, rounds: int = 150, ra
     """Ascends the conditional likelihood by Adam; with one class alone, every line is content."""
     if len(set(labels)) < 2:
         return Field(np.r_[10.0, np.zeros(N_FEATURES - 1)], np.zeros((2, 2)), np.zeros(2))
-    raw = [t.encode() for t in texts]
-    w = words(np.frombuffer(b"".join(raw), np.uint8), np.r_[0, np.cumsum([len(r) for r in raw])].astype(np.int64))
-    own = lines(w)
-    first = own.first(w.n_docs)
+    parts = [(a, lines(w)) for a, _, w in chunks(pa.array(texts))]
+    features = np.concatenate([x.features for _, x in parts])
+    first = np.searchsorted(np.concatenate([x.doc + a for a, x in parts]), np.arange(len(texts) + 1))
     label = np.array(labels)
     length = np.diff(first)
     weight = np.where(label == 1, share / (label == 1).mean(), (1 - share) / (label == 0).mean())
     batches = []
-    for pick in np.array_split(np.argsort(length, kind="stable"), -(-len(raw) // 64)):
+    for pick in np.array_split(np.argsort(length, kind="stable"), -(-len(texts) // 64)):
         at = first[pick][:, None] + np.arange(length[pick].max())
         inside = np.arange(at.shape[1]) < length[pick][:, None]
-        batches.append((own.features[np.minimum(at, len(own.doc) - 1)] * inside[..., None], inside, label[pick], weight[pick] / length[pick]))
+        batches.append((features[np.minimum(at, len(features) - 1)] * inside[..., None], inside, label[pick], weight[pick] / length[pick]))
     theta = np.zeros(N_FEATURES + 6)
     one, two = np.zeros_like(theta), np.zeros_like(theta)
     scale = sum((b[3] * b[1].sum(1)).sum() for b in batches)

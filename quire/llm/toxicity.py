@@ -19,12 +19,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructType
 
-from quire.llm.textkernel import BYTES_FOLDED, Words, chunks, words
+from quire.llm.textkernel import BYTES_FOLDED, Words, chunks
 from quire.llm.training import bucket, labelled_sample
 
 LONG, SPAN, DECAY, LETTERS = 12, 5, 0.7, 42
 WIDTH = LONG + 2  # a sign for the string's beginning and one for its end
 BEGIN, END, LEAST = 40, 41, 7
+_POSITION = np.array([pow(0x9E3779B97F4A7C15, k + 1, 1 << 64) for k in range(WIDTH)], np.uint64)
 STEPS = [(a, b) for a in range(1, SPAN) for b in range(1, SPAN - a + 1) if a + b < SPAN + 1]
 _CLASS = np.zeros(256, np.int32)
 _CLASS[97:123] = np.arange(1, 27)
@@ -168,14 +169,21 @@ def _witnesses(value: np.ndarray, row: np.ndarray, doc: np.ndarray, least: float
     return row[head[value[row[head]] >= least]]
 
 
-def fit(texts: list[str], labels: list[int], share: float, landmarks: int = 400, negatives: int = 9000, rounds: int = 6) -> Model:
+def fit(texts: list[str], labels: list[int], share: float, landmarks: int = 300, negatives: int = 9000, rounds: int = 6) -> Model:
     """Fits the machine on labelled texts; without both classes every score is the share of ones."""
     label = np.array(labels)
     if len(set(labels)) < 2:
         return Model(np.zeros(LETTERS**3, np.float32), 0.0, 0.0, float(np.log((share + 1e-3) / (1 - share + 1e-3))))
-    raw = [t.encode() for t in texts]
-    w = words(np.frombuffer(b"".join(raw), np.uint8), np.r_[0, np.cumsum([len(r) for r in raw])].astype(np.int64), BYTES_FOLDED)
-    rows, (row, doc) = letter_rows(w)
+    parts, row, doc, at = [], [], [], 0
+    for a, _, w in chunks(pa.array(texts), BYTES_FOLDED):
+        own, (r, d) = letter_rows(w) if len(w.start) else (np.zeros((0, WIDTH), np.int32), np.zeros((2, 0), np.int64))
+        parts.append(own)
+        row.append(r + at)
+        doc.append(d + a)
+        at += len(own)
+    rows = np.concatenate(parts)
+    _, pick, same = np.unique(rows.astype(np.uint64) @ _POSITION, return_index=True, return_inverse=True)
+    rows, row, doc = rows[pick], same[np.concatenate(row)], np.concatenate(doc)
     rng = np.random.default_rng(17)
     toxic = label[doc] == 1
     # the first choice: the string with the four letters in a row that most set toxic texts apart
@@ -212,13 +220,14 @@ def fit(texts: list[str], labels: list[int], share: float, landmarks: int = 400,
         positive = np.r_[plain, _witnesses(f, row[suspect], doc[suspect], -0.3)]
         if not len(positive):
             break
-    f, y = model.margin(w), np.where(label == 1, 1.0, -1.0)
+    f = highest((margins(rows, model.weights) + model.bias)[row], doc, len(label))
+    y = np.where(label == 1, 1.0, -1.0)
     told = (y < 0) | (f > np.median(f[y < 0]))  # a toxic label without a string that shows it says nothing of the curve
     model.slope, model.shift = _platt(f[told], y[told], share)
     return model
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", per_class: int = 1200) -> DataFrame:
+def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", per_class: int = 1000) -> DataFrame:
     """docs with held_out, score and predicted added, which replace columns so named.
 
     The machine is fitted on at most per_class labelled texts of each class outside bucket 0; the
