@@ -49,11 +49,21 @@ def repeated_bits(digests: DataFrame, bits: int) -> DataFrame:
     )
 
 
-def _bit(bitmap: Column, position: Column) -> Column:
+def bit(bitmap: Column, position: Column) -> Column:
     byte = F.conv(F.hex(F.substring(bitmap, (position / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
     return F.coalesce(F.getbit(byte, (position % 8).cast("int")), F.lit(0)) == 1
 
 
+def among(rows: DataFrame, key: str, keys: DataFrame) -> DataFrame:
+    """Rows whose key is in a one-column table of keys, and a few others: a filter ahead of a shuffle."""
+    bits = filter_bits(keys.count())
+    slot = lambda c: F.xxhash64(c).bitwiseAND(F.lit(bits - 1)) + 1
+    known = keys.select(slot(F.col(key)).alias("slot")).groupBy(F.bitmap_bucket_number("slot").alias("__bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("slot")).alias("__map"))
+    out = rows.withColumn("__slot", slot(F.col(key)))
+    out = out.join(F.broadcast(known), F.bitmap_bucket_number("__slot") == F.col("__bucket"))  # at most MAX_FILTER_BITS bits
+    return out.where(bit(F.col("__map"), F.bitmap_bit_position("__slot"))).drop("__slot", "__bucket", "__map")
+
+
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with keep_id, group_size, kept and text_sha256 added, which replace columns so named.
 
@@ -74,7 +84,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     for side in ("low", "high"):
         part = seen.select(F.col("bucket").alias(f"__b_{side}"), F.col("bitmap").alias(f"__m_{side}"))
         rows = rows.join(F.broadcast(part), F.bitmap_bucket_number(f"__{side}") == F.col(f"__b_{side}"), "left")  # at most 2 * MAX_FILTER_BITS bits
-    twice = [_bit(F.col(f"__m_{side}"), F.bitmap_bit_position(f"__{side}")) for side in ("low", "high")]
+    twice = [bit(F.col(f"__m_{side}"), F.bitmap_bit_position(f"__{side}")) for side in ("low", "high")]
     rows = rows.withColumn("__again", twice[0] & twice[1]).drop("__h", "__low", "__high", "__b_low", "__b_high", "__m_low", "__m_high")
     kept_columns = [F.col(f"`{c}`") for c in docs.columns if c not in added]
 
