@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quire.functions import pricing, rows as R, text as T
-from quire.operators import keyed as K, ordered as O, selection as S, totals as A
+from quire.operators import keyed as K, ordered as O, selection as S, totals as A, versions as V
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -331,11 +331,29 @@ def change_quality(spark, sf_dir):
     return v.select("run", "pos", line.alias("line"), F.when(more < 0, "less").otherwise(T.delta_text(F.col("before"), F.when(more == 0, F.col("before")).otherwise(F.col("after")), F.lit(True))).alias("delta"))
 
 
+def version_store(spark, sf_dir):
+    """Presets, shown sizes and flags of rows whose shipped slot may be empty."""
+    v = versions(spark, sf_dir)
+    slot = F.when(F.col("state") == "done", F.struct(F.when(F.col("searchable"), "balanced").alias("preset"), F.col("after").alias("bytes")))
+    none = F.lit(None).cast("struct<preset:string,bytes:bigint>")
+    v = v.withColumn("store", V.with_slot(F.struct(none.alias("shipped"), none.alias("previous")), "shipped", slot))
+    flags = V.flagged(F.create_map(F.lit("a"), F.lit(True)), F.when(F.col("pos") % 2 == 0, "a").otherwise("b"), F.col("searchable"))
+    shown = V.display_sizes(F.col("before"), F.col("store.shipped"))
+    return v.select("run", "pos", "before", V.row_preset(F.col("store.shipped"), F.lit("smallest")).alias("preset"), shown["before"].alias("shown_before"), shown["after"].alias("shown_after"),
+        V.provenance(flags, F.lit("b"), F.lit("o"))["searchable"].alias("b"), V.provenance(flags, F.lit("a"), F.lit("o"))["searchable"].alias("a"))
+
+
+def queue_append(spark, sf_dir):
+    """Two drops of files appended as a bag: repeats stay, each row with its drop."""
+    f = files(spark, sf_dir).select("doc_id", "source")
+    return f.withColumn("drop", F.lit(1)).unionByName(f.where("doc_id % 4 = 0").withColumn("drop", F.lit(2))).groupBy("source", "drop").agg(F.count(F.lit(1)).alias("n"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
     batch_savings, run_saved, finished_totals, run_fraction, price_presets, preset_totals, override_pricing, calibrated_prediction, armed_summary, row_partition, screen_state,
     next_queued, row_descriptions, recompress_state, first_failure_note, history_recent, history_by_day, lifetime_saved, candidate_race, runner_up, version_cards, variant_pairs,
     retain_live, superseded_parked, restored_overrides, state_overlay, searchable_rows, committed_reruns, futile_attempts, page_rates, pending_totals, start_gate,
-    object_numbering, xref_runs, extents, output_names, page_sample, change_quality)}
+    object_numbering, xref_runs, extents, output_names, page_sample, change_quality, version_store, queue_append)}
 
 SQL: dict[str, str] = {
     "batch_savings": f"WITH {RECORDS} SELECT *, CASE WHEN success_count < file_count THEN success_count || ' of ' ELSE '' END || file_count || CASE WHEN file_count = 1 THEN ' file' ELSE ' files' END || ' in Orders' AS title FROM b",
@@ -393,6 +411,9 @@ SELECT run, url FROM o WHERE run IN (SELECT run FROM v WHERE pos = 2) AND NOT EX
     "page_sample": f"""WITH {CLASSED}, d AS (SELECT doc_id, pages::BIGINT AS n, doc_id % 6 AS k FROM f), e AS (SELECT doc_id, n, k, unnest(range(0, n)) AS page FROM d WHERE n > 0 AND k > 0),
 g AS (SELECT *, page > 0 AND page <> n - 1 AND page % greatest(1, n // k) = 0 AS mid, sum(CASE WHEN page > 0 AND page <> n - 1 AND page % greatest(1, n // k) = 0 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY page) AS rank FROM e)
 SELECT doc_id, page FROM g WHERE k >= n OR (k = 1 AND page = 0) OR (k > 1 AND (page IN (0, n - 1) OR (mid AND rank <= k - 2)))""",
+    "version_store": f"""WITH {VERSIONS} SELECT run, pos, before, CASE WHEN state = 'done' AND searchable THEN 'balanced' ELSE 'smallest' END AS preset, CASE WHEN state = 'done' THEN before END AS shown_before, CASE WHEN state = 'done' THEN after END AS shown_after,
+  CASE WHEN pos % 2 = 1 THEN searchable END AS b, CASE WHEN pos % 2 = 0 THEN searchable ELSE true END AS a FROM v""",
+    "queue_append": f"WITH {CLASSED} SELECT source, d.k AS \"drop\", count(*) AS n FROM k CROSS JOIN (VALUES (1), (2)) d(k) WHERE d.k = 1 OR doc_id % 4 = 0 GROUP BY source, d.k",
     "change_quality": f"""WITH {VERSIONS} SELECT run, pos, CASE WHEN pos = 5 THEN 'Not included' WHEN qty % 3 = 0 THEN 'Redone from the original at 150 DPI' || CASE WHEN searchable THEN ' · about ' || greatest(1, round(qty / 8.0::DOUBLE * pos)::BIGINT) || CASE WHEN greatest(1, round(qty / 8.0::DOUBLE * pos)::BIGINT) = 1 THEN ' second' ELSE ' seconds' END ELSE '' END
   WHEN qty % 3 = 1 THEN 'Already on disk — swapped in immediately' ELSE 'Already optimised — nothing to change' END AS line, CASE WHEN after < before THEN 'less' WHEN after = before THEN 'what you have' ELSE 'for printing' END AS delta FROM v""",
 }

@@ -15,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quire.plans.staging import stage
+
 BUDGET = 64 << 20
 DEEPEST = 256
 _TOKEN = re.compile(rb"\((?:[^()\\]|\\.|\((?:[^()\\]|\\.)*\))*\)|%[^\r\n]*|<<|>>|\[|\]|<[0-9A-Fa-f\s]*>|/[^\s()<>\[\]{}/%]*|[^\s()<>\[\]{}/%]+|\S", re.S)
@@ -135,7 +137,8 @@ def page_leaves(nodes: DataFrame, roots: DataFrame, key: str, deepest: int = DEE
         leaves = found if leaves is None else leaves.unionByName(found)
         inner = met.where("kids IS NOT NULL").select(key, "path", "order", F.posexplode("kids").alias("pos", "kid"))
         level = inner.where(~F.array_contains("path", F.col("kid"))).select(
-            key, F.col("kid").alias("obj"), F.concat("path", F.array("kid")).alias("path"), F.concat("order", F.array("pos")).alias("order")).checkpoint()
+            key, F.col("kid").alias("obj"), F.concat("path", F.array("kid")).alias("path"), F.concat("order", F.array("pos")).alias("order"))
+        level = stage(level, "level")
         if level.isEmpty():
             break
     rank = F.row_number().over(Window.partitionBy(key).orderBy("order")) - 1

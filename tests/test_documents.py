@@ -44,7 +44,6 @@ def test_packed_and_live_objects(spark):
 
 
 def test_page_order_and_cycles(spark):
-    spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir"))
     nodes = spark.createDataFrame([("a", 1, [2, 3]), ("a", 2, [4, 5]), ("a", 3, None), ("a", 4, None), ("a", 5, [6, 1]), ("a", 6, None), ("b", 1, None)], "f string, obj long, kids array<long>")
     roots = spark.createDataFrame([("a", 1), ("b", 1)], "f string, obj long")
     got = [(r.f, r.page, r.obj) for r in D.page_leaves(nodes, roots, "f").orderBy("f", "page").collect()]

@@ -153,3 +153,30 @@ def test_stream_never_reopens_a_finished_row(spark, tmp_path):
     q = stream.writeStream.format("memory").queryName("rising").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
     q.awaitTermination(120)
     assert sorted(r.k for r in spark.table("rising").collect()) == [1, 3, 5]
+
+
+def test_release_feed_is_pinned(spark):
+    def feed(**more):
+        return json.dumps({"tag_name": "v1.2.3", "html_url": "https://github.com/a/b", "assets": [{"browser_download_url": "https://x/a.zip"}, {"browser_download_url": "https://github.com/a.dmg"}]} | more)
+
+    rows = spark.createDataFrame([(feed(),), (feed(html_url="http://github.com/a"),), (feed(tag_name="1" * 40),), (feed(assets=[{"browser_download_url": "https://evil.com/a.dmg"}]),), ("{",)], "j string")
+    got = [r[0] for r in rows.select(history.release(F.col("j"))).collect()]
+    assert tuple(got[0]) == ("1.2.3", "https://github.com/a/b", "https://github.com/a.dmg")
+    assert got[1] is None and got[2] is None and got[3].image is None and got[4] is None
+
+
+def test_batches_are_handed_on(spark, tmp_path):
+    from quire.streaming.progress import republished
+
+    spark.range(5).write.parquet(str(tmp_path / "in"))
+    seen = []
+    q = republished(spark.readStream.schema("id long").parquet(str(tmp_path / "in")), lambda df, n: seen.append((n, df.count())), str(tmp_path / "c"))
+    q.processAllAvailable()
+    q.stop()
+    assert seen[0] == (0, 5)
+
+
+def test_swapped_slots_keep_their_addresses(spark):
+    rows = spark.createDataFrame([(("u1", 5), ("u2", 7)), (("u1", 5), None)], "shipped struct<url:string,bytes:long>, parked struct<url:string,bytes:long>")
+    got = rows.select(*(c.alias(n) for n, c in K.swapped("shipped", "parked", ["bytes"]).items())).collect()
+    assert tuple(got[0].shipped) == ("u1", 7) and tuple(got[0].parked) == ("u2", 5) and tuple(got[1].shipped) == ("u1", 5)
