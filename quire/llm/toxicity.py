@@ -25,6 +25,7 @@ from quire.llm.training import bucket, labelled_sample
 LONG, SPAN, DECAY, LETTERS = 12, 5, 0.7, 42
 WIDTH = LONG + 2  # a sign for the string's beginning and one for its end
 BEGIN, END, LEAST = 40, 41, 7
+STRONG = 0.7  # margin of a string that counts
 _POSITION = np.array([pow(0x9E3779B97F4A7C15, k + 1, 1 << 64) for k in range(WIDTH)], np.uint64)
 STEPS = [(a, b) for a in range(1, SPAN) for b in range(1, SPAN - a + 1) if a + b < SPAN + 1]
 _CLASS = np.zeros(256, np.int32)
@@ -83,23 +84,33 @@ def scale(rows: np.ndarray) -> np.ndarray:
     return _SCALE[(rows > 0).sum(1)]
 
 
-def embed(rows: np.ndarray) -> np.ndarray:
-    """The kernel's features of a few rows, dense: (subsequence, row)."""
-    out = np.zeros((LETTERS**3, len(rows)), np.float32)
+def used(rows: np.ndarray) -> np.ndarray:
+    """The place of each subsequence among those that the rows have (0: none, and all that they lack)."""
+    found = np.zeros(LETTERS**3, bool)
+    for code, _ in codes(rows):
+        found[code] = True
+    found[0] = True
+    return np.where(found, np.cumsum(found) - 1, 0).astype(np.int32)
+
+
+def embed(rows: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """The kernel's features of a few rows, dense: (place of the subsequence, row)."""
+    out = np.zeros((place.max() + 1, len(rows)), np.float32)
     line = np.arange(len(rows))[:, None]
     for code, weight in codes(rows):
-        np.add.at(out, (code, np.broadcast_to(line, code.shape)), np.float32(weight))
+        np.add.at(out, (place[code], np.broadcast_to(line, code.shape)), np.float32(weight))
     out[0] = 0
     out /= scale(rows).astype(np.float32)
     return out
 
 
-def project(rows: np.ndarray, table: np.ndarray) -> np.ndarray:
-    """Inner products of the rows' features with the columns of a table (subsequence, column)."""
+def project(rows: np.ndarray, table: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """Inner products of the rows' features with the columns of a table (place of the subsequence, column)."""
     out = np.zeros((len(rows), *table.shape[1:]), np.float32)
-    for code, weight in codes(rows):
-        for k in range(code.shape[1]):
-            out += table[code[:, k]] * np.float32(weight)
+    for at in range(0, len(rows), 2000):
+        for code, weight in codes(rows[at : at + 2000]):
+            for k in range(code.shape[1]):
+                out[at : at + 2000] += table[place[code[:, k]]] * np.float32(weight)
     return out / scale(rows).reshape(-1, *[1] * (table.ndim - 1)).astype(np.float32)
 
 
@@ -110,56 +121,54 @@ def margins(rows: np.ndarray, weights: np.ndarray) -> np.ndarray:
     return out / scale(rows).astype(np.float32)
 
 
-def highest(values: np.ndarray, doc: np.ndarray, n_docs: int, empty: float = -3.0) -> np.ndarray:
-    """The largest value of each text; texts without strings get `empty`."""
-    out = np.full(n_docs, empty, np.float64)
-    np.maximum.at(out, doc, values)
-    return out
+def signs(f: np.ndarray, row: np.ndarray, doc: np.ndarray, n_docs: int, empty: float = -3.0) -> np.ndarray:
+    """Two signs of each text from the margins of its strings; texts without strings get `empty` and none."""
+    top = np.full(n_docs, empty, np.float64)
+    np.maximum.at(top, doc, f[row])
+    return np.stack([np.clip(top, empty, 1.0), np.log1p(np.bincount(doc, f[row] > STRONG, minlength=n_docs))], 1)
 
 
 @dataclass
 class Model:
     weights: np.ndarray  # of subsequences
     bias: float
-    slope: float
+    slope: np.ndarray  # of the signs
     shift: float
 
-    def margin(self, w: Words) -> np.ndarray:
+    def signs(self, w: Words) -> np.ndarray:
+        """The highest margin of each text's strings, and the logarithm of how many are strong."""
         rows, at = letter_rows(w)
-        if not len(rows):
-            return np.full(w.n_docs, -3.0)
-        f = margins(rows, self.weights) + self.bias
-        return highest(f[at[0]], at[1], w.n_docs)
+        return signs(margins(rows, self.weights) + self.bias, at[0], at[1], w.n_docs) if len(rows) else signs(np.zeros(0), np.zeros(0, np.int64), np.zeros(0, np.int64), w.n_docs)
 
     def score(self, w: Words) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(self.slope * self.margin(w) + self.shift, -30, 30)))
+        return 1 / (1 + np.exp(-np.clip(self.signs(w) @ self.slope + self.shift, -30, 30)))
 
 
 def _machine(x: np.ndarray, y: np.ndarray, weight: np.ndarray, penalty: float = 1e-6, rounds: int = 400) -> tuple[np.ndarray, float]:
     """A linear machine with squared hinge loss, by accelerated gradient steps."""
-    x = np.c_[x, np.ones(len(x), np.float32)].astype(np.float64)
-    step = 1 / (2 * np.linalg.eigvalsh((x * weight[:, None]).T @ x)[-1] + penalty + 1e-9)
-    w = ahead = np.zeros(x.shape[1])
+    x = np.c_[x, np.ones(len(x), np.float32)]
+    gram = sum((x[k : k + 2000] * weight[k : k + 2000, None].astype(np.float32)).T @ x[k : k + 2000] for k in range(0, len(x), 2000))
+    step = 1 / (2 * np.linalg.eigvalsh(gram.astype(np.float64))[-1] * 1.01 + penalty + 1e-9)
+    w = ahead = np.zeros(x.shape[1], np.float32)
     for k in range(rounds):
         slack = np.maximum(0, 1 - y * (x @ ahead))
-        nxt = ahead - step * (penalty * ahead - 2 * x.T @ (weight * y * slack))
-        ahead, w = nxt + k / (k + 3) * (nxt - w), nxt
+        nxt = (ahead - step * (penalty * ahead - 2 * (x.T @ (weight * y * slack).astype(np.float32)))).astype(np.float32)
+        ahead, w = (nxt + k / (k + 3) * (nxt - w)).astype(np.float32), nxt
     return w[:-1], float(w[-1])
 
 
-def _platt(f: np.ndarray, y: np.ndarray, share: float) -> tuple[float, float]:
-    """Slope and shift of a logistic curve over margins, the classes weighted as in all labelled rows."""
+def _curve(x: np.ndarray, y: np.ndarray, share: float) -> tuple[np.ndarray, float]:
+    """Slopes and shift of a logistic curve over signs, the classes weighted as in all labelled rows."""
     weight = np.where(y > 0, share / max(1, (y > 0).sum()), (1 - share) / max(1, (y < 0).sum()))
     t = np.where(y > 0, 1 - 1e-3, 1e-3)
-    a, b = 1.0, 0.0
-    for _ in range(50):  # Newton
-        p = 1 / (1 + np.exp(-np.clip(a * f + b, -30, 30)))
-        g, h = weight * (p - t), weight * p * (1 - p) + 1e-9
-        grad = np.array([(g * f).sum() + 1e-4 * a, g.sum() + 1e-5 * b])
-        hess = np.array([[(h * f * f).sum() + 1e-4, (h * f).sum()], [(h * f).sum(), h.sum() + 1e-5]])
-        move = np.linalg.solve(hess, grad)
-        a, b = a - np.clip(move[0], -2, 2), b - np.clip(move[1], -2, 2)
-    return float(a), float(b)
+    x = np.c_[x, np.ones(len(x))]
+    ridge = np.array([1e-4, 1e-4, 1e-5])
+    theta = np.array([1.0, 0.0, 0.0])
+    for _ in range(60):  # Newton
+        p = 1 / (1 + np.exp(-np.clip(x @ theta, -30, 30)))
+        step = np.linalg.solve((x * (weight * p * (1 - p) + 1e-9)[:, None]).T @ x + np.diag(ridge), x.T @ (weight * (p - t)) + ridge * theta)
+        theta = theta - np.clip(step, -2, 2)
+    return theta[:-1], float(theta[-1])
 
 
 def _witnesses(value: np.ndarray, row: np.ndarray, doc: np.ndarray, least: float) -> np.ndarray:
@@ -173,7 +182,7 @@ def fit(texts: list[str], labels: list[int], share: float, landmarks: int = 300,
     """Fits the machine on labelled texts; without both classes every score is the share of ones."""
     label = np.array(labels)
     if len(set(labels)) < 2:
-        return Model(np.zeros(LETTERS**3, np.float32), 0.0, 0.0, float(np.log((share + 1e-3) / (1 - share + 1e-3))))
+        return Model(np.zeros(LETTERS**3, np.float32), 0.0, np.zeros(2), float(np.log((share + 1e-3) / (1 - share + 1e-3))))
     parts, row, doc, at = [], [], [], 0
     for a, _, w in chunks(pa.array(texts), BYTES_FOLDED):
         own, (r, d) = letter_rows(w) if len(w.start) else (np.zeros((0, WIDTH), np.int32), np.zeros((2, 0), np.int64))
@@ -186,44 +195,55 @@ def fit(texts: list[str], labels: list[int], share: float, landmarks: int = 300,
     rows, row, doc = rows[pick], same[np.concatenate(row)], np.concatenate(doc)
     rng = np.random.default_rng(17)
     toxic = label[doc] == 1
-    # the first choice: the string with the four letters in a row that most set toxic texts apart
-    gram = ((rows[:, :-3] * LETTERS + rows[:, 1:-2]) * LETTERS + rows[:, 2:-1]) * LETTERS + rows[:, 3:]
+    # the first choice: strings with four letters in a row, or a beginning, that toxic texts have beyond chance
+    wide = rows.astype(np.int64)
+    gram = ((wide[:, :-3] * LETTERS + wide[:, 1:-2]) * LETTERS + wide[:, 2:-1]) * LETTERS + wide[:, 3:]
     gram[(rows[:, 3:] == 0) | (rows[:, :-3] == 0)] = 0
-    width = LETTERS**4
-    seen = np.zeros((2, width), np.int32)
+    begun = np.cumsum(wide[:, :10] * np.array([LETTERS**k for k in range(10)], np.int64), 1)[:, 4:] * 16 + np.arange(4, 10)
+    gram = np.concatenate([gram, np.where((rows[:, 4:10] > 0) & (rows[:, :1] == BEGIN), -begun, 0)], 1)
+    kinds, gram = np.unique(gram, return_inverse=True)
+    gram = gram.reshape(len(rows), -1).astype(np.int32)
+    seen = np.zeros((2, len(kinds)), np.int32)
     for v, own in zip(label, np.split(row[np.argsort(doc, kind="stable")], np.cumsum(np.bincount(doc, minlength=len(label)))[:-1])):
         seen[v, np.unique(gram[own])] += 1
-    odds = (np.log((seen[1] + 0.5) / (sum(label) + 1)) - np.log((seen[0] + 0.5) / (len(label) - sum(label) + 1))).astype(np.float32)
-    odds[0] = -9
+    n1 = int(label.sum())
+    usual = n1 / len(label)
+    both = np.maximum(1, seen.sum(0))
+    part = seen[1] / both
+    odds = seen[1] * np.log(np.maximum(part, 1e-9) / usual) + seen[0] * np.log(np.maximum(1 - part, 1e-9) / (1 - usual))  # log likelihood ratio
+    odds = np.where((part > usual) & (part > 0.9), odds, 0).astype(np.float32)
+    odds[kinds == 0] = 0
     value = odds[gram].max(1)
+    del wide, begun, gram, kinds, seen, both, part, odds
     clean = np.unique(row[~toxic])
     suspect = toxic & ~np.isin(row, clean)  # a string of clean texts never stands for a toxic one
-    plain = row[suspect & (value[row] >= 3.0)]
-    positive = np.r_[plain, _witnesses(value, row[suspect], doc[suspect], 2.0)]
+    plain = row[suspect & (value[row] >= 12.0)]
+    positive = np.r_[plain, _witnesses(value, row[suspect], doc[suspect], 6.0)]
     negative, hard = rng.permutation(clean)[:negatives], clean[:0]
-    model = Model(np.zeros(LETTERS**3, np.float32), 0.0, 1.0, 0.0)
+    model = Model(np.zeros(LETTERS**3, np.float32), 0.0, np.zeros(2), 0.0)
+    place = used(rows)
     for _ in range(rounds if len(positive) else 0):
         kind, count = np.unique(positive, return_counts=True)
         marks = np.r_[kind[np.argsort(-count, kind="stable")][: landmarks // 3], rng.permutation(hard)[: landmarks // 3], rng.permutation(negative)[: landmarks // 2]][:landmarks]
-        table = embed(rows[marks])
-        value_, vector = np.linalg.eigh(project(rows[marks], table).astype(np.float64))
+        table = embed(rows[marks], place)
+        value_, vector = np.linalg.eigh(project(rows[marks], table, place).astype(np.float64))
         keep = value_ > 1e-4 * value_[-1]
-        root = vector[:, keep] / np.sqrt(value_[keep])
+        root = (vector[:, keep] / np.sqrt(value_[keep])).astype(np.float32)
         kind, count = np.unique(positive, return_counts=True)
         own = np.r_[kind, negative, hard]
         y = np.r_[np.ones(len(kind)), -np.ones(len(negative) + len(hard))]
         mass = [count / count.sum(), np.full(len(negative), 1 / max(1, len(negative))), np.full(len(hard), 4 / max(1, len(hard)))]
-        v, bias = _machine(project(rows[own], table) @ root, y, np.concatenate(mass))
-        model = Model((table @ (root @ v)).astype(np.float32), bias, 1.0, 0.0)
+        v, bias = _machine(project(rows[own], table, place) @ root, y, np.concatenate(mass))
+        model = Model((table @ (root @ v)).astype(np.float32)[place] * (np.arange(LETTERS**3) > 0), bias, np.zeros(2), 0.0)
         f = margins(rows, model.weights) + bias
         hard = np.unique(np.r_[hard, clean[np.argsort(-f[clean], kind="stable")[: negatives // 6]]])
         positive = np.r_[plain, _witnesses(f, row[suspect], doc[suspect], -0.3)]
         if not len(positive):
             break
-    f = highest((margins(rows, model.weights) + model.bias)[row], doc, len(label))
+    x = signs(margins(rows, model.weights) + model.bias, row, doc, len(label))
     y = np.where(label == 1, 1.0, -1.0)
-    told = (y < 0) | (f > np.median(f[y < 0]))  # a toxic label without a string that shows it says nothing of the curve
-    model.slope, model.shift = _platt(f[told], y[told], share)
+    told = (y < 0) | (x[:, 0] > np.median(x[y < 0, 0]))  # a toxic label without a string that shows it says nothing of the curve
+    model.slope, model.shift = _curve(x[told], y[told], share)
     return model
 
 
