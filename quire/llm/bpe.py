@@ -22,7 +22,7 @@ from quire.llm.textkernel import BLANK, SPACE_ONLY, flat, spans, words
 BYTE_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
 
-KEPT_WORDS = 1_500_000
+KEPT_WORDS = 1_000_000
 _SHIFT = 32
 _NONE = np.iinfo(np.int64).max
 

@@ -49,7 +49,7 @@ def statistics(w: Words) -> np.ndarray:
     at = w.doc[: len(triple)][whole]
     _, seen = copies(at, triple[whole])
     letters = np.maximum(1, count(UPPER) + count(LOWER))
-    return np.stack([
+    return (n > 0)[:, None] * np.stack([
         np.log1p(points), np.log1p(n), size / some, np.sqrt(count(SYMBOLS) / size), np.sqrt(count(SHOUT) / size), np.sqrt(count(BAR) / some),
         np.sqrt(count(UPPER) / letters), np.sqrt(count(DIGITS) / size), np.sqrt(w.per_doc(again) / some), w.per_doc(before) / some,
         np.bincount(at, seen, minlength=w.n_docs) / some, np.log1p(n / (1 + count(NEWLINE))), count(HIGH) / size, count(STOPS) / some,
