@@ -22,10 +22,12 @@ def test_stages(spark):
         assert docs.columns == columns
         sizes.append(docs.count())
         left = {r.doc_id for r in docs.select("doc_id").collect()}
-        if name == "toxicity":
-            assert sum(known[i].toxic for i in left & set(known)) <= 0.02 * len(known)
+        told = left & set(known)
+        if name == "toxicity":  # learnt from some forty toxic texts in four languages here
+            assert sum(known[i].toxic for i in told) <= 0.3 * sum(r.toxic for r in known.values())
+            assert sum(1 - known[i].toxic for i in told) >= 0.98 * sum(1 - r.toxic for r in known.values())
         if name == "quality":
-            assert sum(1 - known[i].quality for i in left & set(known)) <= 0.02 * len(known)
+            assert sum(1 - known[i].quality for i in told) <= 0.1 * sum(1 - r.quality for r in known.values())
     assert sizes == sorted(sizes, reverse=True) and sizes[-1] > 0.6 * sizes[0]
     out = corpus_pipeline.STAGES[-1][1](spark, docs, SF)
     assert {r.doc_id for r in out.select("doc_id").distinct().collect()} == left
