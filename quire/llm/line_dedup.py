@@ -45,10 +45,10 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         .where(F.col("n") + F.col("nulls") >= min_docs).select("h1", "h2", "last"), "lines")
     dropped = (
         found.join(shared, ["h1", "h2"]).where(~F.col("id").eqNullSafe(F.col("last")))
-        .groupBy("row").agg(F.collect_set("pos").alias("__drop"))
+        .groupBy(F.col("row").alias("__of"), F.col("id").alias("__id")).agg(F.collect_set("pos").alias("__drop"))
     )  # at most the lines of one text
     out = docs.withColumn("__row", row).drop("n_lines", "n_dropped")
-    out = out.join(dropped.withColumnRenamed("row", "__of"), F.col("__row") == F.col("__of"), "left")
+    out = out.join(dropped, (F.col("__row") == F.col("__of")) & ident.eqNullSafe(F.col("__id")), "left")
     kept = F.filter(lines, lambda x, i: ~F.array_contains("__drop", i))
     return out.withColumns({
         text_col: F.when(F.col("__drop").isNull(), F.coalesce(F.col(f"`{text_col}`"), F.lit(""))).otherwise(F.array_join(kept, "\n")),
