@@ -131,7 +131,8 @@ def row_partition(spark, sf_dir):
 
 
 def screen_state(spark, sf_dir):
-    return A.screen_state(files(spark, sf_dir).where("state <> 'running' OR doc_id % 100 = 4"), "source")
+    """The screen of each queue of three files; a queue's files have neighbouring ids."""
+    return A.screen_state(files(spark, sf_dir).withColumn("queue", F.floor(F.col("doc_id") / 3)), "queue")
 
 
 def next_queued(spark, sf_dir):
@@ -251,8 +252,9 @@ def superseded_parked(spark, sf_dir):
 
 
 def restored_overrides(spark, sf_dir):
+    """All labelled rows as they are now, back at a snapshot that had those of good quality."""
     lab = table(spark, sf_dir, "labels").groupBy("doc_id").agg(F.max("quality").alias("quality"))
-    return K.restored(lab.where("doc_id % 2 = 0"), lab.where("doc_id % 3 = 0"), "doc_id", "quality")
+    return K.restored(lab.where("quality = 1"), lab, "doc_id", "quality")
 
 
 def state_overlay(spark, sf_dir):
@@ -278,7 +280,7 @@ def committed_reruns(spark, sf_dir):
 def futile_attempts(spark, sf_dir):
     """Attempts already known to be futile, by row, preset and verbs."""
     v = versions(spark, sf_dir).select("run", "pos", (F.col("qty") % 3).alias("preset"), F.col("searchable").alias("ocr"))
-    known = v.where("pos % 2 = 0").distinct()
+    known = v.where("NOT ocr").distinct()
     return K.live_only(v, known, ["run", "pos", "preset", "ocr"])
 
 
@@ -346,7 +348,7 @@ def version_store(spark, sf_dir):
 def queue_append(spark, sf_dir):
     """Two drops of files appended as a bag: repeats stay, each row with its drop."""
     f = files(spark, sf_dir).select("doc_id", "source")
-    return f.withColumn("drop", F.lit(1)).unionByName(f.where("doc_id % 4 = 0").withColumn("drop", F.lit(2))).groupBy("source", "drop").agg(F.count(F.lit(1)).alias("n"))
+    return f.withColumn("drop", F.lit(1)).unionByName(f.withColumn("drop", F.lit(2))).groupBy("source", "drop").agg(F.count(F.lit(1)).alias("n"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
@@ -367,9 +369,9 @@ SELECT o.doc_id, o.preset, o.ocr, o.preset <> 'balanced' OR o.ocr AS differs, o.
     "calibrated_prediction": f"WITH {VERSIONS}, c AS (SELECT *, before * 3 // 5 AS raw, before * 7 // 8 AS base FROM v), d AS (SELECT *, CASE WHEN searchable AND base > 0 THEN trunc(after::DOUBLE / base * raw)::BIGINT ELSE raw END AS s FROM c) SELECT run, pos, CASE WHEN s < before THEN s END AS predicted FROM d",
     "armed_summary": f"WITH {VERSIONS}, c AS (SELECT *, state = 'done' AND coalesce(compress IN ('compressed', 'noGain'), false) AS armed FROM v) SELECT run, count(*) FILTER (armed) AS armed, count(*) FILTER (state IN ('queued', 'analysing')) AS waiting, sum(after - before // 2) FILTER (armed AND searchable)::BIGINT AS extra_saving FROM c GROUP BY run HAVING count(*) FILTER (armed) > 0",
     "row_partition": f"WITH {CLASSED} SELECT doc_id, cls, state IN ('queued', 'analysing') AS waiting FROM k",
-    "screen_state": f"""WITH {CLASSED}, g AS (SELECT source, count(*) AS n_rows, count(*) FILTER (cls IN ('failedActionable', 'problemUnresolved')) AS needs_attention, count(*) FILTER (cls = 'cleanPending') AS healthy_queued,
-  bool_or(state = 'running') AS run, bool_or(cls IN ('delivered', 'failedSkipped', 'failedActionable')) AS fin, bool_or(cls = 'failedActionable') AS bad, bool_or(cls = 'problemUnresolved') AS opn FROM k WHERE state <> 'running' OR doc_id % 100 = 4 GROUP BY source)
-SELECT source, n_rows, needs_attention, healthy_queued, CASE WHEN run THEN 'working' WHEN NOT fin THEN 'ready' WHEN healthy_queued > 0 AND NOT bad AND NOT opn THEN 'ready' WHEN bad OR opn THEN 'problems' ELSE 'finished' END AS screen FROM g""",
+    "screen_state": f"""WITH {CLASSED}, g AS (SELECT doc_id // 3 AS queue, count(*) AS n_rows, count(*) FILTER (cls IN ('failedActionable', 'problemUnresolved')) AS needs_attention, count(*) FILTER (cls = 'cleanPending') AS healthy_queued,
+  bool_or(state = 'running') AS run, bool_or(cls IN ('delivered', 'failedSkipped', 'failedActionable')) AS fin, bool_or(cls = 'failedActionable') AS bad, bool_or(cls = 'problemUnresolved') AS opn FROM k GROUP BY doc_id // 3)
+SELECT queue, n_rows, needs_attention, healthy_queued, CASE WHEN run THEN 'working' WHEN NOT fin THEN 'ready' WHEN healthy_queued > 0 AND NOT bad AND NOT opn THEN 'ready' WHEN bad OR opn THEN 'problems' ELSE 'finished' END AS screen FROM g""",
     "next_queued": f"WITH {CLASSED} SELECT source, min(doc_id) AS doc_id FROM k WHERE state = 'queued' AND NOT coalesce(skipped, false) GROUP BY source",
     "row_descriptions": f"""WITH {CLASSED} SELECT doc_id, CASE problem WHEN 'locked' THEN 'Needs a password to open' WHEN 'missing' THEN 'Moved or renamed since you added it' ELSE CASE WHEN doc_id % 11 = 0 THEN '' ELSE concat_ws(', ', pages || CASE WHEN pages = 1 THEN ' page' ELSE ' pages' END,
   CASE WHEN content_type = 'bornDigital' THEN 'text and vectors' WHEN toxic = 0 THEN 'no text layer yet' WHEN content_type IS NOT NULL THEN 'mostly photographs' END) END END AS line FROM k""",
@@ -395,12 +397,12 @@ FROM c WHERE n = 2 AND mrc_bytes IS NOT NULL AND plain_bytes IS NOT NULL""",
     "superseded_parked": f"""WITH {VERSIONS}, o AS (SELECT run, unnest(list_distinct(['p' || qty % 7, 'p' || qty % 5])) AS url FROM v WHERE pos = 1),
 n AS (SELECT run, unnest(list_distinct(list_filter(['p' || qty % 7, CASE WHEN searchable THEN 'p' || qty % 3 END], lambda x: x IS NOT NULL))) AS url FROM v WHERE pos = 2)
 SELECT run, url FROM o WHERE run IN (SELECT run FROM v WHERE pos = 2) AND NOT EXISTS (SELECT 1 FROM n WHERE n.run = o.run AND n.url = o.url)""",
-    "restored_overrides": "WITH l AS (SELECT doc_id, max(quality) AS quality FROM labels GROUP BY doc_id) SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN quality END AS quality, doc_id % 2 <> 0 AS deleted FROM l WHERE doc_id % 2 = 0 OR doc_id % 3 = 0",
+    "restored_overrides": "WITH l AS (SELECT doc_id, max(quality) AS quality FROM labels GROUP BY doc_id) SELECT doc_id, CASE WHEN quality = 1 THEN quality END AS quality, coalesce(quality <> 1, true) AS deleted FROM l",
     "state_overlay": f"""WITH {FILES}, {PRICED} SELECT doc_id, predicted, CASE WHEN doc_id % 11 = 3 THEN 'failed' WHEN doc_id % 7 = 2 THEN 'running' WHEN doc_id % 5 = 1 THEN 'queued' WHEN doc_id % 3 = 0 THEN 'analysing' ELSE state END AS shown_state,
   CASE WHEN doc_id % 11 = 3 THEN 'missing' END AS problem, CASE WHEN doc_id % 7 = 2 THEN (doc_id % 10)::DOUBLE / 10.0::DOUBLE END AS shown_fraction FROM r WHERE preset = 'balanced'""",
     "searchable_rows": f"WITH {CLASSED} SELECT source, count(*) FILTER (quality = 1 AND coalesce(toxic, 0) <> 1) AS n FROM k GROUP BY source",
     "committed_reruns": f"WITH {VERSIONS} SELECT run, pos, CASE WHEN compress = 'compressed' THEN before // 2 ELSE after END AS shipped, CASE WHEN compress = 'compressed' THEN after END AS previous, compress = 'noGain' AS futile FROM v",
-    "futile_attempts": f"WITH {VERSIONS} SELECT run, pos, qty % 3 AS preset, searchable AS ocr FROM v WHERE pos % 2 = 0",
+    "futile_attempts": f"WITH {VERSIONS} SELECT run, pos, qty % 3 AS preset, searchable AS ocr FROM v WHERE NOT searchable",
     "page_rates": f"WITH {VERSIONS} SELECT run, pos, CASE WHEN qty <> 1 THEN before::DOUBLE / (qty - 1) END AS rate FROM v",
     "pending_totals": f"""WITH {FILES}, {PRICED} SELECT source, sum(size)::BIGINT AS input_bytes, count(size) AS sized, count(*) AS pending, CASE WHEN count(*) FILTER (is_fallback) = 0 THEN sum(predicted)::BIGINT END AS predicted_bytes FROM r WHERE preset = 'smallest' AND state IN ('queued', 'analysing') GROUP BY source""",
     "start_gate": f"WITH {CLASSED} SELECT source, bool_or(cls = 'cleanPending') AND bool_or(doc_id % 2 = 0) AND NOT bool_or(state = 'running') AND NOT bool_or(cls = 'problemUnresolved') AND source <> 'src3' AS can_start FROM k WHERE state <> 'running' AND problem IS NULL OR source = 'src5' GROUP BY source",
@@ -413,7 +415,7 @@ g AS (SELECT *, page > 0 AND page <> n - 1 AND page % greatest(1, n // k) = 0 AS
 SELECT doc_id, page FROM g WHERE k >= n OR (k = 1 AND page = 0) OR (k > 1 AND (page IN (0, n - 1) OR (mid AND rank <= k - 2)))""",
     "version_store": f"""WITH {VERSIONS} SELECT run, pos, before, CASE WHEN state = 'done' AND searchable THEN 'balanced' ELSE 'smallest' END AS preset, CASE WHEN state = 'done' THEN before END AS shown_before, CASE WHEN state = 'done' THEN after END AS shown_after,
   CASE WHEN pos % 2 = 1 THEN searchable END AS b, CASE WHEN pos % 2 = 0 THEN searchable ELSE true END AS a FROM v""",
-    "queue_append": f"WITH {CLASSED} SELECT source, d.k AS \"drop\", count(*) AS n FROM k CROSS JOIN (VALUES (1), (2)) d(k) WHERE d.k = 1 OR doc_id % 4 = 0 GROUP BY source, d.k",
+    "queue_append": f"WITH {CLASSED} SELECT source, d.k AS \"drop\", count(*) AS n FROM k CROSS JOIN (VALUES (1), (2)) d(k) GROUP BY source, d.k",
     "change_quality": f"""WITH {VERSIONS} SELECT run, pos, CASE WHEN pos = 5 THEN 'Not included' WHEN qty % 3 = 0 THEN 'Redone from the original at 150 DPI' || CASE WHEN searchable THEN ' · about ' || greatest(1, round(qty / 8.0::DOUBLE * pos)::BIGINT) || CASE WHEN greatest(1, round(qty / 8.0::DOUBLE * pos)::BIGINT) = 1 THEN ' second' ELSE ' seconds' END ELSE '' END
   WHEN qty % 3 = 1 THEN 'Already on disk — swapped in immediately' ELSE 'Already optimised — nothing to change' END AS line, CASE WHEN after < before THEN 'less' WHEN after = before THEN 'what you have' ELSE 'for printing' END AS delta FROM v""",
 }
