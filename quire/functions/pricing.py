@@ -21,7 +21,7 @@ BASELINE = 20_000.0
 
 def presets(spark: SparkSession) -> DataFrame:
     """The three presets: a table of fixed size."""
-    return spark.createDataFrame([(k, *v[:3]) for k, v in PRESETS.items()], "preset string, dpi int, mono_dpi int, q_factor double")
+    return spark.createDataFrame([(k, *v) for k, v in PRESETS.items()], "preset string, dpi int, mono_dpi int, q_factor double, background double, foreground double")
 
 
 def reductions(spark: SparkSession) -> DataFrame:
@@ -52,7 +52,7 @@ def price(docs: DataFrame, baseline: float = BASELINE) -> DataFrame:
     table = reductions(spark)
     typed = table.where("content_type IS NOT NULL").withColumnsRenamed({"base": "__typed", "content_type": "__type", "preset": "__preset"})
     typical = table.where("content_type IS NULL").select(F.col("preset").alias("__p"), F.col("base").alias("__typical"))
-    rows = docs.crossJoin(F.broadcast(presets(spark).select("preset")))  # three rows
+    rows = docs.withColumn("preset", F.explode(F.array(*map(F.lit, PRESETS))))
     rows = rows.join(F.broadcast(typed), (F.col("content_type") == F.col("__type")) & (F.col("preset") == F.col("__preset")), "left")
     rows = rows.join(F.broadcast(typical), F.col("preset") == F.col("__p"), "left")
     rebuilt = F.when(F.coalesce(F.col("rebuild"), F.lit(True)) & (F.col("content_type") == "scanColour"), F.when(F.col("preset") == "balanced", REBUILT["balanced"]).when(F.col("preset") == "smallest", REBUILT["smallest"]))

@@ -11,10 +11,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.functions import text as T
+from quire.functions import pricing, text as T
 from quire.operators import pixels as P
 from quire.plans.bindings_more import PIXELS, grey
-from quire.plans.bindings_rows import table
+from quire.plans.bindings_rows import VERSIONS, table, versions
 from quire.sources import composed as C, documents as D, files
 
 
@@ -103,8 +103,17 @@ def page_geometry(spark, sf_dir):
     return out.select("conv_id", "page", "width", F.length("text").cast("long").alias("chars"))
 
 
+def preset_arguments(spark, sf_dir):
+    """Resolutions, quantiser factor and layer qualities of each delivered row's preset, and what redoing it would take."""
+    v = versions(spark, sf_dir).withColumn("preset", F.element_at(F.array(*map(F.lit, ["maximum", "balanced", "smallest"])), (F.col("qty") % 3 + 1).cast("int")))
+    out = v.join(F.broadcast(pricing.presets(spark)), "preset")  # three rows
+    state = F.when(F.col("searchable"), "instantSwitch").when(F.col("state") == "done", "armed").otherwise("none")
+    rate = F.when(F.col("pos") != 2, F.col("pos") / 4.0)
+    return out.select("run", "pos", "preset", "dpi", "mono_dpi", "q_factor", "background", "foreground", T.mechanism_line(state, F.col("dpi"), rate, F.col("qty") - 1, F.col("pos") == 5).alias("line"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
-    composed_documents, object_index, inspected_documents, dictionary_lookup, unescaped_names, byte_texts, budgeted_names, packed_bits, composite, image_coverage, page_structure, page_geometry)}
+    composed_documents, object_index, inspected_documents, dictionary_lookup, unescaped_names, byte_texts, budgeted_names, packed_bits, composite, image_coverage, page_structure, page_geometry, preset_arguments)}
 
 _OBJECTS = r"""u AS (SELECT page_id, url, encode(html) AS html,
   encode('q 612.00 0 0 792.00 0 0 cm /Im0 Do Q' || chr(10)) AS c0,
@@ -137,4 +146,10 @@ SELECT doc_id, CASE WHEN n < 1000 THEN n || ' bytes' WHEN n < 1000000 THEN round
     "image_coverage": "SELECT p_partkey % 50 AS page, round(sum(p_size * 10 * p_size * 20)::DOUBLE / (72.0::DOUBLE / 72.0::DOUBLE * 100.0::DOUBLE * (144.0::DOUBLE / 72.0::DOUBLE * 100.0::DOUBLE)), 6) AS coverage FROM part GROUP BY 1",
     "page_structure": "SELECT page_id, page_id % 3 <> 0 AND page_id % 5 <> 0 AND page_id % 7 <> 0 AS image_only FROM pages",
     "page_geometry": "SELECT conv_id, turn AS page, turn * 8 + 72 AS width, length(min(text))::BIGINT AS chars FROM conversations GROUP BY conv_id, turn",
+    "preset_arguments": f"""WITH {VERSIONS}, a AS (SELECT * FROM (VALUES ('maximum', 300, 600, 0.76::DOUBLE, 0.4::DOUBLE, 0.3::DOUBLE), ('balanced', 150, 300, 1.5::DOUBLE, 0.4::DOUBLE, 0.3::DOUBLE),
+  ('smallest', 100, 300, 3.0::DOUBLE, 0.3::DOUBLE, 0.25::DOUBLE)) t(preset, dpi, mono_dpi, q_factor, background, foreground)),
+m AS (SELECT v.*, a.*, greatest(1, round(pos / 4.0::DOUBLE * (qty - 1))::BIGINT) AS secs FROM v JOIN a ON a.preset = (['maximum', 'balanced', 'smallest'])[(qty % 3 + 1)::INT])
+SELECT run, pos, preset, dpi, mono_dpi, q_factor, background, foreground, CASE WHEN pos = 5 THEN 'Not included' WHEN searchable THEN 'Already on disk — swapped in immediately'
+  WHEN state = 'done' THEN 'Redone from the original at ' || dpi || ' DPI' || CASE WHEN pos <> 2 AND qty > 1 THEN ' · about ' || secs || CASE WHEN secs = 1 THEN ' second' ELSE ' seconds' END ELSE '' END
+  ELSE 'Already optimised — nothing to change' END AS line FROM m""",
 }
