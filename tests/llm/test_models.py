@@ -147,6 +147,25 @@ def test_lm_contract(spark):
     assert lm_scoring.lm_scores(frame(spark, [])).count() == 0
 
 
+def test_lm_knows_the_order_of_words(spark):
+    rng = random.Random(12)
+    after = {f"w{k}": [f"w{(7 * k + j) % 40}" for j in range(1, 3)] for k in range(40)}
+
+    def walk(n):
+        out = ["w0"]
+        while len(out) < n:
+            out.append(rng.choice(after[out[-1]]))
+        return out
+
+    rows = [(k, " ".join(walk(60))) for k in range(400)]
+    odd = [w for i, t in rows[:60] if zlib.crc32(str(i).encode()) % 7 == 2 for w in [t.split()]]
+    mixed = [(next(j for j in range(10_000 * (k + 1), 10_000 * (k + 2)) if zlib.crc32(str(j).encode()) % 7 == 2), " ".join(rng.sample(w, len(w)))) for k, w in enumerate(odd)]
+    out = {r.doc_id: r for r in lm_scoring.lm_scores(frame(spark, rows + mixed)).collect()}
+    held = [r for i, r in out.items() if r.held_out and i < 10_000]
+    assert len(held) > 30 and sum(r.score for r in held) / sum(r.n_tokens for r in held) > -0.6  # two words may follow; -1.6 without order
+    assert sum(out[i].score for i, _ in mixed) / sum(out[i].n_tokens for i, _ in mixed) < -1.3
+
+
 def test_predictive_probabilities_sum_to_one():
     rng = np.random.default_rng(1)
     n = rng.poisson(2, (50, 3))
