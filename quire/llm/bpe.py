@@ -2,7 +2,7 @@
 
 The distinct new words of a chunk are merged together: their symbols lie in one flat array, each
 round looks the adjacent pairs up in the sorted pair keys, and merges in every word its pairs of
-lowest rank.  Words that a worker has met are kept, by 64-bit hash, in bounded arrays.
+lowest rank.  Words that a worker has met are kept in bounded arrays, found by 64-bit hash and compared.
 """
 
 from __future__ import annotations
@@ -16,13 +16,13 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from quire.llm.textkernel import BLANK, SPACE_ONLY, flat, spans, words
+from quire.llm.textkernel import BLANK, PAD, SPACE_ONLY, equal_bytes, flat, spans, words
 
 # Fixed values of the byte-level pre-tokenizer: its pattern, and the bytes that stand for themselves.
 BYTE_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
 
-KEPT_WORDS = 1_000_000
+KEPT_WORDS, KEPT_BYTES = 1_000_000, 1 << 25
 _SHIFT = 32
 _NONE = np.iinfo(np.int64).max
 
@@ -64,9 +64,10 @@ class Bpe:
         self._forget()
 
     def _forget(self) -> None:
-        """Known units: sorted hashes with each one's number, and the ids of the units by number."""
+        """Known units: sorted hashes with each one's number; by number the ids of the units and their bytes."""
         self.hash, self.number = np.zeros(0, np.uint64), np.zeros(0, np.int64)
         self.at, self.ids = np.zeros(1, np.int64), np.zeros(0, "<u4")
+        self.ends, self.bytes = np.zeros(1, np.int64), np.zeros(PAD, np.uint8)
 
     def normal(self, text: str) -> str:
         if not text.isascii():
@@ -162,7 +163,7 @@ class Bpe:
         w = words(np.frombuffer(b"".join(raw), np.uint8), np.r_[0, np.cumsum([len(r) for r in raw])].astype(np.int64), blank=SPACE_ONLY if self.byte_level else BLANK)
         head = (w.start == w.offsets[w.doc]) if self.byte_level else np.zeros(len(w.start), bool)
         digest, pick, unit = np.unique(np.where(head, ~w.hash, w.hash), return_index=True, return_inverse=True)
-        if len(self.hash) > KEPT_WORDS:
+        if len(self.hash) > KEPT_WORDS or len(self.bytes) > KEPT_BYTES:
             self._forget()
         spot = np.searchsorted(self.hash, digest)
         new = np.ones(len(digest), bool)
@@ -171,13 +172,18 @@ class Bpe:
         number[~new] = self.number[spot[~new]]
         if new.any():
             fresh = pick[new]
-            data = w.buf.tobytes()
+            data = w.low.tobytes()
+            units = [data[a:b] for a, b in zip(w.start[fresh].tolist(), w.end[fresh].tolist())]
             number[new] = np.arange(len(self.at) - 1, len(self.at) - 1 + len(fresh))
-            self._learn([data[a:b] for a, b in zip(w.start[fresh].tolist(), w.end[fresh].tolist())], (~head[fresh]).tolist())
+            self._learn(units, (~head[fresh]).tolist())
+            self.ends = np.r_[self.ends, self.ends[-1] + np.cumsum(w.end[fresh] - w.start[fresh])]
+            self.bytes = np.r_[self.bytes[:-PAD], np.frombuffer(b"".join([*units, bytes(PAD)]), np.uint8)]
             keys, numbers = np.r_[self.hash, digest[new]], np.r_[self.number, number[new]]
             order = np.argsort(keys, kind="stable")
             self.hash, self.number = keys[order], numbers[order]
         number = number[unit]
+        same = equal_bytes(w.low, w.start, w.end, self.bytes, self.ends[number], self.ends[number + 1])
+        apart.update(w.doc[~same].tolist())  # another unit has the hash
         begin, size = self.at[number], self.at[number + 1] - self.at[number]
         to = np.r_[0, np.cumsum(size)]
         out = self.ids[np.repeat(begin - to[:-1], size) + np.arange(to[-1])].tobytes()

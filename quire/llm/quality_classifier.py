@@ -12,7 +12,7 @@ from dataclasses import dataclass
 import numpy as np
 from pyspark.sql import DataFrame
 
-from quire.llm.textkernel import BYTES_FOLDED, Words, copies, prefix, windows, words
+from quire.llm.textkernel import BYTES_FOLDED, Words, copies, exact_windows, prefix, words
 from quire.llm.toxicity import scored
 from quire.llm.training import labelled_sample
 
@@ -44,8 +44,9 @@ def statistics(w: Words) -> np.ndarray:
     points = (high - low) - count(TAIL)
     again = np.zeros(len(w.hash), bool)
     again[1:] = (w.hash[1:] == w.hash[:-1]) & (w.doc[1:] == w.doc[:-1])
-    often, before = copies(w.doc, w.hash)
-    triple, whole = windows(w, 3)
+    often, before = copies(w.doc, w.number)
+    triple = exact_windows(w.number, 3)
+    whole = w.doc[: len(triple)] == w.doc[len(w.doc) - len(triple) :]
     at = w.doc[: len(triple)][whole]
     _, seen = copies(at, triple[whole])
     letters = np.maximum(1, count(UPPER) + count(LOWER))
@@ -73,7 +74,7 @@ class Machine:
         """The sum before the logistic curve, the factors' sums, and what the gradient needs of the words."""
         slot = (w.hash >> np.uint64(64 - BITS)).astype(np.int64)
         own = SHARE / np.maximum(1, w.per_doc())[w.doc]  # of a token; a word's value is its tokens' sum
-        often, _ = copies(w.doc, w.hash)
+        often, _ = copies(w.doc, w.number)
         y = self.bias + w.per_doc(self.linear[slot] * own) + x @ self.linear[1 << BITS :]
         sums = np.stack([w.per_doc(self.factors[slot, f] * own) for f in range(FACTORS)], 1) + x @ self.factors[1 << BITS :]
         squares = w.per_doc((self.factors[slot] ** 2).sum(1) * own * own * often) + (x**2) @ (self.factors[1 << BITS :] ** 2).sum(1)

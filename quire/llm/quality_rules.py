@@ -2,8 +2,9 @@
 
 The field's features are shares and flags of a line; Viterbi decoding gives the likeliest marks of a
 text's lines in order, and the content's share of the words decides whether the text is kept.
-Lines carry no labels of their own, so the field is trained on the lines of labelled texts, each
-line with its text's quality.
+Lines carry no labels of their own.  The field is first trained on labelled texts, each line with its
+text's quality, and on splices of good and poor ones, which show it where marks change.  Lines that it
+then marks against their text with near certainty change their label, and it is trained once more.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quire.llm.quality_classifier import BAR, BLANKS, DIGITS, HIGH, LOWER, NEWLINE, SHOUT, STOPS, SYMBOLS, TAIL, UPPER
-from quire.llm.textkernel import Words, chunks, copies, prefix, segment_hash, windows
+from quire.llm.textkernel import Words, chunks, copies, dense, exact_windows, hashes, prefix
 from quire.llm.training import labelled_sample
 
 CONTENT = 1
@@ -35,6 +36,13 @@ class Lines:
         return np.searchsorted(self.doc, np.arange(n_docs + 1))
 
 
+def triples(w: Words) -> tuple[np.ndarray, np.ndarray]:
+    """Where three words of one text begin, and a number of the three."""
+    number = exact_windows(w.number, 3)
+    at = np.flatnonzero(w.doc[: len(number)] == w.doc[len(w.doc) - len(number) :])
+    return at, number[at]
+
+
 def lines(w: Words) -> Lines:
     """The lines of each text (an empty text has one) and their features."""
     breaks = np.flatnonzero(NEWLINE[w.buf])
@@ -44,7 +52,7 @@ def lines(w: Words) -> Lines:
     end = np.where(last, w.offsets[1:][doc], np.r_[start[1:], 0] - 1)
     n = np.searchsorted(w.start, end) - np.searchsorted(w.start, start)
     of = np.repeat(np.arange(len(n)), n)
-    _, before = copies(doc, segment_hash(w.buf, start, end))
+    _, before = copies(doc, dense(w.low, start, end, hashes(w.low, start, end)))
     repeated = before & (n > 0)
 
     def count(table: np.ndarray) -> np.ndarray:
@@ -56,10 +64,9 @@ def lines(w: Words) -> Lines:
 
     again = np.zeros(len(w.hash), bool)
     again[1:] = (w.hash[1:] == w.hash[:-1]) & (w.doc[1:] == w.doc[:-1])
-    often, seen = copies(w.doc, w.hash)
-    triple, whole = windows(w, 3)
-    at = np.flatnonzero(whole)
-    _, old = copies(w.doc[at], triple[at])
+    _, seen = copies(w.doc, w.number)
+    at, triple = triples(w)
+    _, old = copies(w.doc[at], triple)
     old_word = np.zeros(len(w.hash), bool)
     old_word[at] = old
     some, size = np.maximum(1, n), np.maximum(1, end - start - count(BLANKS))
@@ -103,51 +110,86 @@ class Field:
         return out
 
 
-def fit(texts: list[str], labels: list[int], share: float, rounds: int = 150, rate: float = 0.1, penalty: float = 1e-3) -> Field:
-    """Ascends the conditional likelihood by Adam; with one class alone, every line is content."""
-    if len(set(labels)) < 2:
-        return Field(np.r_[10.0, np.zeros(N_FEATURES - 1)], np.zeros((2, 2)), np.zeros(2))
-    parts = [(a, lines(w)) for a, _, w in chunks(pa.array(texts))]
-    features = np.concatenate([x.features for _, x in parts])
-    first = np.searchsorted(np.concatenate([x.doc + a for a, x in parts]), np.arange(len(texts) + 1))
-    label = np.array(labels)
-    length = np.diff(first)
-    weight = np.where(label == 1, share / (label == 1).mean(), (1 - share) / (label == 0).mean())
+@dataclass
+class Sequence:
+    features: np.ndarray
+    marks: np.ndarray
+    weight: float
+
+
+def spliced(texts: list[Sequence], labels: list[int], n: int, seed: int = 3) -> list[Sequence]:
+    """n sequences made of a run of lines of one text and a run of another of the other label, in either order."""
+    rng = np.random.default_rng(seed)
+    pools = [[t for t, v in zip(texts, labels) if v == k and len(t.marks)] for k in (0, 1)]
+    out = []
+    for _ in range(n if all(pools) else 0):
+        pair = [pools[k][rng.integers(len(pools[k]))] for k in rng.permutation(2)]
+        cut = [(t, *np.sort(rng.integers(0, len(t.marks) + 1, 2))) for t in pair]
+        cut = [(t, a, b) if a < b else (t, 0, len(t.marks)) for t, a, b in cut]
+        out.append(Sequence(*(np.concatenate([getattr(t, x)[a:b] for t, a, b in cut]) for x in ("features", "marks")), sum(t.weight for t in pair) / 2))
+    return out
+
+
+def trained(data: list[Sequence], theta: np.ndarray, rounds: int, rate: float = 0.1, penalty: float = 1e-3) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Weights after some rounds of Adam on the conditional likelihood, and each sequence's chance of content by line."""
+    length = np.array([len(t.marks) for t in data])
     batches = []
-    for pick in np.array_split(np.argsort(length, kind="stable"), -(-len(texts) // 64)):
-        at = first[pick][:, None] + np.arange(length[pick].max())
-        inside = np.arange(at.shape[1]) < length[pick][:, None]
-        batches.append((features[np.minimum(at, len(features) - 1)] * inside[..., None], inside, label[pick], weight[pick] / length[pick]))
-    theta = np.zeros(N_FEATURES + 6)
+    for pick in np.array_split(np.argsort(length, kind="stable"), -(-len(data) // 64)):
+        x, y, inside = np.zeros((len(pick), length[pick].max(), N_FEATURES)), np.zeros((len(pick), length[pick].max()), int), np.arange(length[pick].max()) < length[pick][:, None]
+        for k, t in enumerate(pick):
+            x[k, : length[t]], y[k, : length[t]] = data[t].features, data[t].marks
+        batches.append((pick, x, inside, y, np.array([data[t].weight for t in pick]) / np.maximum(1, length[pick])))
     one, two = np.zeros_like(theta), np.zeros_like(theta)
-    scale = sum((b[3] * b[1].sum(1)).sum() for b in batches)
-    for k in range(1, rounds + 1):
+    scale = sum((b[4] * b[2].sum(1)).sum() for b in batches)
+    chances: list[np.ndarray] = [np.zeros(0)] * len(data)
+    for turn in range(1, rounds + 1):
         emit, step, begin = theta[:N_FEATURES], theta[N_FEATURES : N_FEATURES + 4].reshape(2, 2), theta[-2:]
         grad = np.zeros_like(theta)
-        for x, inside, y, wt in batches:
-            n, length_ = inside.shape
-            gain = np.stack([np.zeros((n, length_)), x @ emit], 2)
-            fwd, bwd = np.zeros((n, length_, 2)), np.zeros((n, length_, 2))
+        for pick, x, inside, y, wt in batches:
+            n, most = inside.shape
+            gain = np.stack([np.zeros((n, most)), x @ emit], 2)
+            fwd, bwd = np.zeros((n, most, 2)), np.zeros((n, most, 2))
             fwd[:, 0] = begin + gain[:, 0]
-            for t in range(1, length_):
+            for t in range(1, most):
                 fwd[:, t] = np.where(inside[:, t, None], np.logaddexp(fwd[:, t - 1, :1] + step[0], fwd[:, t - 1, 1:] + step[1]) + gain[:, t], fwd[:, t - 1])
-            for t in range(length_ - 2, -1, -1):
+            for t in range(most - 2, -1, -1):
                 ahead = gain[:, t + 1] + bwd[:, t + 1]
                 bwd[:, t] = np.where(inside[:, t + 1, None], np.logaddexp(step[:, 0] + ahead[:, :1], step[:, 1] + ahead[:, 1:]), 0)
             total = np.logaddexp(fwd[:, -1, 0], fwd[:, -1, 1])[:, None, None]
             mark = np.exp(fwd + bwd - total) * inside[..., None]
-            grad[:N_FEATURES] += np.einsum("nt,ntf,n->f", y[:, None] * inside - mark[..., 1], x, wt)
-            grad[-2] += (wt * ((y == 0) - mark[:, 0, 0])).sum()
-            grad[-1] += (wt * ((y == 1) - mark[:, 0, 1])).sum()
+            if turn == rounds:
+                for k, t in enumerate(pick):
+                    chances[t] = mark[k, : length[t], 1]
+            grad[:N_FEATURES] += np.einsum("nt,ntf,n->f", y * inside - mark[..., 1], x, wt)
+            for v in (0, 1):
+                grad[N_FEATURES + 4 + v] += (wt * ((y[:, 0] == v) - mark[:, 0, v])).sum()
             both = inside[:, 1:]
             for i in (0, 1):
                 for j in (0, 1):
-                    pair = np.exp(fwd[:, :-1, i] + step[i, j] + gain[:, 1:, j] + bwd[:, 1:, j] - total[..., 0]) * both
-                    told = (y == i) & (y == j)
-                    grad[N_FEATURES + 2 * i + j] += (wt * (told * both.sum(1) - pair.sum(1))).sum()
+                    pair = np.exp(fwd[:, :-1, i] + step[i, j] + gain[:, 1:, j] + bwd[:, 1:, j] - total[..., 0])
+                    told = (y[:, :-1] == i) & (y[:, 1:] == j)
+                    grad[N_FEATURES + 2 * i + j] += (wt * ((told - pair) * both).sum(1)).sum()
         grad = -grad / scale + penalty * theta
         one, two = 0.9 * one + 0.1 * grad, 0.99 * two + 0.01 * grad**2
-        theta = theta - rate * one / (1 - 0.9**k) / (np.sqrt(two / (1 - 0.99**k)) + 1e-8)
+        theta = theta - rate * one / (1 - 0.9**turn) / (np.sqrt(two / (1 - 0.99**turn)) + 1e-8)
+    return theta, chances
+
+
+def fit(texts: list[str], labels: list[int], share: float, rounds: int = 80, sure: float = 0.98) -> Field:
+    """Fits the field on labelled texts; with one class alone, every line is content."""
+    if len(set(labels)) < 2:
+        return Field(np.r_[10.0, np.zeros(N_FEATURES - 1)], np.zeros((2, 2)), np.zeros(2))
+    label = np.array(labels)
+    weight = np.where(label == 1, share / (label == 1).mean(), (1 - share) / (label == 0).mean())
+    data = []
+    for a, b, w in chunks(pa.array(texts)):
+        own = lines(w)
+        first = own.first(w.n_docs)
+        data += [Sequence(own.features[i:j], np.full(j - i, label[a + k]), weight[a + k]) for k, (i, j) in enumerate(zip(first[:-1], first[1:]))]
+    theta, chances = trained(data + spliced(data, labels, len(data) // 2), np.zeros(N_FEATURES + 6), rounds)
+    for t, chance in zip(data, chances):
+        t.marks = np.where(chance > sure, 1, np.where(chance < 1 - sure, 0, t.marks))
+    theta, _ = trained(data + spliced(data, labels, len(data) // 2), theta, rounds // 2)
     return Field(theta[:N_FEATURES], theta[N_FEATURES : N_FEATURES + 4].reshape(2, 2), theta[-2:])
 
 
@@ -161,9 +203,8 @@ def measure(w: Words, field: Field) -> tuple[dict[str, np.ndarray], np.ndarray]:
     mark = field.decode(own.features, first)
     n = w.per_doc()
     inside, symbols = prefix(~BLANKS[w.buf] & ~TAIL[w.buf]), prefix(SYMBOLS[w.buf])
-    triple, whole = windows(w, 3)
-    at = np.flatnonzero(whole)
-    often, _ = copies(w.doc[at], triple[at])
+    at, triple = triples(w)
+    often, _ = copies(w.doc[at], triple)
     covered = np.zeros(len(w.hash), bool)
     for k in range(3):
         covered[at[often > 1] + k] = True

@@ -1,13 +1,15 @@
 """Words of many texts at once: one flat byte buffer, word bounds, and 64-bit word hashes in numpy.
 
 A word is a run of bytes outside space, tab, newline, vertical tab, form feed and carriage return.
-A hash is a polynomial in the word's bytes modulo 2**64, taken from prefix sums, then mixed.
+A hash mixes each block of eight bytes with a key of its place and adds the results up.  Where equality
+decides a result, the bytes are compared as well: see dense() and equal_bytes().
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -18,7 +20,6 @@ CHUNK_BYTES = 1 << 21
 BLANK = np.zeros(256, bool)
 BLANK[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 _R = 0x9E3779B97F4A7C15
-_RINV = pow(_R, -1, 1 << 64)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -31,35 +32,60 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-BYTES = mix(np.arange(1, 257, dtype=U64) * U64(_R))
-LOWER = np.arange(256)
-LOWER[65:91] += 32
-#: Byte values for hashes that do not tell A-Z from a-z.
-BYTES_FOLDED = BYTES[LOWER]
+#: Byte values that hashes and comparisons see: as they are, or with A-Z as a-z.
+BYTES = np.arange(256, dtype=np.uint8)
+BYTES_FOLDED = BYTES.copy()
+BYTES_FOLDED[65:91] += 32
+PAD = 8
+_MASK = np.array([(1 << 8 * k) - 1 for k in range(9)], U64)
 
 
-def _powers(base: int, n: int) -> np.ndarray:
-    out = np.empty(n, U64)
-    out[0] = 1
-    k = 1
-    while k < n:
-        m = min(k, n - k)
-        out[k : k + m] = out[:m] * U64(pow(base, k, 1 << 64))
-        k += m
+def padded(buf: np.ndarray, values: np.ndarray = BYTES) -> np.ndarray:
+    """The buffer's bytes as hashes see them, with eight zeros behind."""
+    out = np.zeros(len(buf) + PAD, np.uint8)
+    out[: len(buf)] = buf if values is BYTES else values[buf]
     return out
 
 
-_POWERS: list[np.ndarray] = []
-
-
-def _tables(n: int) -> list[np.ndarray]:
-    if not _POWERS or len(_POWERS[0]) < n:
-        size = max(n, CHUNK_BYTES + 1)
-        fresh = [_powers(_R, size), _powers(_RINV, size)]
-        if size > CHUNK_BYTES + 1:
-            return fresh  # one very long text: not kept
-        _POWERS[:] = fresh
-    return _POWERS
+def _eights(low: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place of a padded buffer on, as one number."""
+    return np.ndarray((len(low) - PAD + 1,), "<u8", low, 0, (1,))
+
+
+def _later(size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of ranges over eight bytes: which they are, and for each further block its range, place, and where ranges begin."""
+    long = np.flatnonzero(size > 8)
+    n = (size[long] - 1) // 8
+    first = np.cumsum(n) - n
+    turn = np.arange(n.sum()) - np.repeat(first, n) + 1
+    return long, np.repeat(long, n), turn, first
+
+
+def hashes(low: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64-bit hashes of byte ranges of a padded buffer."""
+    if not len(start):
+        return np.zeros(0, U64)
+    eight, size = _eights(low), end - start
+    out = mix((eight[start] & _MASK[np.minimum(size, 8)]) ^ U64(_R))
+    long, of, turn, first = _later(size)
+    if len(long):
+        at = start[of] + 8 * turn
+        block = eight[at] & _MASK[np.minimum(end[of] - at, 8)]
+        out[long] += np.add.reduceat(mix(block ^ mix((turn + 1).astype(U64) * U64(_R))), first)
+    return mix(out + size.astype(U64) * U64(0xD6E8FEB86659FD93))
+
+
+def equal_bytes(one: np.ndarray, start: np.ndarray, end: np.ndarray, two: np.ndarray, start2: np.ndarray, end2: np.ndarray) -> np.ndarray:
+    """Whether ranges of one padded buffer have the bytes of ranges of another."""
+    a, b, size = _eights(one), _eights(two), end - start
+    mask = _MASK[np.minimum(size, 8)]
+    out = (size == end2 - start2) & ((a[start] & mask) == (b[start2] & mask))
+    long, of, turn, _ = _later(np.where(out, size, 0))
+    if len(long):
+        at = 8 * turn
+        mask = _MASK[np.minimum(size[of] - at, 8)]
+        out[of[(a[start[of] + at] & mask) != (b[start2[of] + at] & mask)]] = False
+    return out
 
 
 @dataclass
@@ -70,6 +96,7 @@ class Words:
     end: np.ndarray
     doc: np.ndarray  # the text's place in the chunk
     hash: np.ndarray
+    low: np.ndarray  # buf as hashes see it, padded
 
     @property
     def n_docs(self) -> int:
@@ -80,6 +107,11 @@ class Words:
         out = np.bincount(self.doc, values, minlength=self.n_docs)
         return out.astype(np.int64) if values is None else out
 
+    @cached_property
+    def number(self) -> np.ndarray:
+        """A number of each word, the same for the same word and for no other."""
+        return dense(self.low, self.start, self.end, self.hash)
+
     def first(self) -> np.ndarray:
         """Where each text's words begin among all words; one more entry at the end."""
         return np.searchsorted(self.doc, np.arange(self.n_docs + 1))
@@ -107,10 +139,10 @@ SPACE_ONLY = np.arange(256) == 0x20
 
 
 def words(buf: np.ndarray, offsets: np.ndarray, values: np.ndarray = BYTES, blank: np.ndarray = BLANK) -> Words:
-    n = len(buf)
+    n, low = len(buf), padded(buf, values)
     if not n:
         none = np.zeros(0, np.int64)
-        return Words(buf, offsets, none, none, none, np.zeros(0, U64))
+        return Words(buf, offsets, none, none, none, np.zeros(0, U64), low)
     inside = ~blank[buf]
     cut = np.zeros(n + 1, bool)
     cut[offsets] = True
@@ -119,12 +151,8 @@ def words(buf: np.ndarray, offsets: np.ndarray, values: np.ndarray = BYTES, blan
     ends = inside.copy()
     ends[:-1] &= ~inside[1:] | cut[1:-1]
     start, end = np.flatnonzero(begins), np.flatnonzero(ends) + 1
-    power, inverse = _tables(n)
-    total = np.zeros(n + 1, U64)
-    np.cumsum(values[buf] * power[:n], out=total[1:])
-    h = mix((total[end] - total[start]) * inverse[start] + (end - start).astype(U64))
     doc = np.repeat(np.arange(len(offsets) - 1), np.diff(np.searchsorted(start, offsets)))
-    return Words(buf, offsets, start, end, doc, h)
+    return Words(buf, offsets, start, end, doc, hashes(low, start, end), low)
 
 
 def chunks(texts: pa.Array, values: np.ndarray = BYTES) -> Iterator[tuple[int, int, Words]]:
@@ -146,20 +174,34 @@ def windows(w: Words, size: int) -> tuple[np.ndarray, np.ndarray]:
     return mix(out), w.doc[:n] == w.doc[size - 1 :]
 
 
-def segment_hash(buf: np.ndarray, start: np.ndarray, end: np.ndarray, values: np.ndarray = BYTES) -> np.ndarray:
-    """64-bit hashes of byte ranges of one buffer."""
-    power, inverse = _tables(len(buf) + 1)
-    total = np.zeros(len(buf) + 1, U64)
-    np.cumsum(values[buf] * power[: len(buf)], out=total[1:])
-    return mix((total[end] - total[start]) * inverse[start] + (end - start).astype(U64))
+def dense(low: np.ndarray, start: np.ndarray, end: np.ndarray, digest: np.ndarray) -> np.ndarray:
+    """Numbers of byte ranges, the same for ranges of the same bytes and for no others."""
+    _, pick, number = np.unique(digest, return_index=True, return_inverse=True)
+    if not len(digest) or equal_bytes(low, start, end, low, start[pick][number], end[pick][number]).all():
+        return number
+    raw, seen = low.tobytes(), {}  # hashes collide: the bytes themselves
+    return np.array([seen.setdefault(raw[a:b], len(seen)) for a, b in zip(start.tolist(), end.tolist())], np.int64)
+
+
+def exact_windows(number: np.ndarray, size: int) -> np.ndarray:
+    """Numbers of the runs of `size` numbers (under 2**32) from each place on."""
+    n = max(0, len(number) - size + 1)
+    out, k = number[:n].astype(U64), 1
+    while k < size and n:
+        bits = int(number.max()).bit_length()
+        if int(out.max()).bit_length() + bits > 64:
+            out = np.unique(out, return_inverse=True)[1].astype(U64)
+        out = out << U64(bits) | number[k : k + n].astype(U64)
+        k += 1
+    return np.unique(out, return_inverse=True)[1]
 
 
-def copies(doc: np.ndarray, digest: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Of items of several texts: how often the item is found in its text, and whether it came before."""
-    if not len(digest):
+def copies(doc: np.ndarray, number: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of numbered items of several texts: how often the item is found in its text, and whether it came before."""
+    if not len(number):
         return np.zeros(0, np.int64), np.zeros(0, bool)
-    _, first, inverse, count = np.unique(mix(digest + doc.astype(U64) * U64(_R)), return_index=True, return_inverse=True, return_counts=True)
-    return count[inverse], first[inverse] != np.arange(len(digest))
+    _, first, inverse, count = np.unique(doc.astype(U64) << U64(32) | number.astype(U64), return_index=True, return_inverse=True, return_counts=True)
+    return count[inverse], first[inverse] != np.arange(len(number))
 
 
 def prefix(flags: np.ndarray) -> np.ndarray:
