@@ -1,21 +1,21 @@
 """Exact dedup in two Bloom passes: only rows whose text may repeat are shuffled.
 
-Pass one sets two bits per normalised text in counting filters and keeps the bits that were set
-twice.  Pass two tests each row against these bits: a row with a clear bit is certainly unique and
-passes straight through; the others are grouped by the SHA-256 of the normalised text.
+Pass one groups the 64-bit hashes of the normalised texts and sets two bits in a filter for each hash
+that occurs twice.  Pass two tests each row against the filter: a row with a clear bit is certainly
+unique and passes straight through; the others are grouped by the SHA-256 of the normalised text.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quire.plans.staging import stage
 
 BLANKS = " \t\n\x0b\x0c\r"
-#: Bits of one of the two filters: 16 a row, at most this many (64 MB a filter).  A fuller filter
-#: sends more rows through the shuffle, with the same result.
-MAX_FILTER_BITS = 1 << 29
+BITS_A_ROW = 16
+#: A filter of more bits (64 MB) is joined by its buckets, in a shuffle, and not broadcast.
+BROADCAST_BITS = 1 << 29
 
 
 def normalised(text: Column) -> Column:
@@ -26,24 +26,21 @@ def normalised(text: Column) -> Column:
     return out
 
 
-def filter_bits(rows: int, per_row: int = 16) -> int:
-    return min(MAX_FILTER_BITS, 1 << max(12, (max(rows, 1) * per_row - 1).bit_length()))
+def filter_bits(rows: int, per_row: int = BITS_A_ROW) -> int:
+    """The size of a filter for so many rows: it grows with them, so that the share of false hits does not."""
+    return 1 << max(12, (max(rows, 1) * per_row - 1).bit_length())
 
 
-def slots(digest: Column, bits: int) -> tuple[Column, Column]:
-    """Two slots from the halves of a 64-bit hash; the second filter starts at `bits` + 1."""
-    low = digest.bitwiseAND(F.lit(bits - 1)) + 1
-    high = F.shiftrightunsigned(digest, 33).bitwiseAND(F.lit(bits - 1)) + 1 + bits
-    return low, high
+def slots(digest: Column, bits: int) -> list[Column]:
+    """Two slots, from 1 on, of a 64-bit hash."""
+    return [F.pmod(digest, F.lit(bits)) + 1, F.pmod(F.xxhash64(digest, F.lit(2)), F.lit(bits)) + 1]
 
 
-def repeated_bits(digests: DataFrame, bits: int) -> DataFrame:
-    """(bucket, bitmap): the slots that two or more rows set.  digests has one column, h."""
-    low, high = slots(F.col("h"), bits)
+def bitmaps(digests: DataFrame, bits: int) -> DataFrame:
+    """(bucket, bitmap) of a filter in which the slots of the hashes of a one-column table are set."""
+    slot = F.explode(F.array(*slots(F.col(digests.columns[0]), bits)))
     return (
-        digests.select(F.explode(F.array(low, high)).alias("slot"))
-        .groupBy("slot").agg(F.count(F.lit(1)).alias("n"))
-        .where("n > 1")
+        digests.select(slot.alias("slot"))
         .groupBy(F.bitmap_bucket_number("slot").alias("bucket"))
         .agg(F.bitmap_construct_agg(F.bitmap_bit_position("slot")).alias("bitmap"))
     )
@@ -54,51 +51,47 @@ def bit(bitmap: Column, position: Column) -> Column:
     return F.coalesce(F.getbit(byte, (position % 8).cast("int")), F.lit(0)) == 1
 
 
-def among(rows: DataFrame, key: str, keys: DataFrame) -> DataFrame:
-    """Rows whose key is in a one-column table of keys, and a few others: a filter ahead of a shuffle."""
-    bits = filter_bits(keys.count())
-    slot = lambda c: F.xxhash64(c).bitwiseAND(F.lit(bits - 1)) + 1
-    known = keys.select(slot(F.col(key)).alias("slot")).groupBy(F.bitmap_bucket_number("slot").alias("__bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("slot")).alias("__map"))
-    out = rows.withColumn("__slot", slot(F.col(key)))
-    out = out.join(F.broadcast(known), F.bitmap_bucket_number("__slot") == F.col("__bucket"))  # at most MAX_FILTER_BITS bits
-    return out.where(bit(F.col("__map"), F.bitmap_bit_position("__slot"))).drop("__slot", "__bucket", "__map")
+def tested(rows: DataFrame, digest: str, found: DataFrame, bits: int, flag: str) -> DataFrame:
+    """rows with a flag: whether both slots of the digest are set in a staged filter of bitmaps()."""
+    both = None
+    for k, slot in enumerate(slots(F.col(digest), bits)):
+        side = found.select(F.col("bucket").alias(f"{flag}_b{k}"), F.col("bitmap").alias(f"{flag}_m{k}"))
+        side = F.broadcast(side) if bits <= BROADCAST_BITS else side  # at most 64 MB, the same table both times
+        rows = rows.join(side, F.bitmap_bucket_number(slot) == F.col(f"{flag}_b{k}"), "left")
+        hit = bit(F.col(f"{flag}_m{k}"), F.bitmap_bit_position(slot))
+        both = hit if both is None else both & hit
+    return rows.withColumn(flag, both).drop(*(f"{flag}_{c}{k}" for c in "bm" for k in (0, 1)))
+
+
+def others(columns: list[str], added: list[str]) -> list[str]:
+    """The columns that are not named like added ones; Spark does not tell upper from lower case."""
+    return [c for c in columns if c.lower() not in {a.lower() for a in added}]
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with keep_id, group_size, kept and text_sha256 added, which replace columns so named.
+    """docs with keep_id, group_size, kept and text_sha256 added, which replace columns so named in any case.
 
     Texts are equal when they are identical after deleting the blanks space, tab, newline, vertical
     tab, form feed and carriage return; a null text counts as empty.  Of equal texts the row with the
     most code points in the original stays, then the smallest id (a null id comes last).  Of rows
     that also share the id, one stays.  An empty table gives an empty result.
     """
-    added = ["keep_id", "group_size", "kept", "text_sha256"]
-    ident, text = F.col(f"`{id_col}`"), F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
-    bits = filter_bits(docs.count())
-    norm = normalised(text)
-
-    seen = stage(repeated_bits(docs.select(F.xxhash64(norm).alias("h")), bits), "bloom")
-    low, high = slots(F.col("__h"), bits)
-    rows = docs.withColumns({"__id": ident, "__sha": F.sha2(norm.cast("binary"), 256), "__short": -F.char_length(text), "__h": F.xxhash64(norm)}).drop(*added)
-    rows = rows.withColumns({"__low": low, "__high": high})
-    for side in ("low", "high"):
-        part = seen.select(F.col("bucket").alias(f"__b_{side}"), F.col("bitmap").alias(f"__m_{side}"))
-        rows = rows.join(F.broadcast(part), F.bitmap_bucket_number(f"__{side}") == F.col(f"__b_{side}"), "left")  # at most 2 * MAX_FILTER_BITS bits
-    twice = [bit(F.col(f"__m_{side}"), F.bitmap_bit_position(f"__{side}")) for side in ("low", "high")]
-    rows = rows.withColumn("__again", twice[0] & twice[1]).drop("__h", "__low", "__high", "__b_low", "__b_high", "__m_low", "__m_high")
-    kept_columns = [F.col(f"`{c}`") for c in docs.columns if c not in added]
-
-    once = rows.where("NOT __again").select(
-        *kept_columns, F.col("__id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), F.col("__sha").alias("text_sha256"))
-    again = rows.where("__again")
-    order = F.struct("__short", F.col("__id").isNull().alias("__null"), "__id", "n")
-    groups = stage(
-        again.groupBy("__sha", "__short", "__id").agg(F.count(F.lit(1)).alias("n"))
-        .groupBy(F.col("__sha").alias("__group")).agg(F.min(order).alias("__best"), F.sum("n").alias("group_size")), "copies")
-    best = F.col("__best.__id").eqNullSafe(F.col("__id")) & (F.col("__best.__short") == F.col("__short"))
-    many = again.join(groups, F.col("__sha") == F.col("__group"), "left").withColumn("kept", best)
-    if not groups.where("__best.n > 1").isEmpty():  # rows that repeat id and text: the first of them stays
-        same = Window.partitionBy("__sha", "__short", "__id").orderBy("__sha")
-        many = many.withColumn("kept", F.col("kept") & (F.row_number().over(same) == 1))
-    many = many.select(*kept_columns, F.col("__best.__id").alias("keep_id"), "group_size", "kept", F.col("__sha").alias("text_sha256"))
+    own = others(docs.columns, ["keep_id", "group_size", "kept", "text_sha256"])
+    text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
+    bits, norm = filter_bits(docs.count()), normalised(text)
+
+    twice = docs.select(F.xxhash64(norm).alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h")
+    found = stage(bitmaps(twice, bits), "bloom")
+    rows = docs.select(
+        F.struct(*[F.col(f"`{c}`") for c in own]).alias("own"), F.col(f"`{id_col}`").alias("id"), F.sha2(norm.cast("binary"), 256).alias("sha"),
+        (-F.char_length(text)).alias("short"), F.xxhash64(norm).alias("h"))
+    rows = tested(rows, "h", found, bits, "again").drop("h")
+    columns = [F.col(f"own.`{c}`").alias(c) for c in own]
+    once = rows.where("NOT again").select(*columns, F.col("id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), F.col("sha").alias("text_sha256"))
+
+    again = stage(rows.where("again").drop("again").withColumn("row", F.monotonically_increasing_id()), "again")
+    order = F.struct("short", F.col("id").isNull().alias("none"), "id", "row")
+    groups = again.groupBy("sha").agg(F.min(order).alias("best"), F.count(F.lit(1)).alias("group_size"))
+    many = again.join(stage(groups, "copies"), "sha").select(
+        *columns, F.col("best.id").alias("keep_id"), "group_size", (F.col("best.row") == F.col("row")).alias("kept"), F.col("sha").alias("text_sha256"))
     return once.unionByName(many)

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quire.llm.exact_dedup import others
 from quire.plans.staging import stage
 
 BLANKS = " \t\n\x0b\x0c\r"
@@ -23,7 +24,7 @@ def line_key(line: Column) -> Column:
 
 
 def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 40, min_docs: int = 5) -> DataFrame:
-    """docs with the text rewritten, and n_lines (before) and n_dropped added, replacing columns so named.
+    """docs with the text rewritten, and n_lines (before) and n_dropped added, replacing columns so named in any case.
 
     A text is split at newlines; a null or empty text is one empty line and comes back empty.  A line
     whose key has min_chars code points or more and is found in min_docs distinct ids or more loses
@@ -45,13 +46,18 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         .where(F.col("n") + F.col("nulls") >= min_docs).select("h1", "h2", "last"), "lines")
     dropped = (
         found.join(shared, ["h1", "h2"]).where(~F.col("id").eqNullSafe(F.col("last")))
-        .groupBy(F.col("row").alias("__of"), F.col("id").alias("__id")).agg(F.collect_set("pos").alias("__drop"))
+        .groupBy(F.col("row").alias("of"), "id").agg(F.array_sort(F.collect_set("pos")).alias("gone"))
     )  # at most the lines of one text
-    out = docs.withColumn("__row", row).drop("n_lines", "n_dropped")
-    out = out.join(dropped, (F.col("__row") == F.col("__of")) & ident.eqNullSafe(F.col("__id")), "left")
-    kept = F.filter(lines, lambda x, i: ~F.array_contains("__drop", i))
-    return out.withColumns({
-        text_col: F.when(F.col("__drop").isNull(), F.coalesce(F.col(f"`{text_col}`"), F.lit(""))).otherwise(F.array_join(kept, "\n")),
-        "n_lines": F.size(lines).cast("long"),
-        "n_dropped": F.coalesce(F.size("__drop"), F.lit(0)).cast("long"),
-    }).select(*[F.col(f"`{c}`") for c in docs.columns if c not in ("n_lines", "n_dropped")], "n_lines", "n_dropped")
+    own = others(docs.columns, ["n_lines", "n_dropped"])
+    out = docs.select(F.struct(*[F.col(f"`{c}`") for c in own]).alias("own"), ident.alias("own_id"), row.alias("row"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("whole"))
+    out = out.join(dropped, (F.col("row") == F.col("of")) & F.col("own_id").eqNullSafe(F.col("id")), "left")
+    out = out.withColumn("lines", F.split("whole", "\n"))
+    # what stays is the runs of lines between those that go
+    n_gone = F.size("gone")
+    runs = F.transform(F.sequence(F.lit(0), n_gone), lambda k: F.struct(
+        F.when(k == 0, 1).otherwise(F.element_at("gone", k) + 2).alias("from"),
+        (F.when(k == n_gone, F.size("lines")).otherwise(F.get("gone", k)) - F.when(k == 0, 0).otherwise(F.element_at("gone", k) + 1)).alias("n")))
+    kept = F.flatten(F.transform(runs, lambda r: F.slice("lines", r["from"], r["n"])))
+    text = F.when(F.col("gone").isNull(), F.col("whole")).otherwise(F.array_join(kept, "\n"))
+    return out.select(
+        *[text.alias(c) if c == text_col else F.col(f"own.`{c}`").alias(c) for c in own], F.size("lines").cast("long").alias("n_lines"), F.coalesce(n_gone, F.lit(0)).cast("long").alias("n_dropped"))

@@ -129,7 +129,7 @@ def fit(texts: list[str], labels: list[int], share: float, epochs: int = 30, rat
 
 
 def quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", per_class: int = 1500, threshold: float = 0.3) -> DataFrame:
-    """docs with held_out, score and predicted added, which replace columns so named.
+    """docs with held_out, score and predicted added, which replace columns so named in any case.
 
     The machine is fitted on at most per_class labelled texts of each class outside bucket 0; the
     score is then a function of the whole text alone.  A null or empty text is scored like a text

@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructType
 
+from quire.llm.exact_dedup import others
 from quire.llm.textkernel import BYTES_FOLDED, Words, chunks
 from quire.llm.training import bucket, labelled_sample
 
@@ -248,7 +249,7 @@ def fit(texts: list[str], labels: list[int], share: float, landmarks: int = 300,
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", per_class: int = 1000) -> DataFrame:
-    """docs with held_out, score and predicted added, which replace columns so named.
+    """docs with held_out, score and predicted added, which replace columns so named in any case.
 
     The machine is fitted on at most per_class labelled texts of each class outside bucket 0; the
     score is then a function of the whole text alone.  A null or empty text, and one without letters,
@@ -262,7 +263,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
 def scored(docs: DataFrame, score, threshold: float, id_col: str, text_col: str) -> DataFrame:
     """docs with held_out, score and predicted; score maps the words of a chunk of texts to numbers."""
     added = ["held_out", "score", "predicted"]
-    own = [c for c in docs.columns if c not in added]
+    own = others(docs.columns, added)
     inner = docs.select(*[F.col(f"`{c}`") for c in own])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -49,8 +49,28 @@ def test_exact_dedup_of_nothing(spark):
     assert out.count() == 0 and {"keep_id", "group_size", "kept", "text_sha256"} <= set(out.columns)
 
 
-def test_filter_is_bounded():
-    assert filter_bits(0) == 4096 and filter_bits(10**12) == 1 << 29 and filter_bits(1000) == 16384
+def test_filter_grows_with_the_rows():
+    assert filter_bits(0) == 4096 and filter_bits(1000) == 16384 and filter_bits(10**12) >= 16 * 10**12
+
+
+def test_exact_dedup_without_a_broadcast(spark, monkeypatch):
+    rows = random_rows(9)
+    want = sorted(map(repr, exact_dedup(docs(spark, rows)).select("doc_id", "keep_id", "group_size", "text_sha256").collect()))
+    monkeypatch.setattr("quire.llm.exact_dedup.BROADCAST_BITS", 0)
+    assert sorted(map(repr, exact_dedup(docs(spark, rows)).select("doc_id", "keep_id", "group_size", "text_sha256").collect())) == want
+
+
+def test_columns_that_clash_in_another_case(spark):
+    rows = spark.createDataFrame([(1, "a", "x", "y", 2), (2, "a", "x", "y", 2), (3, None, None, None, None)], "doc_id long, text string, KEPT string, N_Lines string, Row int")
+    out = exact_dedup(rows)
+    assert out.columns == ["doc_id", "text", "N_Lines", "Row", "keep_id", "group_size", "kept", "text_sha256"] and out.where("kept").count() == 2
+    out = line_dedup(rows)
+    assert out.columns == ["doc_id", "text", "KEPT", "Row", "n_lines", "n_dropped"] and out.count() == 3
+
+
+def test_one_of_many_rows_that_repeat_id_and_text(spark):
+    out = exact_dedup(spark.createDataFrame([(1, "same text")] * 500 + [(2, "same text")] * 3, "doc_id long, text string"))
+    assert out.where("kept").count() == 1 and {tuple(r) for r in out.select("keep_id", "group_size").collect()} == {(1, 503)}
 
 
 def lines_brute(rows, min_chars=40, min_docs=5):
