@@ -168,28 +168,90 @@ def test_lm_knows_the_order_of_words(spark):
 
 def test_predictive_probabilities_sum_to_one():
     rng = np.random.default_rng(1)
-    n = rng.poisson(2, (50, 3))
-    n[n.sum(1) == 0, 0] = 1
+    n = rng.poisson(2, 50)
     t = np.minimum(n, 1)
-    r = np.ones(50, int)
-    now = lm_scoring.Totals(n.sum(0), t.sum(0), int(r.sum()), 50, 0.6)
-    p = now.predict(n, t, now.parent(t.sum(1), r)).sum(0) + now.unknown()
-    assert np.allclose(p, 1)
+    c = t + rng.poisson(1, 50)  # other contexts' tables
+    root = np.minimum(c, 1)
+    now = lm_scoring.Weights(0.7, 2.0, 0.4, 3.0, c.sum(), root.sum(), 50)
+    parent = np.r_[now.parent(c, root), now.parent(np.zeros(1), np.zeros(1))]
+    assert np.isclose(parent.sum(), 1)
+    p = now.predict(np.r_[n, 0], np.r_[t, 0], np.full(51, n.sum()), np.full(51, t.sum()), parent)
+    assert np.isclose(p.sum(), 1)
+
+
+def test_score_with_all_dishes_at_one_table(spark):
+    rng = random.Random(19)
+    rows = [(k, " ".join(rng.choice(["the", "cat", "sat", "on", f"w{k % 7}"]) for _ in range(rng.randint(0, 30)))) for k in range(80)]
+    out = lm_scoring.lm_scores(frame(spark, rows), samples=0).collect()
+    texts = {i: [*t.split(), None] for i, t in rows}
+    train = [i for i in texts if zlib.crc32(str(i).encode()) % 7 != 2]
+    pairs = collections.Counter(p for i in train for p in zip(["^", *texts[i]], texts[i]))
+    guests, tables, tops = collections.Counter(), collections.Counter(), collections.Counter()
+    for (x, w), n in pairs.items():
+        guests[x] += n
+        tables[x] += 1
+        tops[w] += 1
+    d, s, d0, s0 = 0.8, 1.0, 0.5, 1.0
+    parent = lambda w: ((tops[w] - d0 if tops[w] else 0) + (s0 + d0 * len(tops)) / (len(tops) + 1)) / (s0 + sum(tops.values()))
+    chance = lambda x, w: ((pairs[x, w] - d if pairs[x, w] else 0) + (s + d * tables[x]) * parent(w)) / (s + guests[x])
+    for r in out:
+        assert math.isclose(r.score, sum(math.log10(chance(*p)) for p in zip(["^", *texts[r.doc_id]], texts[r.doc_id])), rel_tol=1e-5)
+
+
+def test_scores_do_not_depend_on_batches_or_shards(spark, monkeypatch):
+    rng = random.Random(3)
+    rows = [(k, " ".join(rng.choice("abcdefgh") + str(int(rng.expovariate(0.2))) for _ in range(60))) for k in range(300)]
+    want = {r.doc_id: (r.n_known, r.base_score, r.score) for r in lm_scoring.lm_scores(frame(spark, rows), samples=0).collect()}
+    monkeypatch.setattr("quire.llm.lm_scoring.BLOCK_BYTES", 9000)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        got = {r.doc_id: (r.n_known, r.base_score, r.score) for r in lm_scoring.lm_scores(frame(spark, rows).repartition(5), samples=0).collect()}
+        more = {r.doc_id: r.score for r in lm_scoring.lm_scores(frame(spark, rows).repartition(3)).collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 10_000)
+    assert len(got) == 300 and all(np.allclose(got[i], want[i], rtol=1e-5) for i in want)
+    assert abs(sum(more.values()) - sum(w[2] for w in want.values())) < 0.1 * abs(sum(w[2] for w in want.values()))
 
 
-def test_seating():
+def test_customers_leave_and_come_back():
     rng = np.random.default_rng(4)
-    n = np.array([0, 1, 2, 50, 100_000])
-    t = lm_scoring.tables(n, np.full(5, 0.5), 0.5, rng)
-    assert t[0] == 0 and t[1] == 1 and (t <= n).all() and t[4] < 50
-    exact = []
-    for _ in range(2000):  # one customer at a time
-        k = 1
-        for i in range(1, 30):
-            k += rng.random() < 2.0 / (2.0 + i - 0.5 * k)
-        exact.append(k)
-    got = lm_scoring.tables(np.full(2000, 30), np.full(2000, 2.0), 0.5, rng)
-    assert abs(got.mean() - np.mean(exact)) < 0.5
+    n = np.array([1, 2, 30, 400])
+    seats = lm_scoring.Seats(n, np.array([1, 1, 2, 3]), np.array([1, 2, 29, 1, 398, 1, 1]), n)
+    seen = []
+    for _ in range(300):
+        seats.sweep(lambda dish: np.full(len(dish), 2.0), 0.5, rng)
+        assert (seats.n == n).all() and (seats.packed() > 0).all() and seats.packed().sum() == n.sum()
+        seen.append(seats.t.copy())
+    ways = np.array([0.0, 1.0])  # of n customers at t tables: the law is fresh ** t times these
+    for i in range(1, 30):
+        ways = np.r_[ways, 0.0] * (i - 0.5 * np.arange(len(ways) + 1)) + np.r_[0.0, ways]
+        ways /= ways.max()
+    law = ways * 2.0 ** np.arange(len(ways))
+    mean = np.mean(seen[20:], 0)
+    assert mean[0] == 1 and abs(mean[1] - 1.8) < 0.1 and abs(mean[2] - (law * np.arange(len(law))).sum() / law.sum()) < 0.3
+    start = lm_scoring.forward(np.array([0, 1, 2, 100_000]), np.full(4, 0.5), 0.5, rng)
+    assert start[0] == 0 and start[1] == 1 and start[3] < 50
+
+
+def test_discount_and_strength_are_found_again():
+    rng = np.random.default_rng(8)
+    d, s, c, t, sizes = 0.6, 5.0, [], [], []
+    for _ in range(300):  # restaurants of new dishes only: the seating tells the parameters
+        tables = []
+        for i in range(60):
+            if rng.random() * (s + i) < s + d * len(tables):
+                tables.append(1)
+            else:
+                tables[rng.choice(len(tables), p=(np.array(tables) - d) / (i - d * len(tables)))] += 1
+        c.append(60)
+        t.append(len(tables))
+        sizes += tables
+    at, got = (0.3, 1.0), []
+    for _ in range(60):
+        parts = lm_scoring.strength_parts(np.array(c), np.array(t), *at, rng)
+        at = lm_scoring.sampled(*parts, lm_scoring.closed_parts(np.array(sizes), at[0], rng), rng)
+        got.append(at)
+    assert np.allclose(np.mean(got[20:], 0), [d, s], atol=[0.05, 1.2])
 
 
 @held
