@@ -27,6 +27,7 @@ LONG, SPAN, DECAY, LETTERS = 12, 5, 0.7, 42
 WIDTH = LONG + 2  # a sign for the string's beginning and one for its end
 BEGIN, END, LEAST = 40, 41, 7
 STRONG = 0.7  # margin of a string that counts
+LOUD, LEAST_RATIO = 0.8, 8.0  # share of toxic texts, and log likelihood ratio, of strings that clean texts have too
 _POSITION = np.array([pow(0x9E3779B97F4A7C15, k + 1, 1 << 64) for k in range(WIDTH)], np.uint64)
 STEPS = [(a, b) for a in range(1, SPAN) for b in range(1, SPAN - a + 1) if a + b < SPAN + 1]
 _CLASS = np.zeros(256, np.int32)
@@ -172,6 +173,12 @@ def _curve(x: np.ndarray, y: np.ndarray, share: float) -> tuple[np.ndarray, floa
     return theta[:-1], float(theta[-1])
 
 
+def _ratio(n1: np.ndarray, n0: np.ndarray, usual: float) -> np.ndarray:
+    """Log likelihood ratio of n1 toxic and n0 clean texts having something, against the usual share of toxic ones."""
+    part = n1 / np.maximum(1, n1 + n0)
+    return n1 * np.log(np.maximum(part, 1e-9) / usual) + n0 * np.log(np.maximum(1 - part, 1e-9) / (1 - usual))
+
+
 def _witnesses(value: np.ndarray, row: np.ndarray, doc: np.ndarray, least: float) -> np.ndarray:
     """The string of highest value of each text, where that is `least` or more."""
     order = np.lexsort((-value[row], doc))
@@ -207,17 +214,18 @@ def fit(texts: list[str], labels: list[int], share: float, landmarks: int = 300,
     seen = np.zeros((2, len(kinds)), np.int32)
     for v, own in zip(label, np.split(row[np.argsort(doc, kind="stable")], np.cumsum(np.bincount(doc, minlength=len(label)))[:-1])):
         seen[v, np.unique(gram[own])] += 1
-    n1 = int(label.sum())
-    usual = n1 / len(label)
-    both = np.maximum(1, seen.sum(0))
-    part = seen[1] / both
-    odds = seen[1] * np.log(np.maximum(part, 1e-9) / usual) + seen[0] * np.log(np.maximum(1 - part, 1e-9) / (1 - usual))  # log likelihood ratio
-    odds = np.where((part > usual) & (part > 0.9), odds, 0).astype(np.float32)
+    usual = label.sum() / len(label)
+    odds = np.where(seen[1] > max(usual, 0.9) * seen.sum(0), _ratio(seen[1], seen[0], usual), 0).astype(np.float32)
     odds[kinds == 0] = 0
     value = odds[gram].max(1)
-    del wide, begun, gram, kinds, seen, both, part, odds
-    clean = np.unique(row[~toxic])
-    suspect = toxic & ~np.isin(row, clean)  # a string of clean texts never stands for a toxic one
+    del wide, begun, gram, kinds, seen, odds
+    pair = np.unique(np.stack([row, doc]), axis=1)
+    n_toxic, n_clean = (np.bincount(pair[0][label[pair[1]] == v], minlength=len(rows)) for v in (1, 0))
+    # a string stands for a toxic text if no clean one has it, or if far more toxic ones than chance has it do: one
+    # mislabelled or quoting text rules nothing out
+    loud = (n_clean == 0) | ((n_toxic > LOUD * (n_toxic + n_clean)) & (_ratio(n_toxic, n_clean, usual) > LEAST_RATIO))
+    clean = np.flatnonzero((n_clean > 0) & ~loud)
+    suspect = toxic & loud[row]
     plain = row[suspect & (value[row] >= 12.0)]
     positive = np.r_[plain, _witnesses(value, row[suspect], doc[suspect], 6.0)]
     negative, hard = rng.permutation(clean)[:negatives], clean[:0]
