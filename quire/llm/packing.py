@@ -73,7 +73,8 @@ def pack(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "te
     A document is its ids and then end_id; a null or empty text is end_id alone.  Pieces are whole
     windows, and of the rest at most max_piece ids.  About `windows` windows are filled at a time
     from the rows of one partition, so nothing is shuffled and a retried task packs the same again.
-    Rows that repeat an id are packed as documents of their own; an empty table gives no pieces.
+    Rows that repeat an id are packed as documents of their own; other columns of docs are left out,
+    whatever their names; an empty table gives no pieces.
     """
     id_type = docs.schema[id_col].dataType.simpleString()
 

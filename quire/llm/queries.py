@@ -45,7 +45,7 @@ def op3_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_join(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return ngram_join(_table(spark, sf_dir, "documents").select("doc_id", "text")).drop("class_node", "r1", "r2")
 
 
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -102,6 +102,15 @@ m AS (SELECT k.doc_id, k.pos, k.line, s.key IS NOT NULL AND k.doc_id <> s.last A
 SELECT doc_id, count(*)::BIGINT AS n_lines, (count(*) FILTER (gone))::BIGINT AS n_dropped,
   sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '')) AS kept_sha256
 FROM m GROUP BY doc_id""",
+    "op5_warc": r"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+s AS (SELECT page_id, octet_length(encode(html)) AS payload_bytes, sha1(html) AS hex FROM p),
+d AS (SELECT page_id, payload_bytes, string_agg(substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 +
+        ((((strpos('0123456789abcdef', substr(hex, (5 * g // 4)::INT + 1, 1)) - 1) * 16 + greatest(strpos('0123456789abcdef', substr(hex || '0', (5 * g // 4)::INT + 2, 1)) - 1, 0))::INT
+          >> (3 - (5 * g) % 4)::INT) & 31), 1), '' ORDER BY g) AS payload_digest FROM s, range(32) AS r(g) GROUP BY page_id, payload_bytes, hex),
+f AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first FROM d)
+SELECT page_id, payload_bytes::BIGINT AS payload_bytes, payload_digest, CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id <> first THEN first END AS refers_to FROM f""",
     "op8_exact_dedup": r"""
 WITH d AS (SELECT doc_id, length(coalesce(text, '')) AS n, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g')) AS text_sha256 FROM documents),
 k AS (SELECT *, first_value(doc_id) OVER (PARTITION BY text_sha256 ORDER BY n DESC, doc_id) AS keep_id,

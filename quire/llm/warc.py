@@ -13,7 +13,9 @@ import base64
 import gzip
 import hashlib
 import io
+import time
 import uuid
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -22,7 +24,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.plans.staging import stage, stage_path
+from quire.llm.exact_dedup import bitmaps, filter_bits, tested
+from quire.plans.staging import drop_stage, stage, stage_path
 
 # Fixed values of the ARC header line and of WARC revisits.
 ARC_FIELDS = {
@@ -56,12 +59,13 @@ def arc_record(version: int, url: str | None, date: str, source: str, block: byt
     return _field(url, "urn:none").encode("utf-8", "replace") + f" 0.0.0.0 {date} text/html".encode() + middle + b" %d\n" % len(block) + block + b"\n"
 
 
-def arc_records(stream) -> Iterator[tuple[dict, bytes]]:
+def arc_records(stream, name: str = "arc") -> Iterator[tuple[dict, bytes]]:
     """Fields and block of each record of an ARC stream; the version block tells the fields.
 
+    Lines of version 1 name no file and offset: there they are the archive's name and the record's turn.
     Raises ValueError at a line of the wrong number of fields, a bad length, or a cut block.
     """
-    version = None
+    version, turn = None, 0
     while line := stream.readline():
         if line in (b"\n", b"\r\n"):
             continue
@@ -80,6 +84,9 @@ def arc_records(stream) -> Iterator[tuple[dict, bytes]]:
             if version not in ARC_FIELDS:
                 raise ValueError(f"ARC version {version} is unknown")
             continue
+        if version == 1:
+            record |= {"filename": name, "offset": str(turn)}
+        turn += 1
         yield record, block
 
 
@@ -99,7 +106,7 @@ def split_http(block: bytes) -> tuple[bytes, bytes]:
 def warc_record(record: dict, block: bytes, refers_to: str | None = None) -> bytes:
     """The WARC record of an ARC record; with refers_to (the source of an equal payload) a revisit."""
     head, payload = split_http(block)
-    source = f"{record['filename']}:{record['offset']}" if "filename" in record else f"{record['url']} {record['date']} {base32_sha1(payload)}"
+    source = f"{record['filename']}:{record['offset']}"
     d = record["date"].ljust(14, "0")
     lines = [
         "WARC/1.1",
@@ -143,21 +150,31 @@ def _file_system(uri: str):
     return fs.FileSystem.from_uri(uri)
 
 
-def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", date: str = "20000101000000", min_bytes: int = 0) -> DataFrame:
+def capture(ident: str) -> tuple[int, str]:
+    """The ARC version and the date that a page without either is archived under: both follow from its id."""
+    n = zlib.crc32(ident.encode())
+    return 1 + n % 2, time.strftime("%Y%m%d%H%M%S", time.gmtime(946_684_800 + n % 300_000_000))
+
+
+def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", min_bytes: int = 0) -> DataFrame:
     """Writes an archive a task into folder and returns the table of the files (path, records).
 
     Of pages of equal payloads of min_bytes or more, that of the smallest id (one without an id comes
     last) is a response and the others are revisits of it; rows that repeat the smallest id are
-    responses too.  A null html is an empty payload, a null url becomes urn:none.
+    responses too.  A null html is an empty payload, a null url becomes urn:none.  Pages whose
+    payload no other has are written where they are read; only the others may be shuffled.
     """
     html = F.coalesce(F.col(f"`{html_col}`"), F.lit("")).cast("binary")
-    rows = pages.select(F.col(f"`{id_col}`").cast("string").alias("id"), F.col(f"`{id_col}`").alias("key"), F.col(f"`{url_col}`").alias("url"), html.alias("html"))
-    known = rows.select("key", F.sha1("html").alias("digest"), F.octet_length("html").alias("size"))
+    rows = pages.select(F.col(f"`{id_col}`").cast("string").alias("id"), F.col(f"`{id_col}`").alias("key"), F.col(f"`{url_col}`").alias("url"), html.alias("html"), F.sha1(html).alias("digest"))
     shared = stage(
-        known.where(F.col("size") >= min_bytes).groupBy("digest").agg(F.count(F.lit(1)).alias("n"), F.min("key").alias("first"))
-        .where("n > 1").select(F.col("digest").alias("of"), "first"), "payloads")
-    rows = rows.join(shared, F.sha1("html") == F.col("of"), "left")
-    rows = rows.select("id", "url", "html", F.when(~F.col("first").eqNullSafe(F.col("key")), F.col("first").cast("string")).alias("refers_to"))
+        rows.where(F.octet_length("html") >= min_bytes).groupBy("digest").agg(F.count(F.lit(1)).alias("n"), F.min("key").alias("first"))
+        .where("n > 1").select("digest", "first"), "payloads")
+    bits = filter_bits(shared.count())
+    found = stage(bitmaps(shared.select(F.xxhash64("digest").alias("h")), bits), "filter")
+    rows = tested(rows.withColumn("h", F.xxhash64("digest")), "h", found, bits, "again")
+    again = rows.where("again").join(shared, "digest", "left")
+    again = again.select("id", "url", "html", F.when(~F.col("first").eqNullSafe(F.col("key")), F.col("first").cast("string")).alias("refers_to"))
+    rows = rows.where("NOT again").select("id", "url", "html", F.lit(None).cast("string").alias("refers_to")).unionByName(again)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, top = _file_system(folder)
@@ -166,9 +183,10 @@ def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_c
         out, name, written, count = None, None, 0, 0
         for batch in batches:
             for page, url, body, first in zip(*(batch.column(c).to_pylist() for c in ("id", "url", "html", "refers_to"))):
+                version, date = capture(str(page))
                 head = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(body)}\r\n\r\n".encode()
-                archive = arc_header(2) + arc_record(2, url, date, f"page-{page}", head + body)
-                for record, block in arc_records(io.BytesIO(archive)):
+                archive = arc_header(version) + arc_record(version, url, date, f"page-{page}", head + body)
+                for record, block in arc_records(io.BytesIO(archive), f"page-{page}"):
                     if out is None:
                         name = f"{top}/part-{task.partitionId():05d}-{task.taskAttemptId()}-{turn}.warc.gz"
                         out, turn = store.open_output_stream(name, compression=None), turn + 1
@@ -183,7 +201,10 @@ def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_c
             out.close()
             yield pa.RecordBatch.from_pydict({"path": [name], "records": pa.array([count], pa.int64())})
 
-    return stage(rows.mapInArrow(run, "path string, records long"), "archives")
+    out = stage(rows.mapInArrow(run, "path string, records long"), "archives")
+    drop_stage(shared)
+    drop_stage(found)
+    return out
 
 
 def read_archives(files: DataFrame, folder: str, payloads: bool = True) -> DataFrame:
@@ -224,13 +245,20 @@ def arc_to_warc(archives: DataFrame, content_col: str = "content") -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for content in pc.fill_null(batch.column(0), b""):
-                rows = [(r["url"], r["date"], warc_record(r, block)) for r, block in arc_records(io.BytesIO(content.as_py()))]
+                raw = content.as_py()
+                rows = [(r["url"], r["date"], warc_record(r, block)) for r, block in arc_records(io.BytesIO(raw), hashlib.sha1(raw).hexdigest())]
                 yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows) if rows else [[]] * 3, (pa.string(), pa.string(), pa.binary()))], ["url", "date", "record"])
 
     return archives.select(F.col(f"`{content_col}`")).mapInArrow(run, "url string, date string, record binary")
 
 
 def archive_round_trip(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", min_bytes: int = 0) -> DataFrame:
-    """Writes the pages' archives into the shared folder and reads them back."""
-    folder = stage_path(pages.sparkSession, "warc")
-    return read_archives(write_archives(pages, folder, id_col, url_col, html_col, min_bytes=min_bytes), folder, payloads=False)
+    """Writes the pages' archives into the shared folder, reads them back without payloads, and deletes them."""
+    spark = pages.sparkSession
+    folder = stage_path(spark, "warc")
+    files = write_archives(pages, folder, id_col, url_col, html_col, min_bytes)
+    out = stage(read_archives(files, folder, payloads=False).drop("payload"), "records")
+    drop_stage(files)
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    return out
