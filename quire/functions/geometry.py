@@ -39,3 +39,11 @@ def raster_size(width: Column, height: Column, dpi: Column, most: float = 40_000
     w, h = F.floor(width * fit), F.floor(height * fit)
     sound = (width > 0) & (height > 0) & (w >= 1) & (h >= 1)
     return F.when(sound, w), F.when(sound, h)
+
+
+def placement(x: Column, y: Column, box_width: Column, box_height: Column, characters: Column, left: Column, bottom: Column, width: Column, height: Column, rotation: Column) -> Column:
+    """Where a run (its box in shares of the page as shown) is drawn: origin, angle, font size and horizontal scale."""
+    shown_w, shown_h = displayed_size(width, height, rotation)
+    own_x, own_y = user_point(x * shown_w, y * shown_h, left, bottom, width, height, rotation)
+    size, scale = text_scale(characters, box_width, box_height, shown_w, shown_h)
+    return F.struct(own_x.alias("x"), own_y.alias("y"), turn(rotation).alias("angle"), size.alias("size"), scale.alias("scale"))

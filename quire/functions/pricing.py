@@ -19,9 +19,14 @@ BY_TYPE = {
 BASELINE = 20_000.0
 
 
+# Presets that keep ink separations as they are; the others turn them into screen colours.
+KEEPS_CMYK = ["maximum"]
+
+
 def presets(spark: SparkSession) -> DataFrame:
     """The three presets: a table of fixed size."""
-    return spark.createDataFrame([(k, *v) for k, v in PRESETS.items()], "preset string, dpi int, mono_dpi int, q_factor double, background double, foreground double")
+    rows = [(k, *v, k in KEEPS_CMYK) for k, v in PRESETS.items()]
+    return spark.createDataFrame(rows, "preset string, dpi int, mono_dpi int, q_factor double, background double, foreground double, keeps_cmyk boolean")
 
 
 def reductions(spark: SparkSession) -> DataFrame:

@@ -17,6 +17,7 @@ PROBLEM_COPY = {
     "unreadable": "This file can't be read as a PDF",
 }
 FAILURE_NOTES = {"locked": "one was password-locked", "missing": "one had moved"}
+DESCRIPTORS = {"vector": "text and vectors", "bare": "no text layer yet", "scan": "mostly photographs"}
 ACCURATE_ONLY = ["zh-Hans", "ja-JP", "ko-KR"]
 
 
@@ -38,6 +39,11 @@ def partition_class(state: Column, problem: Column, skipped: Column) -> Column:
     )
 
 
+def content_class(text_pages: Column, image_pages: Column, two_tone: Column) -> Column:
+    """Born digital where pages of text are at least as many as those of images; else by the tones of the scan."""
+    return F.when((text_pages > 0) & (text_pages >= image_pages), "bornDigital").when(two_tone, "scanBilevel").otherwise("scanColour")
+
+
 def pending(state: Column) -> Column:
     return state.isin("queued", "analysing")
 
@@ -62,9 +68,9 @@ def failure_note(problem: Column) -> Column:
 def content_descriptor(content_type: Column, has_text: Column) -> Column:
     """Born-digital comes first, then a known absence of text, then the scans."""
     return (
-        F.when(content_type == "bornDigital", "text and vectors")
-        .when(has_text == F.lit(False), "no text layer yet")
-        .when(content_type.isin("scanColour", "scanBilevel", "mixedColour"), "mostly photographs")
+        F.when(content_type == "bornDigital", DESCRIPTORS["vector"])
+        .when(has_text == F.lit(False), DESCRIPTORS["bare"])
+        .when(content_type.isin("scanColour", "scanBilevel", "mixedColour"), DESCRIPTORS["scan"])
     )
 
 

@@ -10,7 +10,16 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 LOSSY = r"[^\x20-\xFF\t]"
-SPACE = r"[\x{0009}-\x{000D}\x{0020}\x{0085}\x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
+BLANKS = r"\x{0009}-\x{000D}\x{0020}\x{0085}\x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
+SPACE = f"[{BLANKS}]"
+
+# The words of counts, deltas, mechanisms, batches and progress.
+WORDS = {
+    "same": "what you have", "less": " less", "more": " more", "print": "for printing", "unchanged": "no change",
+    "redone": "Redone from the original at ", "instant": "Already on disk — swapped in immediately", "nothing": "Already optimised — nothing to change", "excluded": "Not included",
+    "reading": "Reading page ", "of": " of ", "rebuilding": "Rebuilding scan…", "compressing": "Compressing…",
+    "ocr": "OCR only", "all": "all searchable", "one": "one made searchable", "some": " made searchable", "attention": "some files needed attention",
+}
 
 
 def lossy(text: Column) -> Column:
@@ -20,7 +29,7 @@ def lossy(text: Column) -> Column:
 
 def has_text(text: Column) -> Column:
     """Something is left after trimming Unicode blanks at both ends."""
-    return F.coalesce(F.length(trimmed(text)) > 0, F.lit(False))
+    return F.coalesce(text.rlike(f"[^{BLANKS}]"), F.lit(False))
 
 
 def trimmed(text: Column) -> Column:
@@ -54,14 +63,14 @@ def byte_text(n: Column) -> Column:
 
 
 def saved_text(saved: Column) -> Column:
-    return F.when(saved <= 0, "no change").otherwise(byte_text(saved))
+    return F.when(saved <= 0, WORDS["unchanged"]).otherwise(byte_text(saved))
 
 
 def batch_subtitle(time: Column, compress_on: Column, preset: Column, ocr_on: Column, note: Column, problem: Column, searchable: Column, files: Column) -> Column:
     """The parts that apply, joined by a middle dot."""
-    how = F.when(compress_on & preset.isNotNull(), preset).when(ocr_on, "OCR only")
-    found = F.when(searchable == files, "all searchable").when(searchable == 1, "one made searchable").otherwise(F.concat(searchable.cast("string"), F.lit(" made searchable")))
-    end = F.when(note.isNotNull(), note).when(problem, "some files needed attention").when(searchable > 0, found)
+    how = F.when(compress_on & preset.isNotNull(), preset).when(ocr_on, WORDS["ocr"])
+    found = F.when(searchable == files, WORDS["all"]).when(searchable == 1, WORDS["one"]).otherwise(F.concat(searchable.cast("string"), F.lit(WORDS["some"])))
+    end = F.when(note.isNotNull(), note).when(problem, WORDS["attention"]).when(searchable > 0, found)
     return F.concat_ws(" · ", time, how, end)
 
 
@@ -89,21 +98,38 @@ def percent_text(size: Column, original: Column) -> Column:
 def delta_text(current: Column, candidate: Column, maximum: Column) -> Column:
     more = candidate - current
     return (
-        F.when(more == 0, "what you have").when(more < 0, F.concat(byte_text(-more), F.lit(" less")))
-        .when(maximum, "for printing").otherwise(F.concat(byte_text(more), F.lit(" more")))
+        F.when(more == 0, WORDS["same"]).when(more < 0, F.concat(byte_text(-more), F.lit(WORDS["less"])))
+        .when(maximum, WORDS["print"]).otherwise(F.concat(byte_text(more), F.lit(WORDS["more"])))
     )
 
 
 def mechanism_line(state: Column, dpi: Column, rate: Column, pages: Column, excluded: Column) -> Column:
-    made = F.concat(F.lit("Redone from the original at "), dpi.cast("string"), F.lit(" DPI"))
+    made = F.concat(F.lit(WORDS["redone"]), dpi.cast("string"), F.lit(" DPI"))
     seconds = F.greatest(F.lit(1).cast("long"), F.round(rate * pages).cast("long"))
     timed = F.when(rate.isNotNull() & (pages > 0), F.concat(made, F.lit(" · about "), counted(seconds, "second"))).otherwise(made)
     return (
-        F.when(excluded, "Not included").when(state == "armed", timed)
-        .when(state == "instantSwitch", "Already on disk — swapped in immediately").otherwise("Already optimised — nothing to change")
+        F.when(excluded, WORDS["excluded"]).when(state == "armed", timed)
+        .when(state == "instantSwitch", WORDS["instant"]).otherwise(WORDS["nothing"])
     )
 
 
+def reading_label(fraction: Column, pages: Column) -> Column:
+    """The page that a fraction of a document's pages has come to, from one to the last."""
+    page = F.least(pages, F.greatest(F.lit(1).cast("long"), F.round(fraction * pages).cast("long")))
+    return F.concat(F.lit(WORDS["reading"]), page.cast("string"), F.lit(WORDS["of"]), pages.cast("string"))
+
+
+def leg_label(fraction: Column, rebuild: Column) -> Column:
+    """A row that is rebuilt says so from 0.45 on."""
+    return F.when((fraction >= 0.45) & rebuild, WORDS["rebuilding"]).otherwise(WORDS["compressing"])
+
+
+def runs(text: Column) -> Column:
+    """The lines of a text that have something in them; null if there is none, or one of them is lossy."""
+    lines = F.filter(F.split(text, "\n"), has_text)
+    return F.when((F.size(lines) > 0) & ~F.exists(lines, lossy), lines)
+
+
 def tail_lines(text: Column, n: int = 2) -> Column:
     """The last n lines that are not blank, trimmed, joined by a space."""
     parts = F.filter(F.transform(F.split(text, r"\r\n|[\n\r]"), lambda x: F.trim(x)), lambda x: x != "")

@@ -69,29 +69,61 @@ def page_pairs(left: DataFrame, right: DataFrame, keys: list[str], value: str) -
 def output_names(rows: DataFrame, folder: str, base: str, order: str, suffix: str = "small", extension: str = "pdf") -> DataFrame:
     """<base>-<suffix>.<ext>, then -1, -2 and so on for later rows of the same reservation key.
 
-    Right as long as no generated name equals another row's base name; else use exact_output_names.
+    Right where no name is taken before; else use exact_output_names.
     """
-    stem = F.concat(F.col(base), F.lit(f"-{suffix}"))
     turn = F.row_number().over(Window.partitionBy(folder, F.lower(base)).orderBy(order)) - 1
-    return rows.withColumn("output_name", F.concat(stem, F.when(turn > 0, F.concat(F.lit("-"), turn.cast("string"))).otherwise(""), F.lit(f".{extension}")))
+    return rows.withColumn("output_name", _numbered(F.col(base), turn, suffix, extension))
 
 
-def exact_output_names(rows: DataFrame, folder: str, base: str, order: str, suffix: str = "small", extension: str = "pdf") -> DataFrame:
-    """Names given in order within each folder, each the first that no row before has taken."""
-    import pandas as pd
+def _numbered(base: Column, turn: Column, suffix: str, extension: str) -> Column:
+    return F.concat(base, F.lit(f"-{suffix}"), F.when(turn > 0, F.concat(F.lit("-"), turn.cast("string"))).otherwise(""), F.lit(f".{extension}"))
 
-    def name(part: pd.DataFrame) -> pd.DataFrame:
-        taken, out = set(), []
-        for stem in part.sort_values(order)[base]:
-            k = 0
-            while (found := f"{stem}-{suffix}{f'-{k}' if k else ''}.{extension}").lower() in taken:
-                k += 1
-            taken.add(found.lower())
-            out.append(found)
-        return part.sort_values(order).assign(output_name=out)
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
-    return rows.groupBy(folder).applyInPandas(name, f"{schema}, output_name string")
+def exact_output_names(rows: DataFrame, folder: str, base: str, order: str, suffix: str = "small", extension: str = "pdf", taken: DataFrame | None = None) -> DataFrame:
+    """Names given in order, each the first number of its base that neither a row before nor `taken` (folder, name) has.
+
+    Names of different bases never meet, whatever the case: a generated name ends with the suffix and its
+    number.  So a base's rows and its taken numbers are sorted together: the i-th row gets i and the taken
+    numbers before it, where the j-th taken number t counts from t - j on.
+    """
+    if taken is None:
+        return output_names(rows, folder, base, order, suffix, extension)
+    stem = f"^(.*)-{suffix}(?:-([1-9][0-9]{{0,17}}))?\\.{extension}$"
+    used = taken.select(folder, F.lower("name").alias("name")).distinct().where(F.col("name").rlike(stem))
+    used = used.select(folder, F.regexp_extract("name", stem, 1).alias("__key"), F.coalesce(F.nullif(F.regexp_extract("name", stem, 2), F.lit("")).cast("long"), F.lit(0)).alias("__n"))
+    by = [folder, "__key"]
+    free = F.col("__n") - (F.row_number().over(Window.partitionBy(*by).orderBy("__n")) - 1)
+    own = rows.withColumn("__key", F.lower(base)).withColumn("__at", (F.row_number().over(Window.partitionBy(*by).orderBy(order)) - 1).cast("long"))
+    both = own.withColumn("__row", F.lit(1)).unionByName(used.select(*by, free.alias("__at"), F.lit(0).alias("__row")), allowMissingColumns=True)
+    before = F.count_if(F.col("__row") == 0).over(Window.partitionBy(*by).orderBy("__at", "__row").rowsBetween(Window.unboundedPreceding, 0))
+    out = both.withColumn("__turn", F.col("__at") + before).where("__row = 1")
+    return out.withColumn("output_name", _numbered(F.col(base), F.col("__turn"), suffix, extension)).select(*rows.columns, "output_name")
+
+
+def free_names(asked: DataFrame, ledger: DataFrame, cards: DataFrame) -> DataFrame:
+    """Of asked (owner, name) those that no other owner in the ledger (owner, name) reserves and no version card has.
+
+    cards are (owner, slot, name); cards of originals do not count, and the asking owner's own entries in the
+    ledger do not either.  Names are compared by their lower-cased keys.
+    """
+    key = F.lower("name").alias("__key")
+    owners = ledger.groupBy(key).agg(F.min("owner").alias("__one"), F.max("owner").alias("__two"))
+    held = cards.where(F.col("slot") != "original").select(key).distinct()
+    out = asked.withColumn("__key", key).join(held, "__key", "left_anti").join(owners, "__key", "left")
+    other = (F.col("__one") != F.col("owner")) | (F.col("__two") != F.col("owner"))
+    return out.where(~F.coalesce(other, F.lit(False))).select(*asked.columns)
+
+
+def runnable(jobs: DataFrame, skipped: DataFrame, plans: DataFrame, key: str) -> DataFrame:
+    """(key, plan): queued rows that are not skipped, and then rows armed for another pass."""
+    fresh = discarded(jobs.where(F.col("state") == "queued"), skipped, key).select(key, F.lit("first").alias("plan"))
+    armed = plans.where(F.col("rerun") == "armed").join(jobs.where(F.col("state") == "done").select(key), key, "left_semi")
+    return fresh.unionByName(armed.select(key, F.lit("again").alias("plan")))
+
+
+def without_completed(jobs: DataFrame) -> DataFrame:
+    """The list after its done and failed rows are removed; a row without a state stays."""
+    return jobs.where(~F.coalesce(F.col("state").isin("done", "failed"), F.lit(False)))
 
 
 def record_versions(store: DataFrame, fresh: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:

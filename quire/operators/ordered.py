@@ -37,24 +37,34 @@ def smoothed_eta(ticks: DataFrame, keys: list[str], order: str) -> DataFrame:
     """Per tick (fraction, elapsed): the smoothed estimate eta, which does not rise.
 
     Repeats of a fraction are dropped first.  The rate weighs the newest reading 0.3; below a tenth
-    there is no estimate and the next one starts anew.  A key's ticks are folded in order, so one
-    key's ticks are to fit a task, as one run's do.
+    there is no estimate and the next one starts anew.  Ticks pass by in order, a batch at a time, and only the
+    last rate and estimate of the key at hand are held.
     """
+    import pyarrow as pa
+
     w = Window.partitionBy(*keys).orderBy(order)
     fresh = ticks.withColumn("__last", F.lag("fraction").over(w)).where(F.col("__last").isNull() | (F.col("__last") != F.col("fraction")))
-    lists = fresh.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("k"), "fraction", "elapsed"))).alias("t"))
-
-    def step(acc: Column, x: Column) -> Column:
-        sure = (x["fraction"] >= 0.1) & (x["elapsed"] > 0)
-        now = x["fraction"] / x["elapsed"]
-        rate = F.when(sure, F.when(acc["rate"].isNull(), now).otherwise(0.3 * now + 0.7 * acc["rate"])).otherwise(acc["rate"])
-        raw = F.round(F.greatest(F.lit(0.0), 1 - x["fraction"]) / rate).cast("long")
-        eta = F.when(sure, F.least(raw, acc["eta"]))
-        return F.struct(rate.alias("rate"), eta.alias("eta"), F.concat(acc["out"], F.array(F.struct(x["k"].alias("k"), eta.alias("eta")))).alias("out"))
-
-    kind = dict(ticks.dtypes)[order]
-    zero = F.struct(F.lit(None).cast("double").alias("rate"), F.lit(None).cast("long").alias("eta"), F.array().cast(f"array<struct<k:{kind},eta:bigint>>").alias("out"))
-    return lists.select(*keys, F.explode(F.aggregate("t", zero, step)["out"]).alias("o")).select(*keys, F.col("o.k").alias(order), F.col("o.eta").alias("eta"))
+    columns = [*keys, order]
+    rows = fresh.select(*columns, F.col("fraction").cast("double"), F.col("elapsed").cast("double")).repartition(*keys).sortWithinPartitions(*columns)
+
+    def run(batches):
+        key, rate, eta = None, None, None
+        for batch in batches:
+            out = []
+            for own, f, t in zip(zip(*(batch.column(k).to_pylist() for k in keys)), batch.column("fraction").to_pylist(), batch.column("elapsed").to_pylist()):
+                if own != key:
+                    key, rate, eta = own, None, None
+                if f is not None and t is not None and f >= 0.1 and t > 0:
+                    rate = f / t if rate is None else 0.3 * (f / t) + 0.7 * rate
+                    left = int(max(0.0, 1 - f) / rate + 0.5)
+                    eta = left if eta is None else min(left, eta)
+                else:
+                    eta = None
+                out.append(eta)
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in columns), pa.array(out, pa.int64())], [*columns, "eta"])
+
+    kinds = dict(ticks.dtypes)
+    return rows.mapInArrow(run, ", ".join([*(f"`{c}` {kinds[c]}" for c in columns), "eta long"]))
 
 
 def object_numbers(rows: DataFrame, keys: list[str], order: list[str], count: str, start: int = 3) -> DataFrame:

@@ -146,26 +146,61 @@ def validated(pages: DataFrame, key: str, sampled: Column) -> DataFrame:
 
 
 def components(pix: DataFrame, thresholds: DataFrame, least: int = 3) -> DataFrame:
-    """Number and mean area of the 8-connected ink regions of `least` pixels or more, a page a group."""
+    """Number and mean area of the 8-connected ink regions of `least` pixels or more, a page a group.
+
+    Runs of ink in a row are the nodes, and runs that touch in the next row the edges; labels are hooked and jumped
+    over, so the rounds grow with the logarithm of a region's height.  A page has one row even without ink.
+    """
     import numpy as np
     import pandas as pd
 
     def count(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
-        grid = np.zeros((part["y"].max() + 3, part["x"].max() + 3), np.int64)
-        ink = part[part["v"] < part["threshold"]]
-        grid[ink["y"] + 1, ink["x"] + 1] = np.arange(1, len(ink) + 1)
-        on = grid > 0
-        while True:  # the largest label spreads to its neighbours until nothing changes
-            wide = grid
-            for axis in (0, 1):
-                wide = np.maximum(wide, np.maximum(np.roll(wide, 1, axis), np.roll(wide, -1, axis)))
-            wide = np.where(on, wide, 0)
-            if (wide == grid).all():
+        ink = part[part["v"] < part["threshold"]].sort_values(["y", "x"])
+        x, y = ink["x"].to_numpy(np.int64), ink["y"].to_numpy(np.int64)
+        head = np.flatnonzero(np.r_[True, (y[1:] != y[:-1]) | (x[1:] != x[:-1] + 1)]) if len(x) else np.zeros(0, np.int64)
+        size = np.diff(np.r_[head, len(x)])
+        wide = int(part["x"].max()) + 3
+        first, last = y[head] * wide + x[head] + 1, y[head] * wide + x[head] + size
+        # runs of the next row that begin at most one pixel behind this one's end and end at most one before its beginning
+        low, high = np.searchsorted(last, first + wide - 1), np.searchsorted(first, last + wide + 1, "right")
+        n = np.maximum(0, high - low)
+        a = np.repeat(np.arange(len(head)), n)
+        b = np.repeat(low - np.cumsum(n) + n, n) + np.arange(n.sum())
+        label = np.arange(len(head))
+        while True:
+            least_ = np.minimum(label[a], label[b])
+            new = label.copy()
+            for at in (a, b, label[a], label[b]):
+                np.minimum.at(new, at, least_)
+            new = new[new]
+            if (new == label).all():
                 break
-            grid = wide
-        area = np.bincount(grid[on]) if on.any() else np.zeros(1, int)
+            label = new
+        area = np.bincount(label, size) if len(head) else np.zeros(0)
         area = area[area >= least]
         return pd.DataFrame({"id": [key[0]], "components": [len(area)], "mean_area": [float(area.mean()) if len(area) else 0.0]})
 
     kind = dict(pix.dtypes)["id"]
     return pix.join(thresholds, "id").groupBy("id").applyInPandas(count, f"id {kind}, components long, mean_area double")
+
+
+def chroma(r: Column, g: Column, b: Column) -> Column:
+    return F.greatest(r, g, b) - F.least(r, g, b)
+
+
+# Spreads of the channels that make a pixel coloured, and moderately coloured.
+COLOURED, MODERATELY = 40, 25
+
+
+def page_features(colours: DataFrame) -> DataFrame:
+    """Features of each page of (id, x, y, r, g, b) and the verdict that they give.
+
+    Columns: threshold, n, ink, coloured and moderate pixels, components, mean_area, verdict (null: a page of text).
+    """
+    pix = colours.select("id", "x", "y", luminance(F.col("r"), F.col("g"), F.col("b")).alias("v"), chroma(F.col("r"), F.col("g"), F.col("b")).alias("c"))
+    limits = otsu(histogram(pix))
+    sums = pix.join(limits, "id").groupBy("id", "threshold").agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(F.col("v") < F.col("threshold")).alias("ink"), F.count_if(F.col("c") > COLOURED).alias("coloured"), F.count_if(F.col("c") > MODERATELY).alias("moderate"))
+    out = sums.join(components(pix, limits), "id")
+    share = lambda c: F.col(c) / F.col("n")
+    return out.withColumn("verdict", envelope(share("ink"), share("coloured"), F.col("mean_area"), F.col("components"), share("moderate")))

@@ -41,11 +41,19 @@ def first_match(rows: DataFrame, keys: list[str], order: str, value: str) -> Dat
 
 def version_cards(rows: DataFrame, keys: list[str], slots: list[str]) -> DataFrame:
     """Cards of a row in slot order, of slots that are filled; an original already among them is left out."""
-    cards = F.array(*(F.when(F.col(s).isNotNull(), F.struct(F.lit(s).alias("slot"), F.col(f"{s}.url").alias("url"), F.col(f"{s}.bytes").alias("bytes"), F.col(f"{s}.variant").alias("variant"))) for s in slots))
-    filled = F.filter(cards, lambda x: x.isNotNull())
-    others = F.transform(F.filter(filled, lambda x: x["slot"] != "original"), lambda x: x["variant"])
-    shown = F.filter(filled, lambda x: (x["slot"] != "original") | ~F.array_contains(others, "original"))
-    return rows.select(*keys, F.posexplode(shown).alias("pos", "card")).select(*keys, "pos", "card.*")
+    filled = {s: F.col(s).isNotNull() for s in slots}
+    again = F.lit(False)
+    for s in slots:
+        if s != "original":
+            again = again | F.coalesce(F.col(f"{s}.variant") == "original", F.lit(False))
+    shown = {s: (filled[s] & ~again if s == "original" else filled[s]) for s in slots}
+    flags = rows.select(*keys, *slots, *(v.cast("int").alias(f"__on_{s}") for s, v in shown.items()))
+    at, cards = F.lit(0), []
+    for s in slots:
+        cards.append(F.struct(F.col(f"__on_{s}").alias("on"), at.alias("pos"), F.lit(s).alias("slot"), F.col(f"{s}.url").alias("url"), F.col(f"{s}.bytes").alias("bytes"), F.col(f"{s}.variant").alias("variant")))
+        at = at + F.col(f"__on_{s}")
+    out = flags.select(*keys, F.explode(F.array(*cards)).alias("card")).where("card.on = 1")
+    return out.select(*keys, *(f"card.{c}" for c in ("pos", "slot", "url", "bytes", "variant")))
 
 
 def variant_pairs(rows: DataFrame, key: str, variant: str, size: str) -> DataFrame:

@@ -107,3 +107,32 @@ def capped_sum(value: Column, cap: int) -> Column:
     """The sum, or an error once it passes the cap."""
     total = F.sum(value)
     return F.when(F.assert_true(total <= cap, F.lit(f"more than {cap}")).isNull(), total)
+
+
+def change_quality_totals(rows: DataFrame, candidates: DataFrame, *keys: str) -> DataFrame:
+    """Bytes of each group's rows under each candidate preset.
+
+    rows have current, own_preset, predictions (map of preset to bytes), excluded and futile (array of
+    presets); candidates have preset and are few.  A row that is excluded, has the preset already or has tried
+    it in vain counts its current bytes, and so does one without a prediction.
+    """
+    stays = F.coalesce(F.col("excluded"), F.lit(False)) | F.col("own_preset").eqNullSafe(F.col("preset")) | F.coalesce(F.array_contains("futile", F.col("preset")), F.lit(False))
+    size = F.when(stays, F.col("current")).otherwise(F.coalesce(F.try_element_at("predictions", F.col("preset")), "current"))
+    wide = rows.withColumn("preset", F.explode(F.array(*(F.lit(r["preset"]) for r in candidates.select("preset").distinct().orderBy("preset").limit(16).collect()))))
+    return wide.groupBy(*keys, "preset").agg(F.sum(size).cast("long").alias("total_bytes"), F.count_if(~stays).alias("changed"))
+
+
+def encoded_pages(verdicts: DataFrame, *keys: str) -> DataFrame:
+    """How many of a document's page verdicts say that layers were encoded, of how many."""
+    return verdicts.groupBy(*keys).agg(F.count_if(F.col("verdict") == "mrcEncoded").alias("encoded"), F.count(F.lit(1)).alias("pages"))
+
+
+def all_finished(rows: DataFrame, *keys: str) -> DataFrame:
+    """Whether a run has rows, all of them terminal and none armed for another pass."""
+    armed = F.coalesce(F.col("rerun") == "armed", F.lit(False))
+    return rows.groupBy(*keys).agg((F.bool_and(terminal(F.col("state"))) & ~F.bool_or(armed)).alias("all_finished"))
+
+
+def lifetime(records: DataFrame) -> DataFrame:
+    """What all batches have saved, and how many there are."""
+    return records.agg(F.coalesce(F.sum("saved_bytes"), F.lit(0)).cast("long").alias("lifetime_saved"), F.count(F.lit(1)).alias("batches"))

@@ -62,9 +62,7 @@ def row_durations(spark, sf_dir):
 
 def progress_labels(spark, sf_dir):
     t = ticks(spark, sf_dir)
-    n = F.least(F.col("k"), F.greatest(F.lit(1).cast("long"), F.round(F.col("fraction") * F.col("k")).cast("long")))
-    return t.select("event_id", F.concat(F.lit("Reading page "), n.cast("string"), F.lit(" of "), F.col("k").cast("string")).alias("reading"),
-        F.when((F.col("fraction") >= 0.45) & (F.col("k") % 2 == 0), "Rebuilding scan…").otherwise("Compressing…").alias("leg"))
+    return t.select("event_id", T.reading_label(F.col("fraction"), F.col("k")).alias("reading"), T.leg_label(F.col("fraction"), F.col("k") % 2 == 0).alias("leg"))
 
 
 def lossy_text(spark, sf_dir):
@@ -88,9 +86,7 @@ def escape_text(spark, sf_dir):
 def text_runs(spark, sf_dir):
     """Lines of documents by position; none of a document with a lossy line."""
     d = table(spark, sf_dir, "documents")
-    lines = F.filter(F.split("text", "\n"), lambda x: T.has_text(x))
-    sound = (F.size(lines) > 0) & ~F.exists(lines, lambda x: T.lossy(x))
-    return d.where(sound).select("doc_id", F.posexplode(lines).alias("pos", "line"))
+    return d.select("doc_id", F.posexplode(T.runs(F.col("text"))).alias("pos", "line"))
 
 
 def content_class(spark, sf_dir):
@@ -100,8 +96,7 @@ def content_class(spark, sf_dir):
     body = F.substring("text", (F.col("page") * 500 + 1).cast("int"), F.lit(500))
     p = p.withColumns({"raster": (F.col("doc_id") + F.col("page")) % 3 == 0, "is_text": F.length(T.trimmed(body)) >= 40})
     sums = p.groupBy("doc_id", "lang").agg(F.count_if(~F.col("raster") & F.col("is_text")).alias("text_pages"), F.count_if(F.col("raster") | ~F.col("is_text")).alias("image_pages"))
-    kind = F.when((F.col("text_pages") > 0) & (F.col("text_pages") >= F.col("image_pages")), "bornDigital").when(F.col("lang") == "en", "scanBilevel").otherwise("scanColour")
-    return sums.select("doc_id", "text_pages", "image_pages", kind.alias("kind"))
+    return sums.select("doc_id", "text_pages", "image_pages", R.content_class(F.col("text_pages"), F.col("image_pages"), F.col("lang") == "en").alias("kind"))
 
 
 def ocr_outcome(spark, sf_dir):
@@ -220,11 +215,9 @@ def near_bilevel(spark, sf_dir):
     return P.statistics(grey(spark, sf_dir))
 
 
-def page_features(spark, sf_dir):
+def ink_counts(spark, sf_dir):
     pix = grey(spark, sf_dir)
-    f = P.ink_counts(pix, P.otsu(P.histogram(pix)))
-    verdict = P.envelope(F.col("ink") / F.col("n"), F.lit(0.0), F.col("ink") * 1.0, F.col("ink"), (F.col("id") % 10) / 50.0)
-    return f.select("id", "threshold", "n", "ink", verdict.alias("verdict"))
+    return P.ink_counts(pix, P.otsu(P.histogram(pix)))
 
 
 def ink_ratio(spark, sf_dir):
@@ -266,7 +259,7 @@ def validate_pages(spark, sf_dir):
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
     monotone_progress, page_markers, smoothed_eta, leg_eta, late_tick_filter, ingest_once, row_durations, progress_labels, lossy_text, lossy_runs, escape_text, text_runs, content_class, ocr_outcome, accuracy,
     version_compare, url_pin, ref_parse, geometry, raster_size, number_texts, error_tails, breadcrumbs, reservation_keys, file_digests, history_json_decode, admitted_files, scope_dedupe,
-    otsu, near_bilevel, page_features, ink_ratio, block_mean, dilate, masked_error, integral_image, layers, validate_pages)}
+    otsu, near_bilevel, ink_counts, ink_ratio, block_mean, dilate, masked_error, integral_image, layers, validate_pages)}
 
 _SPACE = r"[\x{0009}-\x{000D}\x{0020}\x{0085}\x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
 _LOSSY = r"[^\x20-\x{FF}\t]"
@@ -320,8 +313,7 @@ SELECT p_partkey, CASE WHEN w > 0 AND h > 0 AND floor(w * f) >= 1 AND floor(h *
     "scope_dedupe": "SELECT min(doc_id) AS doc_id, source, lang FROM documents GROUP BY source, lang",
     "otsu": f"WITH {OTSU} SELECT id, threshold FROM o",
     "near_bilevel": f"WITH {PIXELS}, s AS (SELECT id, count(*) AS sampled, count(*) FILTER (v <= 40 OR v >= 215) AS extremes, 0::BIGINT AS chromatic FROM p GROUP BY id) SELECT *, extremes / sampled > 0.92 AND chromatic / sampled <= 0.005 AS near_bilevel FROM s",
-    "page_features": f"""WITH {OTSU}, f AS (SELECT p.id, threshold, count(*) AS n, count(*) FILTER (v < threshold) AS ink FROM p JOIN o ON p.id = o.id GROUP BY p.id, threshold)
-SELECT *, CASE WHEN NOT (ink::DOUBLE / n BETWEEN 0.01::DOUBLE AND 0.35::DOUBLE AND ink > 0 AND ink <= 220 AND ink >= 40) THEN 'notTextDominant' WHEN (id % 10)::DOUBLE / 50.0::DOUBLE > 0.115::DOUBLE THEN 'chromaPattern' END AS verdict FROM f""",
+    "ink_counts": f"WITH {OTSU} SELECT p.id, threshold, count(*) AS n, count(*) FILTER (v < threshold) AS ink FROM p JOIN o ON p.id = o.id GROUP BY p.id, threshold",
     "ink_ratio": f"WITH {PIXELS} SELECT id, count(*) AS n, count(*) FILTER (v * 2 < 245) AS ink FROM p GROUP BY id",
     "block_mean": f"""WITH {PIXELS}, b AS (SELECT id, x // 2 AS block_x, y // 2 AS block_y, sum(v) FILTER (v >= 120) AS s, count(*) FILTER (v >= 120) AS n FROM p GROUP BY 1, 2, 3)
 SELECT id, block_x, block_y, n, coalesce(s::DOUBLE / nullif(n, 0), (sum(s) OVER (PARTITION BY id))::DOUBLE / nullif(sum(n) OVER (PARTITION BY id), 0)) AS mean FROM b""",

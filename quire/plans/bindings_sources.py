@@ -47,7 +47,7 @@ def inspected_documents(spark, sf_dir):
         F.when(F.col("page_id") % 3 == 0, F.substring("document", F.lit(1), F.lit(40)))
         .when(F.col("page_id") % 7 == 0, F.concat("document", F.lit("/Encrypt 9 0 R").cast("binary"))).otherwise(F.col("document"))
     )
-    return files.inspected(docs.select("page_id", content.alias("content"))).select("page_id", "status", "page_count")
+    return D.inspected(docs.select("page_id", content.alias("content")), "page_id").select("page_id", "status", "page_count")
 
 
 def dictionary_lookup(spark, sf_dir):

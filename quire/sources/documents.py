@@ -15,10 +15,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quire.functions.numbers import reference, references
 from quire.plans.staging import stage
+from quire.sources.files import latest, objects
 
 BUDGET = 64 << 20
-DEEPEST = 256
+DEEPEST, NODES = 256, 500_000
 _TOKEN = re.compile(rb"\((?:[^()\\]|\\.|\((?:[^()\\]|\\.)*\))*\)|%[^\r\n]*|<<|>>|\[|\]|<[0-9A-Fa-f\s]*>|/[^\s()<>\[\]{}/%]*|[^\s()<>\[\]{}/%]+|\S", re.S)
 _NAME = re.compile(rb"#([0-9A-Fa-f]{2})")
 
@@ -123,26 +125,87 @@ def live(top: DataFrame, inner: DataFrame, key: str) -> DataFrame:
     return a.join(b, [key, "obj"], "full_outer").select(key, "obj", F.coalesce("gen", F.lit(0).cast("long")).alias("gen"), F.when(later, F.col("__inner")).otherwise(F.col("__top")).alias("body"))
 
 
-def page_leaves(nodes: DataFrame, roots: DataFrame, key: str, deepest: int = DEEPEST) -> DataFrame:
+def page_leaves(nodes: DataFrame, roots: DataFrame, key: str, deepest: int = DEEPEST, most: int = NODES) -> DataFrame:
     """(key, page, obj): the leaves below each file's root in order.
 
-    nodes are (key, obj, kids: array of object numbers, null for a page).  A node is entered once on
-    a path, and paths are cut at `deepest`; each round joins one level of all files.
+    nodes are (key, obj, kids: array of object numbers, null for a page).  A file's tree is walked in one task,
+    each node once, down to `deepest` and over `most` nodes at most.
     """
-    level = roots.select(key, "obj", F.array(F.col("obj")).alias("path"), F.array().cast("array<int>").alias("order"))
-    leaves = None
-    for _ in range(deepest):
-        met = level.join(nodes, [key, "obj"])
-        found = met.where("kids IS NULL").select(key, "obj", "order")
-        leaves = found if leaves is None else leaves.unionByName(found)
-        inner = met.where("kids IS NOT NULL").select(key, "path", "order", F.posexplode("kids").alias("pos", "kid"))
-        level = inner.where(~F.array_contains("path", F.col("kid"))).select(
-            key, F.col("kid").alias("obj"), F.concat("path", F.array("kid")).alias("path"), F.concat("order", F.array("pos")).alias("order"))
-        level = stage(level, "level")
-        if level.isEmpty():
-            break
-    rank = F.row_number().over(Window.partitionBy(key).orderBy("order")) - 1
-    return leaves.select(key, rank.alias("page"), "obj")
+    kinds = dict(nodes.dtypes)
+
+    def walk(table: pa.Table) -> pa.Table:
+        kids = dict(zip(table.column("obj").to_pylist(), table.column("kids").to_pylist()))
+        stack, seen, found = [(table.column("root")[0].as_py(), 1)], set(), []
+        while stack and len(seen) < most:
+            obj, depth = stack.pop()
+            if obj in seen or obj not in kids:
+                continue
+            seen.add(obj)
+            if kids[obj] is None:
+                found.append(obj)
+            elif depth < deepest:
+                stack += [(k, depth + 1) for k in reversed(kids[obj])]
+        return pa.table({"key": pa.array([table.column("key")[0].as_py()] * len(found), table.schema.field("key").type), "page": pa.array(range(len(found)), pa.int64()), "obj": pa.array(found, pa.int64())})
+
+    rows = nodes.select(F.col(key).alias("key"), F.col("obj").cast("long").alias("obj"), F.col("kids").cast("array<long>").alias("kids"))
+    rows = rows.join(roots.select(F.col(key).alias("key"), F.col("obj").cast("long").alias("root")), "key")
+    return rows.groupBy("key").applyInArrow(walk, f"key {kinds[key]}, page long, obj long").withColumnRenamed("key", key)
+
+
+def shows_text(body: Column) -> Column:
+    """Whether the operators of a content stream, deflated or plain, show text."""
+
+    @F.pandas_udf("boolean")
+    def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        def one(x: bytes | None) -> bool:
+            at = re.search(rb"stream\r?\n", x or b"")
+            if not at:
+                return False
+            data = x[at.end() : x.rfind(b"endstream")]
+            if b"/FlateDecode" in x[: at.start()]:
+                try:
+                    data = zlib.decompressobj().decompress(data, BUDGET)
+                except zlib.error:
+                    return False
+            bare = re.sub(rb"\((?:[^()\\]|\\.)*\)|<[0-9A-Fa-f\s]*>", b" ", data)
+            return bool(set(bare.split()) & {s.encode() for s in SHOW})
+
+        for part in parts:
+            yield part.map(one)
+
+    return run(body)
+
+
+def inspected(files_: DataFrame, key: str, content: str = "content") -> DataFrame:
+    """(key, status, page_count, has_text): a look inside each file.
+
+    status is missing (no content), corrupt (no header, or no table of objects), encrypted (nothing can be
+    decrypted here, so encrypted files are locked), noPages or ok.  Pages are the leaves of the page tree of the live
+    definitions, packed ones too; has_text says whether the first page's contents show text.
+    """
+    text = F.decode(content, "ISO-8859-1")
+    state = (
+        F.when(F.col(content).isNull(), "missing").when(~text.startswith("%PDF-") | ~F.contains(text, F.lit("startxref")), "corrupt")
+        .when(text.rlike(r"/Encrypt\s+\d+\s+\d+\s+R"), "encrypted").otherwise("open")
+    )
+    roots = F.regexp_extract_all(text, F.lit(r"/Root\s+(\d+)\s+\d+\s+R"), 1)
+    told = stage(files_.select(key, content).withColumns({"state": state, "root": F.element_at(F.when(F.size(roots) > 0, roots), -1).cast("long")}), "told")
+    whole = told.where("state = 'open'")
+    top = stage(bodies(whole, latest(objects(whole, key, content), key), key, content), "top")
+    alive = stage(live(top, packed(top, key), key), "live")
+    kind, kids, tree = (lookup(F.col("body"), name)["value"].cast("string") for name in ("Type", "Kids", "Pages"))
+    told_objects = alive.where(F.contains("body", F.lit("/Type").cast("binary"))).select(key, "obj", kind.alias("kind"), kids.alias("kids"), tree.alias("tree"))
+    told_objects = stage(told_objects.where(F.col("kind").isin("/Page", "/Pages", "/Catalog")), "typed")
+    nodes = told_objects.where("kind <> '/Catalog'").select(key, "obj", F.when(F.col("kind") == "/Pages", F.transform(references(F.coalesce("kids", F.lit(""))), lambda r: r["object"])).alias("kids"))
+    catalog = told_objects.where("kind = '/Catalog'").join(whole.select(key, F.col("root").alias("obj")), [key, "obj"])
+    leaves = stage(page_leaves(nodes, catalog.select(key, reference(F.col("tree"))["object"].alias("obj")).where("obj IS NOT NULL"), key), "leaves")
+    first = leaves.where("page = 0").join(alive, [key, "obj"]).select(key, F.explode(references(F.coalesce(lookup(F.col("body"), "Contents")["value"].cast("string"), F.lit("")))).alias("r"))
+    shown = first.select(key, F.col("r.object").alias("obj")).join(alive, [key, "obj"]).groupBy(key).agg(F.bool_or(shows_text(F.col("body"))).alias("has_text"))
+    out = told.select(key, "state").join(leaves.groupBy(key).agg(F.count(F.lit(1)).alias("page_count")), key, "left").join(shown, key, "left")
+    is_open = F.col("state") == "open"
+    return out.select(
+        key, F.when(is_open, F.when(F.col("page_count") > 0, "ok").otherwise("noPages")).otherwise(F.col("state")).alias("status"),
+        F.when(is_open, F.coalesce("page_count", F.lit(0))).alias("page_count"), F.when(is_open & (F.col("page_count") > 0), F.coalesce("has_text", F.lit(False))).alias("has_text"))
 
 
 def image_coverage(images: DataFrame, key: str, dpi: float = 100.0) -> DataFrame:

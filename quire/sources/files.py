@@ -21,22 +21,15 @@ def read_files(spark: SparkSession, folder: str, extension: str = "pdf") -> Data
 
 
 def inspected(files: DataFrame, content: str = "content") -> DataFrame:
-    """files with status (ok, encrypted, corrupt, noPages) and page_count, from the bytes alone."""
-
-    @F.pandas_udf("status string, page_count long")
-    def look(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        def one(data: bytes | None) -> tuple[str, int | None]:
-            if not data or not data.startswith(b"%PDF-") or b"startxref" not in data:
-                return "corrupt", None
-            if re.search(rb"/Encrypt\s+\d+\s+\d+\s+R", data):
-                return "encrypted", None
-            n = len(re.findall(rb"/Type\s*/Page(?![A-Za-z])", data))
-            return ("ok", n) if n else ("noPages", 0)
+    """files with status (ok, encrypted, corrupt, noPages) and page_count, from the bytes alone.
 
-        for part in parts:
-            yield pd.DataFrame([one(x) for x in part], columns=["status", "page_count"])
-
-    return files.withColumn("__look", look(F.col(content))).select(*files.columns, "__look.*")
+    A first look: it counts page objects at the top level, dead ones too.  documents.inspected() walks the page tree.
+    """
+    text = F.decode(F.coalesce(F.col(content), F.lit(b"")), "ISO-8859-1")
+    sound, locked = text.startswith("%PDF-") & F.contains(text, F.lit("startxref")), text.rlike(r"/Encrypt\s+\d+\s+\d+\s+R")
+    n = F.regexp_count(text, F.lit(r"/Type\s*/Page(?![A-Za-z])")).cast("long")
+    status = F.when(~sound, "corrupt").when(locked, "encrypted").when(n > 0, "ok").otherwise("noPages")
+    return files.withColumns({"status": status, "page_count": F.when(sound & ~locked, n)})
 
 
 def objects(files: DataFrame, key: str, content: str = "content", most: int = 5_000_000) -> DataFrame:
@@ -120,10 +113,13 @@ def digest(content: Column) -> Column:
 
 def unescaped_name(name: Column) -> Column:
     """#XX escapes of a name as their characters."""
+    parts = F.split(name, "#")
+    is_hex = lambda p: p.rlike("^[0-9A-Fa-f]{2}")
+    one = lambda p: F.when(is_hex(p), F.concat(F.decode(F.unhex(F.left(p, F.lit(2))), "ISO-8859-1"), F.substring(p, F.lit(3), F.length(p)))).otherwise(F.concat(F.lit("#"), p))
+    return F.when(F.contains(name, F.lit("#")), F.concat(parts[0], F.array_join(F.transform(F.slice(parts, 2, F.size(parts)), one), ""))).otherwise(name)
 
-    @F.pandas_udf("string")
-    def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for part in parts:
-            yield part.map(lambda t: re.sub(r"#([0-9A-Fa-f]{2})", lambda m: chr(int(m[1], 16)), t), na_action="ignore")
 
-    return F.when(F.contains(name, F.lit("#")), run(name)).otherwise(name)
+def incremental(content: Column, section: Column, most: int = 2 << 30) -> Column:
+    """A file with an update behind its bytes, which stay as they are; an error for files over two gigabytes."""
+    small = F.assert_true(F.coalesce(F.octet_length(content), F.lit(0)) <= most, F.lit("the file is too large"))
+    return F.when(small.isNull(), appended(content, section))
