@@ -10,8 +10,9 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
-from quire.llm import lm_scoring, quality_classifier, quality_rules, toxicity
+from quire.llm import lm_scoring, quality_classifier, quality_rules, textkernel, toxicity
 from quire.llm.textkernel import BYTES_FOLDED, chunks
 
 SF = "/root/testdata/sf0.1"
@@ -45,6 +46,48 @@ def test_equal_words_have_equal_hashes_wherever_they_stand():
     assert len(set(seen.values())) == len(seen)
 
 
+def twins(letters):
+    """Two words that a polynomial modulo a power of two cannot tell apart."""
+    a = "a"
+    while len(a) < letters:
+        a += a.translate(str.maketrans("ab", "ba"))
+    return a, a.translate(str.maketrans("ab", "ba"))
+
+
+@pytest.mark.parametrize("letters", [1024, 4096])
+def test_twin_words_and_lines(spark, letters):
+    a, b = twins(letters)
+    [(_, _, w)] = list(chunks(pa.array([f"{a} {b}"])))
+    assert w.hash[0] != w.hash[1] and w.number[0] != w.number[1]
+    rows = [(1, f"{a}\n{b}"), (2, f"{a} x y {b} x y"), (3, f"{a} x y {a} x y\n{b}\n{b}")]
+    out = {r.doc_id: r for r in quality_rules.quality_rules(frame(spark, rows), labels(spark, [])).collect()}
+    assert {i: (out[i].n_dup_lines, out[i].n_repeat_words) for i in out} == {i: base_rules(t)[3:] for i, t in rows}
+    held_out = next(k for k in range(100, 999) if zlib.crc32(str(k).encode()) % 7 == 2)
+    known = {r.doc_id: r.n_known for r in lm_scoring.lm_scores(frame(spark, [(0, a), (held_out, b)])).collect()}
+    assert known[held_out] == 1
+
+
+def test_bytes_decide_where_hashes_meet(monkeypatch):
+    real = textkernel.hashes
+    monkeypatch.setattr(textkernel, "hashes", lambda low, start, end: real(low, start, end) % np.uint64(5))
+    rng = random.Random(2)
+    texts = ["\n".join(" ".join(rng.choice(["long word number", "x", "yy", "zzz"]) + str(rng.randint(0, 9)) for _ in range(9)) for _ in range(6)) for _ in range(20)]
+    [(_, _, w)] = list(chunks(pa.array(texts)))
+    words = [bytes(w.buf[i:j]) for i, j in zip(w.start, w.end)]
+    assert len(set(words)) == len(set(w.number.tolist())) == len(set(zip(words, w.number.tolist())))
+    field = quality_rules.Field(np.zeros(quality_rules.N_FEATURES), np.zeros((2, 2)), np.zeros(2))
+    counts, _ = quality_rules.measure(w, field)
+    assert [tuple(int(counts[c][k]) for c in quality_rules.MEASURES) for k in range(20)] == [base_rules(t) for t in texts]
+
+
+def test_numbers_of_runs_are_exact():
+    number = np.random.default_rng(5).integers(0, 1 << 31, 400) * np.array([1, 0] * 200)
+    for size in (1, 2, 3, 5):
+        runs = [tuple(number[k : k + size]) for k in range(len(number) - size + 1)]
+        got = textkernel.exact_windows(number, size).tolist()
+        assert len(set(runs)) == len(set(got)) == len(set(zip(runs, got)))
+
+
 @pytest.mark.parametrize("rows", [[], [(9, 1, 1)], [(1, 1, 0), (6, 0, 1), (7, 1, 0), (5, 0, 1), (4, None, None)]])
 def test_classifiers_on_odd_rows(spark, rows):
     for fn, args in ((toxicity.toxicity, {}), (quality_classifier.quality, {})):
@@ -93,6 +136,29 @@ def test_viterbi_equals_all_paths():
         assert tuple(field.decode(x, np.array([0, n]))) == best
 
 
+@held
+def test_lines_of_texts_of_both_kinds_are_marked_line_by_line(spark):
+    known = {r.doc_id: r.quality for r in spark.read.parquet(f"{SF}/labels.parquet").collect()}
+    pools = {0: [], 1: [], "fit": ([], [])}
+    for r in spark.read.parquet(f"{SF}/documents.parquet").where(F.col("doc_id").isin(list(known))).orderBy("doc_id").collect():
+        v, n = known[r.doc_id], len(r.text.split())
+        if zlib.crc32(str(r.doc_id).encode()) % 5 and len(pools["fit"][0]) < 1600:
+            pools["fit"][0].append(r.text)
+            pools["fit"][1].append(v)
+        elif n >= (60 if v else 30):
+            pools[v].append(r.text)
+    field = quality_rules.fit(*pools["fit"], 0.87)
+    right = total = both = 0
+    for k in range(60):
+        parts = [(pools[1][k % len(pools[1])], 1), (pools[0][k % len(pools[0])], 0)][:: 1 if k % 2 else -1]
+        [(_, _, w)] = list(chunks(pa.array(["\n".join(t for t, _ in parts)])))
+        lines = quality_rules.lines(w)
+        mark = field.decode(lines.features, lines.first(1))
+        want = np.concatenate([np.full(t.count("\n") + 1, v) for t, v in parts])
+        right, total, both = right + (lines.words * (mark == want)).sum(), total + lines.words.sum(), both + (0 < mark.mean() < 1)
+    assert right > 0.95 * total and both > 50
+
+
 def test_factorisation_equals_all_pairs():
     rng = np.random.default_rng(3)
     size = (1 << quality_classifier.BITS) + quality_classifier.N_STATS

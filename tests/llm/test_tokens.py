@@ -31,6 +31,33 @@ def test_ids_and_texts_equal_the_library(name):
     assert own.encode(texts()[:50]) == got[:50]  # known words
 
 
+def twins(letters):
+    a = "a"
+    while len(a) < letters:
+        a += a.translate(str.maketrans("ab", "ba"))
+    return a, a.translate(str.maketrans("ab", "ba"))
+
+
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+@pytest.mark.parametrize("letters", [1024, 4096])
+def test_twin_words_have_ids_of_their_own(name, letters):
+    own, lib = Bpe(P.path(name)), tokenizers.Tokenizer.from_file(P.path(name))
+    both = [f"{t} q" for t in twins(letters)]
+    for rows in (both, both[::-1], both[:1], both[1:]):
+        assert [np.frombuffer(x, "<u4").tolist() for x in own.encode(rows)] == [e.ids for e in lib.encode_batch(rows, add_special_tokens=False)]
+
+
+def test_words_of_one_hash_have_ids_of_their_own(monkeypatch):
+    from quire.llm import textkernel
+
+    real = textkernel.hashes
+    monkeypatch.setattr(textkernel, "hashes", lambda low, start, end: real(low, start, end) % np.uint64(7))
+    own, lib = Bpe(P.path("byte_bpe_50k.json")), tokenizers.Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    rows = [" ".join(f"word{k}" for k in range(j, j + 9)) for j in range(12)]
+    for _ in range(2):
+        assert [np.frombuffer(x, "<u4").tolist() for x in own.encode(rows)] == [e.ids for e in lib.encode_batch(rows, add_special_tokens=False)]
+
+
 def test_words_are_forgotten_without_harm(monkeypatch):
     monkeypatch.setattr("quire.llm.bpe.KEPT_WORDS", 5)
     own, lib = Bpe(P.path("byte_bpe_50k.json")), tokenizers.Tokenizer.from_file(P.path("byte_bpe_50k.json"))
@@ -42,6 +69,10 @@ def test_round_trip_rows(spark):
     rows = spark.createDataFrame([(1, None, "x"), (2, "", "x"), (2, "Hello  world", "x"), (None, "w " * 50_000, "x")], "doc_id long, text string, ids string")
     got = bpe_round_trip(rows, P.path("word_bpe_49k.json")).collect()
     assert len(got) == 4 and sorted(r.n_tokens for r in got) == [0, 0, 2, 50_000]
+    lib = tokenizers.Tokenizer.from_file(P.path("word_bpe_49k.json"))
+    want = [lib.encode(t or "", add_special_tokens=False).ids for t in (None, "", "Hello  world", "w " * 50_000)]
+    assert sorted(bytes(r.ids) for r in got) == sorted(np.array(x, "<u4").tobytes() for x in want)
+    assert sorted(r.decoded for r in got) == sorted(lib.decode(x, skip_special_tokens=False) for x in want)
     assert bpe_round_trip(rows.limit(0), P.path("word_bpe_49k.json")).count() == 0
 
 
