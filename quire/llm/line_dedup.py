@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.exact_dedup import others
+from quire.llm.exact_dedup import bitmaps, filter_bits, others, tested
 from quire.plans.staging import stage
 
 BLANKS = " \t\n\x0b\x0c\r"
@@ -49,8 +49,13 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         .groupBy(F.col("row").alias("of"), "id").agg(F.array_sort(F.collect_set("pos")).alias("gone"))
     )  # at most the lines of one text
     own = others(docs.columns, ["n_lines", "n_dropped"])
-    out = docs.select(F.struct(*[F.col(f"`{c}`") for c in own]).alias("own"), ident.alias("own_id"), row.alias("row"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("whole"))
-    out = out.join(dropped, (F.col("row") == F.col("of")) & F.col("own_id").eqNullSafe(F.col("id")), "left")
+    out = docs.select(F.struct(*[F.col(f"`{c}`") for c in own if c != text_col]).alias("own"), ident.alias("own_id"), row.alias("row"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("whole"))
+    # only texts that may lose lines are shuffled
+    dropped = stage(dropped, "dropped")
+    bits = filter_bits(dropped.count())
+    out = tested(out, "row", stage(bitmaps(dropped.select("of"), bits), "filter"), bits, "hit")
+    some = out.where("hit").join(dropped, (F.col("row") == F.col("of")) & F.col("own_id").eqNullSafe(F.col("id")), "left").select("own", "whole", "gone")
+    out = out.where("NOT hit").select("own", "whole", F.lit(None).cast("array<int>").alias("gone")).unionByName(some)
     out = out.withColumn("lines", F.split("whole", "\n"))
     # what stays is the runs of lines between those that go
     n_gone = F.size("gone")
