@@ -29,11 +29,11 @@ def stage_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/quire/{name}-{uuid.uuid4().hex}"
 
 
-def stage(df: DataFrame, name: str) -> DataFrame:
-    """Writes df as Parquet into the shared folder and returns the table read back."""
+def stage(df: DataFrame, name: str, *parts: str) -> DataFrame:
+    """Writes df as Parquet into the shared folder, by parts if some are named, and returns the table read back."""
     spark = df.sparkSession
     path = stage_path(spark, name)
-    df.write.parquet(path)
+    (df.write.partitionBy(*parts) if parts else df.write).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -42,7 +42,6 @@ def drop_stage(df: DataFrame) -> None:
     spark = df.sparkSession
     jvm = spark.sparkContext._jvm
     conf = spark.sparkContext._jsc.hadoopConfiguration()
-    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        if "/quire/" in folder:
-            path = jvm.org.apache.hadoop.fs.Path(folder)
-            path.getFileSystem(conf).delete(path, True)
+    for base, rest in {(b, r.split("/")[0]) for b, _, r in (f.rpartition("/quire/") for f in df.inputFiles()) if b}:
+        path = jvm.org.apache.hadoop.fs.Path(f"{base}/quire/{rest}")
+        path.getFileSystem(conf).delete(path, True)
