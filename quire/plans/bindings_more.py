@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.functions import geometry as G, numbers as N, rows as R, text as T
-from quire.operators import keyed as K, ordered as O, pixels as P, totals as A
+from quire.operators import keyed as K, ordered as O, pages as W, pixels as P, totals as A
 from quire.plans.bindings_rows import table
 from quire.sources import history as H
 
@@ -228,23 +228,34 @@ def block_mean(spark, sf_dir):
     return P.block_mean(grey(spark, sf_dir), 2, F.col("v") >= 120)
 
 
+def grey_pages(spark, sf_dir):
+    """The same pages as whole rows."""
+    e = table(spark, sf_dir, "embeddings")
+    scaled = F.transform("embedding", lambda x: F.floor(F.least(F.lit(255.0), F.greatest(F.lit(0.0), (x.cast("double") + 1) * 127.5))).cast("int"))
+    return e.select(F.col("vec_id").alias("id"), F.lit(8).alias("width"), scaled.alias("v"))
+
+
+def _dark(limit: int):
+    return F.transform("v", lambda x: (x < limit).cast("int"))
+
+
 def dilate(spark, sf_dir):
-    return P.dilated(grey(spark, sf_dir).withColumn("v", (F.col("v") < 100).cast("int")))
+    g = grey_pages(spark, sf_dir).withColumn("v", _dark(100))
+    return W.long_form(W.dilated(g, "v", "grown"), "grown").withColumnRenamed("grown", "v")
 
 
 def masked_error(spark, sf_dir):
-    pix = grey(spark, sf_dir)
-    mask = P.dilated(pix.withColumn("v", (F.col("v") < 100).cast("int")))
-    return P.masked_error(pix.withColumn("v", (F.floor(F.col("v") / 16) * 16).cast("int")), pix, mask)
+    g = grey_pages(spark, sf_dir).withColumns({"m": _dark(100), "c": F.transform("v", lambda x: (F.floor(x / 16) * 16).cast("int"))})
+    return W.masked_error(W.dilated(g, "m", "region"), "c", "v", "region").select("id", "n", "error", "passes")
 
 
 def integral_image(spark, sf_dir):
-    return P.local_ink(grey(spark, sf_dir), 2)
+    return W.long_form(W.local_ink(grey_pages(spark, sf_dir), "v", 2), "n", "s", "sq", "ink")
 
 
 def layers(spark, sf_dir):
-    pix = grey(spark, sf_dir)
-    return P.composite(pix.withColumn("v", (F.col("v") < 120).cast("int")), pix, pix.withColumn("v", F.lit(255)))
+    g = grey_pages(spark, sf_dir).withColumns({"m": _dark(120), "white": F.transform("v", lambda x: F.lit(255))})
+    return W.long_form(W.composite(g, "m", "v", "white", "out"), "out").withColumnRenamed("out", "v")
 
 
 def validate_pages(spark, sf_dir):

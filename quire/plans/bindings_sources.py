@@ -12,8 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.functions import pricing, text as T
-from quire.operators import pixels as P
-from quire.plans.bindings_more import PIXELS, grey
+from quire.operators import pages as W
+from quire.plans.bindings_more import PIXELS, grey, grey_pages
 from quire.plans.bindings_rows import VERSIONS, table, versions
 from quire.sources import composed as C, documents as D, files
 
@@ -78,8 +78,8 @@ def packed_bits(spark, sf_dir):
 
 def composite(spark, sf_dir):
     """Pixels in front where the mask is set, else those behind."""
-    g = grey(spark, sf_dir)
-    return P.composite(g.withColumn("v", (F.col("v") < 120).cast("int")), g, g.withColumn("v", 255 - F.col("v")))
+    g = grey_pages(spark, sf_dir).withColumns({"m": F.transform("v", lambda x: (x < 120).cast("int")), "behind": F.transform("v", lambda x: 255 - x)})
+    return W.long_form(W.composite(g, "m", "v", "behind", "out"), "out").withColumnRenamed("out", "v")
 
 
 def image_coverage(spark, sf_dir):
@@ -141,6 +141,8 @@ SQL: dict[str, str] = {
     "unescaped_names": "SELECT doc_id, 'A ' || source || '/' AS name FROM documents",
     "byte_texts": """WITH d AS (SELECT doc_id, n_chars * CASE doc_id % 3 WHEN 0 THEN 1 WHEN 1 THEN 7919 ELSE 7990271 END AS n FROM documents)
 SELECT doc_id, CASE WHEN n < 1000 THEN n || ' bytes' WHEN n < 1000000 THEN round(n / 1000.0::DOUBLE)::BIGINT || ' KB' WHEN n < 1000000000 THEN printf('%.1f MB', n / 1000000.0::DOUBLE) ELSE printf('%.2f GB', n / 1000000000.0::DOUBLE) END AS size FROM d""",
+    "budgeted_names": """WITH d AS (SELECT doc_id, split_part(text, chr(10), 1) AS line FROM documents)
+SELECT doc_id, left(line, (SELECT max(k) FROM range(0, 41) r(k) WHERE k <= length(line) AND octet_length(encode(left(line, k))) <= 40)) AS name FROM d""",
     "packed_bits": f"WITH {PIXELS} SELECT id, y, 0::INT AS byte, sum(CASE WHEN v < 128 THEN 0 ELSE 2 ** (7 - x) END)::INT AS value FROM p GROUP BY id, y",
     "composite": f"WITH {PIXELS} SELECT id, x, y, CASE WHEN v < 120 THEN v ELSE 255 - v END AS v FROM p",
     "image_coverage": "SELECT p_partkey % 50 AS page, round(sum(p_size * 10 * p_size * 20)::DOUBLE / (72.0::DOUBLE / 72.0::DOUBLE * 100.0::DOUBLE * (144.0::DOUBLE / 72.0::DOUBLE * 100.0::DOUBLE)), 6) AS coverage FROM part GROUP BY 1",
