@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quire.llm import queries_rounds
 from quire.llm.bpe import bpe_round_trip
 from quire.llm.exact_dedup import exact_dedup
 from quire.llm.line_dedup import line_dedup
@@ -89,7 +90,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_exact_dedup": op8_exact_dedup,
     "op9_quality_rules": op9_quality_rules,
     "op10_quality": op10_quality,
-}
+} | queries_rounds.QUERIES
 
 ORACLE_SQL: dict[str, str] = {
     "op1_line_dedup": r"""
@@ -116,4 +117,4 @@ WITH d AS (SELECT doc_id, length(coalesce(text, '')) AS n, sha256(regexp_replace
 k AS (SELECT *, first_value(doc_id) OVER (PARTITION BY text_sha256 ORDER BY n DESC, doc_id) AS keep_id,
   count(*) OVER (PARTITION BY text_sha256) AS group_size FROM d)
 SELECT doc_id, keep_id, group_size::BIGINT AS group_size, doc_id = keep_id AS kept, text_sha256 FROM k""",
-}
+} | queries_rounds.ORACLE_SQL
