@@ -192,11 +192,11 @@ def _packed_document(number: pd.Series) -> pd.Series:
 
 def page_trees(spark, sf_dir):
     """A look inside composed files and ones with object streams, some cut, encrypted or missing."""
-    from quire.plans.bindings_sources import made
+    from quire.plans.bindings_sources import locked, made
 
     n = F.col("page_id")
     docs = made(spark, sf_dir).withColumn("content", F.when(n % 2 == 0, F.col("document")).otherwise(_packed_document(n)))
-    docs = docs.withColumn("content", F.when(n % 11 == 0, None).when(n % 13 == 0, F.substring("content", F.lit(1), F.lit(40))).when(n % 7 == 0, F.concat("content", F.lit("/Encrypt 9 0 R").cast("binary"))).otherwise(F.col("content")))
+    docs = docs.withColumn("content", F.when(n % 11 == 0, None).when(n % 13 == 0, F.substring("content", F.lit(1), F.lit(40))).when(n % 7 == 0, locked(F.col("content"))).otherwise(F.col("content")))
     return D.inspected(docs.select("page_id", "content"), "page_id")
 
 

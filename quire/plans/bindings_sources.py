@@ -27,6 +27,15 @@ def made(spark, sf_dir):
     return C.composed(pages.select("page_id", "p.*", F.lit(612.0).alias("width"), F.lit(792.0).alias("height")), "page_id")
 
 
+def locked(document):
+    """The document with an update that names a lock which needs a password."""
+    zeros = "00" * 32
+    lock = f"20 0 obj\n<< /Filter /Standard /V 1 /R 2 /O <{zeros}> /U <{zeros}> /P -4 >>\nendobj\n"
+    place = F.octet_length(document)
+    tail = F.concat(F.lit(f"{lock}xref\n20 1\n"), F.format_string("%010d 00000 n \n", place), F.lit("trailer\n<< /Size 21 /Root 1 0 R /Encrypt 20 0 R >>\nstartxref\n"), (place + len(lock)).cast("string"), F.lit("\n%%EOF\n"))
+    return F.concat(document, tail.cast("binary"))
+
+
 def composed_documents(spark, sf_dir):
     """Size and digest of a new document of two pages for each row."""
     return made(spark, sf_dir).select("page_id", F.octet_length("document").cast("long").alias("size"), files.digest(F.col("document")).alias("digest"))
@@ -45,7 +54,7 @@ def inspected_documents(spark, sf_dir):
     docs = made(spark, sf_dir)
     content = (
         F.when(F.col("page_id") % 3 == 0, F.substring("document", F.lit(1), F.lit(40)))
-        .when(F.col("page_id") % 7 == 0, F.concat("document", F.lit("/Encrypt 9 0 R").cast("binary"))).otherwise(F.col("document"))
+        .when(F.col("page_id") % 7 == 0, locked(F.col("document"))).otherwise(F.col("document"))
     )
     return D.inspected(docs.select("page_id", content.alias("content")), "page_id").select("page_id", "status", "page_count")
 

@@ -15,47 +15,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quire.functions.numbers import reference, references
 from quire.plans.staging import stage
-from quire.sources.files import latest, objects
+from quire.sources.content import reference, references
+from quire.sources.structure import parsed, values
 
 BUDGET = 64 << 20
 DEEPEST, NODES = 256, 500_000
-_TOKEN = re.compile(rb"\((?:[^()\\]|\\.|\((?:[^()\\]|\\.)*\))*\)|%[^\r\n]*|<<|>>|\[|\]|<[0-9A-Fa-f\s]*>|/[^\s()<>\[\]{}/%]*|[^\s()<>\[\]{}/%]+|\S", re.S)
-_NAME = re.compile(rb"#([0-9A-Fa-f]{2})")
-
-
-def _name(token: bytes) -> str:
-    return _NAME.sub(lambda m: bytes([int(m[1], 16)]), token[1:]).decode("latin-1")
-
-
-def entries(data: bytes) -> dict[str, bytes] | None:
-    """Keys and raw values of the dictionary at the beginning of data; None if it cannot be read to its end."""
-    tokens = (m for m in _TOKEN.finditer(data) if not m[0].startswith(b"%"))
-    first = next(tokens, None)
-    if first is None or first[0] != b"<<":
-        return None
-    out: dict[str, bytes] = {}
-    key, begin, end, depth = None, None, None, 0
-    for m in tokens:
-        t = m[0]
-        if depth == 0 and (t == b">>" or t.startswith(b"/") and key is not None and begin is not None):
-            if key is not None:
-                if begin is None:
-                    return None
-                out.setdefault(key, data[begin:end])
-            if t == b">>":
-                return out
-            key, begin = _name(t), None
-        elif depth == 0 and key is None:
-            if not t.startswith(b"/"):
-                return None
-            key = _name(t)
-        else:
-            begin = m.start() if begin is None else begin
-            end = m.end()
-            depth += (t in (b"<<", b"[")) - (t in (b">>", b"]"))
-    return None
+entries = values
 
 
 def lookup(data: Column, key: str) -> Column:
@@ -125,83 +91,73 @@ def live(top: DataFrame, inner: DataFrame, key: str) -> DataFrame:
     return a.join(b, [key, "obj"], "full_outer").select(key, "obj", F.coalesce("gen", F.lit(0).cast("long")).alias("gen"), F.when(later, F.col("__inner")).otherwise(F.col("__top")).alias("body"))
 
 
-def page_leaves(nodes: DataFrame, roots: DataFrame, key: str, deepest: int = DEEPEST, most: int = NODES) -> DataFrame:
+def page_leaves(nodes: DataFrame, roots: DataFrame, key: str, deepest: int = DEEPEST, most: int = NODES, carry: list[str] | None = None) -> DataFrame:
     """(key, page, obj): the leaves below each file's root in order.
 
     nodes are (key, obj, kids: array of object numbers, null for a page).  A file's tree is walked in one task,
-    each node once, down to `deepest` and over `most` nodes at most.
+    each node once, down to `deepest` and over `most` nodes at most.  Columns named in `carry` are added: a leaf's own
+    value, else its nearest ancestor's.
     """
-    kinds = dict(nodes.dtypes)
+    kinds, carry = dict(nodes.dtypes), carry or []
 
     def walk(table: pa.Table) -> pa.Table:
         kids = dict(zip(table.column("obj").to_pylist(), table.column("kids").to_pylist()))
-        stack, seen, found = [(table.column("root")[0].as_py(), 1)], set(), []
+        own = dict(zip(table.column("obj").to_pylist(), zip(*(table.column(c).to_pylist() for c in carry)))) if carry else {}
+        stack, seen, found, carried = [(table.column("root")[0].as_py(), 1, (None,) * len(carry))], set(), [], []
         while stack and len(seen) < most:
-            obj, depth = stack.pop()
+            obj, depth, above = stack.pop()
             if obj in seen or obj not in kids:
                 continue
             seen.add(obj)
+            here = tuple(a if b is None else b for a, b in zip(above, own[obj])) if carry else ()
             if kids[obj] is None:
                 found.append(obj)
+                carried.append(here)
             elif depth < deepest:
-                stack += [(k, depth + 1) for k in reversed(kids[obj])]
-        return pa.table({"key": pa.array([table.column("key")[0].as_py()] * len(found), table.schema.field("key").type), "page": pa.array(range(len(found)), pa.int64()), "obj": pa.array(found, pa.int64())})
+                stack += [(k, depth + 1, here) for k in reversed(kids[obj])]
+        columns = {"key": pa.array([table.column("key")[0].as_py()] * len(found), table.schema.field("key").type), "page": pa.array(range(len(found)), pa.int64()), "obj": pa.array(found, pa.int64())}
+        return pa.table(columns | {c: pa.array([x[k] for x in carried], table.schema.field(c).type) for k, c in enumerate(carry)})
 
-    rows = nodes.select(F.col(key).alias("key"), F.col("obj").cast("long").alias("obj"), F.col("kids").cast("array<long>").alias("kids"))
+    rows = nodes.select(F.col(key).alias("key"), F.col("obj").cast("long").alias("obj"), F.col("kids").cast("array<long>").alias("kids"), *carry)
     rows = rows.join(roots.select(F.col(key).alias("key"), F.col("obj").cast("long").alias("root")), "key")
-    return rows.groupBy("key").applyInArrow(walk, f"key {kinds[key]}, page long, obj long").withColumnRenamed("key", key)
+    schema = ", ".join([f"key {kinds[key]}, page long, obj long", *(f"`{c}` {kinds[c]}" for c in carry)])
+    return rows.groupBy("key").applyInArrow(walk, schema).withColumnRenamed("key", key)
 
 
-def shows_text(body: Column) -> Column:
-    """Whether the operators of a content stream, deflated or plain, show text."""
+def shows_text(plain: Column) -> Column:
+    """Whether the operators of a content stream's plain bytes show text."""
 
     @F.pandas_udf("boolean")
     def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        show = {s.encode() for s in SHOW}
+
         def one(x: bytes | None) -> bool:
-            at = re.search(rb"stream\r?\n", x or b"")
-            if not at:
-                return False
-            data = x[at.end() : x.rfind(b"endstream")]
-            if b"/FlateDecode" in x[: at.start()]:
-                try:
-                    data = zlib.decompressobj().decompress(data, BUDGET)
-                except zlib.error:
-                    return False
-            bare = re.sub(rb"\((?:[^()\\]|\\.)*\)|<[0-9A-Fa-f\s]*>", b" ", data)
-            return bool(set(bare.split()) & {s.encode() for s in SHOW})
+            return bool(set(re.sub(rb"\((?:[^()\\]|\\.)*\)|<[0-9A-Fa-f\s]*>", b" ", x or b"").split()) & show)
 
         for part in parts:
             yield part.map(one)
 
-    return run(body)
+    return run(plain)
 
 
 def inspected(files_: DataFrame, key: str, content: str = "content") -> DataFrame:
     """(key, status, page_count, has_text): a look inside each file.
 
-    status is missing (no content), corrupt (no header, or no table of objects), encrypted (nothing can be
-    decrypted here, so encrypted files are locked), noPages or ok.  Pages are the leaves of the page tree of the live
-    definitions, packed ones too; has_text says whether the first page's contents show text.
+    status is missing (no content), corrupt (no header, or no way to the root), encrypted (the empty password does not
+    open it), noPages or ok.  Pages are the leaves of the page tree of the live definitions, packed ones
+    too; has_text says whether the first page's contents show text.
     """
-    text = F.decode(content, "ISO-8859-1")
-    state = (
-        F.when(F.col(content).isNull(), "missing").when(~text.startswith("%PDF-") | ~F.contains(text, F.lit("startxref")), "corrupt")
-        .when(text.rlike(r"/Encrypt\s+\d+\s+\d+\s+R"), "encrypted").otherwise("open")
-    )
-    roots = F.regexp_extract_all(text, F.lit(r"/Root\s+(\d+)\s+\d+\s+R"), 1)
-    told = stage(files_.select(key, content).withColumns({"state": state, "root": F.element_at(F.when(F.size(roots) > 0, roots), -1).cast("long")}), "told")
-    whole = told.where("state = 'open'")
-    top = stage(bodies(whole, latest(objects(whole, key, content), key), key, content), "top")
-    alive = stage(live(top, packed(top, key), key), "live")
-    kind, kids, tree = (lookup(F.col("body"), name)["value"].cast("string") for name in ("Type", "Kids", "Pages"))
-    told_objects = alive.where(F.contains("body", F.lit("/Type").cast("binary"))).select(key, "obj", kind.alias("kind"), kids.alias("kids"), tree.alias("tree"))
-    told_objects = stage(told_objects.where(F.col("kind").isin("/Page", "/Pages", "/Catalog")), "typed")
-    nodes = told_objects.where("kind <> '/Catalog'").select(key, "obj", F.when(F.col("kind") == "/Pages", F.transform(references(F.coalesce("kids", F.lit(""))), lambda r: r["object"])).alias("kids"))
-    catalog = told_objects.where("kind = '/Catalog'").join(whole.select(key, F.col("root").alias("obj")), [key, "obj"])
-    leaves = stage(page_leaves(nodes, catalog.select(key, reference(F.col("tree"))["object"].alias("obj")).where("obj IS NOT NULL"), key), "leaves")
-    first = leaves.where("page = 0").join(alive, [key, "obj"]).select(key, F.explode(references(F.coalesce(lookup(F.col("body"), "Contents")["value"].cast("string"), F.lit("")))).alias("r"))
-    shown = first.select(key, F.col("r.object").alias("obj")).join(alive, [key, "obj"]).groupBy(key).agg(F.bool_or(shows_text(F.col("body"))).alias("has_text"))
-    out = told.select(key, "state").join(leaves.groupBy(key).agg(F.count(F.lit(1)).alias("page_count")), key, "left").join(shown, key, "left")
+    told = stage(parsed(files_, key, content, contents=True), "parsed")
+    alive = told.where("obj IS NOT NULL")
+    ends = told.where("obj IS NULL").select(key, "ending.state", F.col("ending.root").alias("obj"))
+    tree = alive.join(ends.where("state = 'open'").select(key, "obj"), [key, "obj"])
+    roots = tree.select(key, reference(F.col("node")["Pages"]).alias("obj")).where("obj IS NOT NULL")
+    nodes = alive.where("node IS NOT NULL AND kind <> '/Catalog'").select(key, "obj", F.when(F.col("kind") != "/Page", F.col("kids")).alias("kids"))
+    leaves = stage(page_leaves(nodes, roots, key), "leaves")
+    first = leaves.where("page = 0").join(alive.where("node IS NOT NULL").select(key, "obj", F.col("node")["Contents"].alias("streams")), [key, "obj"])
+    first = first.select(key, F.explode(references(F.col("streams"))).alias("r")).select(key, F.col("r.obj").alias("obj"))
+    shown = first.join(alive.where("plain IS NOT NULL").select(key, "obj", "plain"), [key, "obj"]).groupBy(key).agg(F.bool_or(shows_text(F.col("plain"))).alias("has_text"))
+    out = ends.select(key, "state").join(leaves.groupBy(key).agg(F.count(F.lit(1)).alias("page_count")), key, "left").join(shown, key, "left")
     is_open = F.col("state") == "open"
     return out.select(
         key, F.when(is_open, F.when(F.col("page_count") > 0, "ok").otherwise("noPages")).otherwise(F.col("state")).alias("status"),

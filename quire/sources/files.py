@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 import zlib
 from collections.abc import Iterator
 
@@ -10,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quire.sources.structure import scan
+
 
 def admitted(rows: DataFrame, path: str = "path", extension: str = "pdf") -> DataFrame:
     """Rows whose path ends in the extension, in any case; repeats stay."""
@@ -40,26 +41,10 @@ def objects(files: DataFrame, key: str, content: str = "content", most: int = 5_
     import pyarrow as pa
 
     kind = dict(files.dtypes)[key]
-    head = re.compile(rb"(?<![0-9])(\d{1,10})\s+(\d{1,5})\s+obj(?![A-Za-z])")
-
-    def scan(data: bytes) -> Iterator[tuple[int, int, int, int, int]]:
-        at, n = 0, 0
-        while (m := head.search(data, at)) and n < most:
-            end = data.find(b"endobj", m.end())
-            stream = data.find(b"stream", m.end())
-            if 0 <= stream < (end if end >= 0 else len(data)):
-                size = re.search(rb"/Length\s+(\d+)(?!\s+\d+\s+R)", data[m.end() : stream])
-                skip = stream + 6 + int(size[1]) if size else stream + 6
-                close = data.find(b"endstream", min(skip, len(data)))
-                end = data.find(b"endobj", close if close >= 0 else m.end())
-            end = len(data) if end < 0 else end
-            yield int(m[1]), int(m[2]), m.start(), m.end(), end
-            at, n = end + 6, n + 1
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for name, data in zip(batch.column(0), batch.column(1)):
-                rows = list(scan(data.as_py() or b""))
+                rows = list(scan(data.as_py() or b"", most))
                 cols = list(zip(*rows)) if rows else [[]] * 5
                 yield pa.RecordBatch.from_arrays([pa.array([name.as_py()] * len(rows), batch.column(0).type), *(pa.array(c, pa.int64()) for c in cols)], ["key", "obj", "gen", "start", "body_start", "body_end"])
 
