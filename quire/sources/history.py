@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,6 +13,8 @@ BATCH = (
 )
 ENVELOPE = f"version int, batches array<struct<{', '.join(': '.join(x.rsplit(' ', 1)) for x in BATCH.split(', ')).replace(': ', ':')}>>, lifetimeSavedBytes long"
 RETAINED, LONGEST = 200, 200
+#: The envelope within its folder.
+NAME = "envelope.json"
 
 
 def decoded(batch: Column) -> Column:
@@ -38,12 +42,42 @@ def read_history(spark: SparkSession, path: str, version: int = 1) -> DataFrame:
     return rows.select("pos", decoded(F.col("b")).alias("b")).select("pos", "b.*")
 
 
-def write_history(batches: DataFrame, lifetime: int, path: str, version: int = 1) -> None:
-    """Replaces the envelope by one with these batches (a column pos gives their order)."""
+def write_history(batches: DataFrame, lifetime: int | DataFrame, path: str, version: int = 1) -> None:
+    """Replaces the envelope in the folder by one with these batches (a column pos gives their order).
+
+    lifetime is a number, or a table whose column savedBytes is summed.  The new envelope is written beside the
+    old one and takes its place by one rename, so that readers find one of the two whole, whatever fails.
+    """
+    spark = batches.sparkSession
     fields = [f for f in batches.columns if f != "pos"]
     ordered = F.slice(F.transform(F.array_sort(F.collect_list(F.struct("pos", F.struct(*fields).alias("b")))), lambda x: x["b"]), 1, RETAINED)
-    retained = batches.orderBy("pos").limit(RETAINED)
-    retained.agg(ordered.alias("batches")).select(F.lit(version).alias("version"), "batches", F.lit(lifetime).cast("long").alias("lifetimeSavedBytes")).coalesce(1).write.mode("overwrite").json(path)
+    kept = batches.orderBy("pos").limit(RETAINED).agg(ordered.alias("batches"))
+    if isinstance(lifetime, DataFrame):
+        total = lifetime.agg(F.coalesce(F.sum("savedBytes"), F.lit(0)).cast("long").alias("lifetime"))
+    else:
+        total = spark.range(1).select(F.lit(lifetime).cast("long").alias("lifetime"))
+    both = kept.unionByName(total, allowMissingColumns=True).agg(F.first("batches", ignorenulls=True).alias("batches"), F.first("lifetime", ignorenulls=True).alias("lifetimeSavedBytes"))
+    beside = f"{path.rstrip('/')}/_new-{uuid.uuid4().hex}"
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    at = jvm.org.apache.hadoop.fs.Path
+    fs = at(path).getFileSystem(conf)
+    try:
+        both.select(F.lit(version).alias("version"), "batches", "lifetimeSavedBytes").coalesce(1).write.json(beside)
+        part = next(s.getPath() for s in fs.listStatus(at(beside)) if s.getPath().getName().startswith("part-"))
+        _replace(spark, part, at(f"{path.rstrip('/')}/{NAME}"))
+        for old in fs.listStatus(at(path)):  # envelopes of another name
+            if not old.getPath().getName().startswith(("_", ".")) and old.getPath().getName() != NAME:
+                fs.delete(old.getPath(), True)
+    finally:
+        fs.delete(at(beside), True)
+
+
+def _replace(spark: SparkSession, part, target) -> None:
+    """One rename over what may be there."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    options = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+    options[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+    jvm.org.apache.hadoop.fs.FileContext.getFileContext(target.toUri(), conf).rename(part, target, options)
 
 
 def release(feed: Column) -> Column:
