@@ -109,16 +109,23 @@ def capped_sum(value: Column, cap: int) -> Column:
     return F.when(F.assert_true(total <= cap, F.lit(f"more than {cap}")).isNull(), total)
 
 
+#: So many presets may be compared at once.
+MOST = 64
+
+
 def change_quality_totals(rows: DataFrame, candidates: DataFrame, *keys: str) -> DataFrame:
     """Bytes of each group's rows under each candidate preset.
 
     rows have current, own_preset, predictions (map of preset to bytes), excluded and futile (array of
-    presets); candidates have preset and are few.  A row that is excluded, has the preset already or has tried
+    presets); candidates have preset: more than MOST different ones are an error.  A row that is excluded, has the preset already or has tried
     it in vain counts its current bytes, and so does one without a prediction.
     """
     stays = F.coalesce(F.col("excluded"), F.lit(False)) | F.col("own_preset").eqNullSafe(F.col("preset")) | F.coalesce(F.array_contains("futile", F.col("preset")), F.lit(False))
     size = F.when(stays, F.col("current")).otherwise(F.coalesce(F.try_element_at("predictions", F.col("preset")), "current"))
-    wide = rows.withColumn("preset", F.explode(F.array(*(F.lit(r["preset"]) for r in candidates.select("preset").distinct().orderBy("preset").limit(16).collect()))))
+    presets = [r["preset"] for r in candidates.select("preset").distinct().orderBy("preset").limit(MOST + 1).collect()]
+    if len(presets) > MOST:
+        raise ValueError(f"more than {MOST} candidate presets")
+    wide = rows.withColumn("preset", F.explode(F.array(*map(F.lit, presets)).cast("array<string>")))
     return wide.groupBy(*keys, "preset").agg(F.sum(size).cast("long").alias("total_bytes"), F.count_if(~stays).alias("changed"))
 
 

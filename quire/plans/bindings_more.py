@@ -91,17 +91,19 @@ def text_runs(spark, sf_dir):
 
 def content_class(spark, sf_dir):
     """Kinds of documents from up to five sampled pages; the page number decides whether a page is an image."""
-    d = table(spark, sf_dir, "documents").withColumn("n", (F.floor(F.col("n_chars") / 500) + 1).cast("long"))
-    p = d.select("doc_id", "lang", "n", F.explode(O.page_sample(F.col("n"), F.lit(5).cast("long"))).alias("page"), "text")
-    body = F.substring("text", (F.col("page") * 500 + 1).cast("int"), F.lit(500))
-    p = p.withColumns({"raster": (F.col("doc_id") + F.col("page")) % 3 == 0, "is_text": F.length(T.trimmed(body)) >= 40})
-    sums = p.groupBy("doc_id", "lang").agg(F.count_if(~F.col("raster") & F.col("is_text")).alias("text_pages"), F.count_if(F.col("raster") | ~F.col("is_text")).alias("image_pages"))
+    d = table(spark, sf_dir, "documents")
+    sample = O.page_sample((F.floor(F.col("n_chars") / 500) + 1).cast("long"), F.lit(5).cast("long"))
+    body = lambda page: F.substring(F.col("text"), (page * 500 + 1).cast("int"), F.lit(500))
+    is_text = F.transform(sample, lambda page: ((F.col("doc_id") + page) % 3 != 0) & (F.length(T.trimmed(body(page))) >= 40))
+    d = d.select("doc_id", "lang", F.explode(F.array(is_text)).alias("kinds"))  # an array of one: computed once
+    n = F.size(F.filter("kinds", lambda x: x)).cast("long")
+    sums = d.select("doc_id", "lang", n.alias("text_pages"), (F.size("kinds") - n).alias("image_pages"))
     return sums.select("doc_id", "text_pages", "image_pages", R.content_class(F.col("text_pages"), F.col("image_pages"), F.col("lang") == "en").alias("kind"))
 
 
 def ocr_outcome(spark, sf_dir):
     c = table(spark, sf_dir, "conversations")
-    s = c.groupBy("conv_id").agg(F.count_if(F.col("role") == "user").alias("recognised"), F.count_if(F.col("role") != "user").alias("skipped"), F.count(F.lit(1)).alias("pages"), A.capped_sum(F.length("text"), 2_000_000_000).alias("runs"))
+    s = c.groupBy("conv_id").agg(F.count_if(F.col("role") == "user").alias("recognised"), F.count_if(F.col("role") != "user").alias("skipped"), F.count(F.lit(1)).alias("pages"), A.capped_sum(F.length("text"), 2_000_000).alias("runs"))
     return s.select("conv_id", "runs", R.ocr_outcome(F.col("recognised"), F.col("skipped"), F.col("pages"), F.when(F.col("conv_id") % 3 == 0, 0).otherwise(F.col("runs"))).alias("outcome"))
 
 

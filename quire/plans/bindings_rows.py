@@ -192,6 +192,12 @@ def history_by_day(spark, sf_dir):
     return b.groupBy("day").agg(F.count(F.lit(1)).alias("n"), F.sum("saved_bytes").alias("saved"), F.concat_ws(",", F.transform(F.sort_array(F.collect_list("run"), False), lambda x: x.cast("string"))).alias("runs"))
 
 
+def history_day_rows(spark, sf_dir):
+    """A row a batch: its day, and its rank within the day, newest first."""
+    b = _batches(spark, sf_dir).select(F.to_date("placed").alias("day"), "run", "saved_bytes")
+    return b.withColumn("rank", F.row_number().over(Window.partitionBy("day").orderBy(F.desc("run"))))
+
+
 def lifetime_saved(spark, sf_dir):
     """Savings of all batches, beyond those that are retained."""
     return _batches(spark, sf_dir).agg(F.sum("saved_bytes").alias("lifetime"), F.count(F.lit(1)).alias("n"))
@@ -201,7 +207,8 @@ def _race(spark, sf_dir):
     v = versions(spark, sf_dir)
     kind = F.element_at(F.array(*map(F.lit, ["scanBilevel", "scanColour", "bornDigital"])), (F.col("qty") % 3 + 1).cast("int"))
     part = lambda n, d: F.floor(F.col("before") * n / d).cast("long")
-    return v.withColumn("r", S.race(kind, F.col("before"), F.col("after"), F.col("qty") % 10 != 0, part(9, 10), F.col("qty") % 7 != 0, part(19, 20), F.col("pos") % 4 != 0, F.col("pos") != 2, F.when(F.col("qty") % 5 == 0, "maximum").otherwise("balanced")))
+    r = S.race(kind, F.col("before"), F.col("after"), F.col("qty") % 10 != 0, part(9, 10), F.col("qty") % 7 != 0, part(19, 20), F.col("pos") % 4 != 0, F.col("pos") != 2, F.when(F.col("qty") % 5 == 0, "maximum").otherwise("balanced"))
+    return v.select("*", F.explode(F.array(r)).alias("r"))  # an array of one: what reads r does not run the race again
 
 
 def candidate_race(spark, sf_dir):
@@ -353,7 +360,7 @@ def queue_append(spark, sf_dir):
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
     batch_savings, run_saved, finished_totals, run_fraction, price_presets, preset_totals, override_pricing, calibrated_prediction, armed_summary, row_partition, screen_state,
-    next_queued, row_descriptions, recompress_state, first_failure_note, history_recent, history_by_day, lifetime_saved, candidate_race, runner_up, version_cards, variant_pairs,
+    next_queued, row_descriptions, recompress_state, first_failure_note, history_recent, history_by_day, history_day_rows, lifetime_saved, candidate_race, runner_up, version_cards, variant_pairs,
     retain_live, superseded_parked, restored_overrides, state_overlay, searchable_rows, committed_reruns, futile_attempts, page_rates, pending_totals, start_gate,
     object_numbering, xref_runs, extents, output_names, page_sample, change_quality, version_store, queue_append)}
 
@@ -382,6 +389,7 @@ SELECT run, pos, CASE WHEN run % 50 = 0 OR pos = 6 OR state <> 'done' OR NOT coa
 SELECT run, saved_bytes, concat_ws(' · ', strftime(placed, '%H:%M'), CASE WHEN run % 4 = 0 THEN 'Balanced' WHEN run % 3 = 0 THEN 'OCR only' END,
   CASE WHEN run % 13 = 0 THEN 'one had moved' WHEN problem THEN 'some files needed attention' WHEN searchable_count > 0 THEN CASE WHEN searchable_count = file_count THEN 'all searchable' WHEN searchable_count = 1 THEN 'one made searchable' ELSE searchable_count || ' made searchable' END END) AS subtitle,
   CASE WHEN placed::DATE = DATE '1998-08-01' THEN 'TODAY' WHEN placed::DATE = DATE '1998-07-31' THEN 'YESTERDAY' ELSE upper(strftime(placed, '%-d %b %Y')) END AS day, rn <= 2 AS recent, saved_bytes <= 0 AS no_change FROM t WHERE rn <= 200""",
+    "history_day_rows": f"WITH {BATCHES} SELECT placed::DATE AS day, run, saved_bytes, row_number() OVER (PARTITION BY placed::DATE ORDER BY run DESC)::INT AS rank FROM h",
     "history_by_day": f"WITH {BATCHES} SELECT placed::DATE AS day, count(*) AS n, sum(saved_bytes)::BIGINT AS saved, string_agg(run::VARCHAR, ',' ORDER BY run DESC) AS runs FROM h GROUP BY 1",
     "lifetime_saved": f"WITH {BATCHES} SELECT sum(saved_bytes)::BIGINT AS lifetime, count(*) AS n FROM h",
     "candidate_race": f"WITH {_RACE_SQL} SELECT run, pos, status, winner, shipped_bytes FROM g",

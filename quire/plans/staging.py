@@ -8,6 +8,9 @@ key is split at run time.
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -26,7 +29,31 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def stage_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/quire/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/quire/{name}-{uuid.uuid4().hex}"
+    for made in _SCOPES.get():
+        made.append(path)
+    return path
+
+
+_SCOPES: ContextVar[tuple[list[str], ...]] = ContextVar("scopes", default=())
+
+
+@contextmanager
+def staged(spark: SparkSession) -> Iterator[None]:
+    """Deletes at its end all tables staged inside: results that read them must have been written by then."""
+    made: list[str] = []
+    token = _SCOPES.set((*_SCOPES.get(), made))
+    try:
+        yield
+    finally:
+        _SCOPES.reset(token)
+        for path in made:
+            _delete(spark, path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def stage(df: DataFrame, name: str, *parts: str) -> DataFrame:
@@ -39,9 +66,5 @@ def stage(df: DataFrame, name: str, *parts: str) -> DataFrame:
 
 def drop_stage(df: DataFrame) -> None:
     """Deletes a staged table that nothing will read again."""
-    spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
     for base, rest in {(b, r.split("/")[0]) for b, _, r in (f.rpartition("/quire/") for f in df.inputFiles()) if b}:
-        path = jvm.org.apache.hadoop.fs.Path(f"{base}/quire/{rest}")
-        path.getFileSystem(conf).delete(path, True)
+        _delete(df.sparkSession, f"{base}/quire/{rest}")

@@ -284,3 +284,15 @@ def test_outcomes_of_a_stream_are_taken_in_once(spark, tmp_path):
     feed([(2, 8, "failed", 2), (4, 2, "failed", 2)])
     assert run() == [*want, (4, 2, "failed")]
     spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
+
+
+def test_tables_staged_in_a_scope_are_deleted_at_its_end(spark, tmp_path):
+    from quire.plans.staging import stage, staged
+
+    with staged(spark):
+        kept = stage(spark.range(5), "a").inputFiles()
+        with staged(spark):
+            inner = stage(spark.range(3), "b").inputFiles()
+        assert not any(os.path.exists(f.removeprefix("file://")) for f in inner) and all(os.path.exists(f.removeprefix("file://")) for f in kept)
+    outside = stage(spark.range(2), "c")
+    assert not any(os.path.exists(f.removeprefix("file://")) for f in kept) and outside.count() == 2
