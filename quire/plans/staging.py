@@ -51,6 +51,15 @@ def staged(spark: SparkSession) -> Iterator[None]:
             _delete(spark, path)
 
 
+def kept(df: DataFrame) -> DataFrame:
+    """A staged table that outlives the scope around it; a scope further out still ends it."""
+    own = {f"{b}/quire/{r.split('/')[0]}" for b, _, r in (f.rpartition("/quire/") for f in df.inputFiles())}
+    tail = {x.rpartition("/quire/")[2] for x in own}
+    for made in _SCOPES.get()[-1:]:
+        made[:] = [x for x in made if x.rpartition("/quire/")[2] not in tail]
+    return df
+
+
 def _delete(spark: SparkSession, path: str) -> None:
     at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
