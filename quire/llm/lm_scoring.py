@@ -15,7 +15,6 @@ in a sweep is the tables of the restaurants that they both know.
 
 from __future__ import annotations
 
-import io
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -32,7 +31,8 @@ from quire.plans.staging import drop_stage
 BLOCK_BYTES = 12 << 20
 PROBE_BYTES = 64 << 20  # of text at most, or a twentieth, tell which words are spread over several shards
 WAVES = 4
-MOVES = 64  # customers of a dish that a sweep takes out and seats again, picked at random
+MOVES, GROUPS = 64, 8  # customers of a dish that a sweep moves one by one, and the groups in which it moves the others
+COPIES = 64  # rows of one id and text beyond this number are scored as one row
 END = np.array([0x5E9D0F1AE2B3C4D5], U64)
 BEGIN = np.array([0x1B873593CC9E2D51], U64)
 
@@ -68,9 +68,14 @@ def tokens(w: Words) -> tuple[np.ndarray, np.ndarray]:
 
 
 def save(**arrays: np.ndarray) -> bytes:
-    out = io.BytesIO()
-    np.savez(out, **arrays)
-    return out.getvalue()
+    """Arrays one after the other, each at a multiple of eight bytes, behind what they are: a few bytes an array."""
+    head, data, at = [], [], 0
+    for name, a in arrays.items():
+        raw = np.ascontiguousarray(a).tobytes()
+        head.append(f"{name} {np.asarray(a).dtype.str} {'x'.join(map(str, np.shape(a)))}")
+        data += [raw, bytes(-len(raw) % 8)]
+    first = ";".join(head).encode()
+    return b"".join([len(first).to_bytes(8, "little"), first, bytes(-len(first) % 8), *data])
 
 
 def small(name: str, values: np.ndarray) -> dict[str, np.ndarray]:
@@ -98,8 +103,16 @@ def wide(rows: np.ndarray) -> np.ndarray:
 
 
 def load(raw: bytes) -> dict[str, np.ndarray]:
-    with np.load(io.BytesIO(raw)) as z:
-        return {k: z[k] for k in z.files}
+    size = int.from_bytes(raw[:8], "little")
+    out, at = {}, 8 + size + -size % 8
+    for one in raw[8 : 8 + size].decode().split(";"):
+        name, kind, shape = one.split(" ")
+        dims = [int(x) for x in shape.split("x")] if shape else []
+        n = int(np.prod(dims, dtype=np.int64))
+        out[name] = np.frombuffer(raw, kind, n, at).reshape(dims)
+        at += n * np.dtype(kind).itemsize
+        at += -at % 8
+    return out
 
 
 # ---- seating
@@ -155,7 +168,7 @@ class Seats:
         self.n[dish] += 1
 
     def sweep(self, fresh: Callable[[np.ndarray], np.ndarray], discount: float, rng: np.random.Generator, moves: int = MOVES) -> None:
-        """Takes up to `moves` customers of each dish out, one after the other, and seats each again."""
+        """Takes all customers of each dish out and seats each again: `moves` one after the other, the others in GROUPS groups."""
         dish = np.flatnonzero(self.n > 1)
         for k in range(moves):
             dish = dish[self.n[dish] > k]
@@ -163,6 +176,29 @@ class Seats:
                 break
             self.leave(dish, rng)
             self.come(dish, fresh(dish), discount, rng)
+        dish = np.flatnonzero(self.n > moves)
+        own = rng.spawn(1)[0] if len(dish) else rng  # numbers of their own: the moves of small dishes do not depend on large ones
+        for _ in range(GROUPS if len(dish) else 0):
+            self.move(dish, -(-(self.n[dish] - moves) // GROUPS), fresh, discount, own)
+
+    def move(self, dish: np.ndarray, many: np.ndarray, fresh: Callable[[np.ndarray], np.ndarray], discount: float, rng: np.random.Generator) -> None:
+        """Takes `many` customers of each dish out, at random, and seats them again by the weights without them."""
+        for d, k in zip(dish.tolist(), many.tolist()):
+            own = self.size[self.at[d] : self.at[d] + self.t[d]]
+            left = own - rng.multivariate_hypergeometric(own, k)
+            left = left[left > 0]
+            own[:] = 0
+            self.size[self.at[d] : self.at[d] + len(left)] = left
+            self.t[d], self.n[d] = len(left), self.n[d] - k
+        weight = fresh(dish)
+        opened_ = rng.binomial(many, weight / (weight + self.n[dish] - discount * self.t[dish]))
+        for d, k, new in zip(dish.tolist(), many.tolist(), opened_.tolist()):
+            own = self.size[self.at[d] : self.at[d] + self.t[d]]
+            share = own - discount
+            own += rng.multinomial(k - new, share / share.sum())
+            self.size[self.at[d] + self.t[d] : self.at[d] + self.t[d] + new] = 1
+            self.t[d] += new
+            self.n[d] += k
 
     def resize(self, n: np.ndarray, fresh: Callable[[np.ndarray], np.ndarray], discount: float, rng: np.random.Generator) -> None:
         """Brings the dishes to n customers: so many leave or come, one by one, and all beyond MOVES at once."""
@@ -310,6 +346,7 @@ class Block:
 
 
 def block_of(texts: pa.Array, trains: np.ndarray, where: Map) -> Block:
+    """trains: how often each text is trained on."""
     token, doc = tokens(words(*flat(texts), BYTES_FOLDED))
     kinds, number = np.unique(np.r_[token, BEGIN], return_inverse=True)
     del token
@@ -408,7 +445,7 @@ def request(where: Map) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Reco
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block, table in gathered(batches, "block"):
-            b = block_of(table.column("text").combine_chunks(), ~table.column("held_out").to_numpy(), where)
+            b = block_of(table.column("text").combine_chunks(), table.column("trains").to_numpy(), where)
             del table
             for shard, lo, hi in zip(b.shards, b.cut[:-1], b.cut[1:]):
                 head = runs(b.word[lo:hi])
@@ -584,7 +621,7 @@ def added_up(where: Map, n_all: int, n_words: int) -> Callable[[Iterator[pa.Reco
             del table
             if not texts.num_rows:
                 continue
-            b = block_of(texts.column("text").combine_chunks(), ~texts.column("held_out").to_numpy(), where)
+            b = block_of(texts.column("text").combine_chunks(), texts.column("trains").to_numpy(), where)
             told = {r["shard"]: r for r in told}
             score, count = np.zeros(len(b.word)), np.zeros(len(b.word), np.int64)
             for shard, lo, hi in zip(b.shards.tolist(), b.cut[:-1], b.cut[1:]):
@@ -595,8 +632,8 @@ def added_up(where: Map, n_all: int, n_words: int) -> Callable[[Iterator[pa.Reco
             per = lambda v: np.bincount(b.doc, v[b.pair], texts.num_rows)
             ints = [np.bincount(b.doc, minlength=texts.num_rows).astype(np.int64), per(count > 0).astype(np.int64)]
             yield pa.RecordBatch.from_arrays(
-                [texts.column("id").combine_chunks(), texts.column("held_out").combine_chunks(), *(pa.array(v) for v in (*ints, per(base), per(score)))],
-                ["id", "held_out", "n_tokens", "n_known", "base_score", "score"])
+                [*(texts.column(c).combine_chunks() for c in ("id", "held_out", "copies")), *(pa.array(v) for v in (*ints, per(base), per(score)))],
+                ["id", "held_out", "copies", "n_tokens", "n_known", "base_score", "score"])
 
     return run
 
@@ -623,6 +660,22 @@ def frequent(docs: DataFrame, size: int, shards: int) -> Map:
     return Map(shards, np.array([r["word"] for r in rows], np.int64).view(U64), np.array(parts, np.int64))
 
 
+def once(rows: DataFrame) -> DataFrame:
+    """rows (id, text, held_out) with copies: rows of one id and text beyond COPIES of them are one row that says how many.
+
+    Else a block, which is a task's, could be one text's copies without end.
+    """
+    h = [F.xxhash64("id", "text").alias("h1"), F.xxhash64("text", F.lit(3), "id").alias("h2")]
+    many = stage(rows.select(*h).groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("copies")).where(F.col("copies") > COPIES), "copies")
+    if many.limit(1).count() == 0:
+        drop_stage(many)
+        return rows.withColumn("copies", F.lit(1).cast("long"))
+    told = rows.select("*", *h).join(many, ["h1", "h2"], "left")
+    single = told.where("copies IS NULL").withColumn("copies", F.lit(1).cast("long"))
+    first = told.where("copies IS NOT NULL").groupBy("h1", "h2").agg(*(F.first(c).alias(c) for c in ("id", "text", "held_out", "copies")))
+    return single.unionByName(first).drop("h1", "h2")
+
+
 @dataclass
 class Sample:
     weights: Weights
@@ -630,14 +683,14 @@ class Sample:
     totals: DataFrame  # x, c, t: customers and tables of each context's restaurant
 
 
-def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 7, held: int = 2, burn_in: int = 1, samples: int = 2) -> DataFrame:
+def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 7, held: int = 2, burn_in: int = 2, samples: int = 2) -> DataFrame:
     """One row per row of docs: the id, held_out, n_tokens, n_known, train_tokens, base_score and score.
 
     Rows whose crc32 of the id as text leaves `held` modulo folds are held out; all others (also those
     without an id) train the model.  Tokens are the words, A-Z lower-cased, and one end; a null or
     empty text is an end alone.  base_score is the log10 probability under counts plus one, score that
     under the model, whose unknown word has the base's chance.  Repeated rows train and are scored like
-    any others; other columns are left out; an empty table gives no rows.  The first of the burn_in sweeps
+    any others (as one row that counts so often, where there are many); other columns are left out; an empty table gives no rows.  The first of the burn_in sweeps
     seats all customers; with no samples all dishes stay at one table.
     """
     id_type = docs.schema[id_col].dataType.simpleString()
@@ -646,10 +699,12 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", f
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, -(-size // BLOCK_BYTES))
     where = frequent(rows, size, blocks)
-    placed = rows.withColumn("block", F.pmod(F.xxhash64("id", "text"), F.lit(blocks)).cast("int"))
+    rows = once(rows)
+    trains = F.when(F.col("held_out"), 0).otherwise(F.col("copies")).cast("long")
+    placed = rows.withColumns({"trains": trains, "block": F.pmod(F.xxhash64("id", "text"), F.lit(blocks)).cast("int")})
     by = lambda df, key: df.repartitionById(blocks, F.col(key))
 
-    requests = by(placed, "block").select("text", "held_out", "block").mapInArrow(request(where), "wave int, shard int, block int, raw binary")
+    requests = by(placed, "block").select("text", "trains", "block").mapInArrow(request(where), "wave int, shard int, block int, raw binary")
     requests = stage(requests, "requests", "wave")
     state = in_waves(lambda wave: stage(by(requests.where(F.col("wave") == wave), "shard").mapInArrow(opened(where), KINDS), "opened"))
     drop_stage(requests)
@@ -722,9 +777,10 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", f
     for table in {id(t): t for t in (first, state, known)}.values():
         drop_stage(table)
     none = lambda kind: F.lit(None).cast(kind)
-    both = placed.select("block", "id", "text", "held_out", none("int").alias("shard"), none("binary").alias("p"), none("binary").alias("n")).unionByName(
-        answers.select("block", none(id_type).alias("id"), none("string").alias("text"), none("boolean").alias("held_out"), "shard", "p", "n"))
-    scored = by(both, "block").mapInArrow(added_up(where, n_all, n_words), f"id {id_type}, held_out boolean, n_tokens long, n_known long, base_score double, score double")
+    both = placed.select("block", "id", "text", "held_out", "copies", "trains", none("int").alias("shard"), none("binary").alias("p"), none("binary").alias("n")).unionByName(
+        answers.select("block", none(id_type).alias("id"), none("string").alias("text"), none("boolean").alias("held_out"), none("long").alias("copies"), none("long").alias("trains"), "shard", "p", "n"))
+    scored = by(both, "block").mapInArrow(added_up(where, n_all, n_words), f"id {id_type}, held_out boolean, copies long, n_tokens long, n_known long, base_score double, score double")
+    scored = scored.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
     return scored.select(F.col("id").alias(id_col), "held_out", "n_tokens", "n_known", F.lit(n_all).cast("long").alias("train_tokens"), "base_score", "score")
 
 

@@ -332,3 +332,33 @@ def test_held_out_accuracy(spark):
 def test_model_beats_the_base_on_held_out_text(spark):
     out = lm_scoring.lm_scores(spark.read.parquet(f"{SF}/documents.parquet")).where("held_out").collect()
     assert sum(r.score for r in out) > sum(r.base_score for r in out)
+
+
+def test_rows_that_fill_a_block_are_scored_as_one(spark, monkeypatch):
+    """A row repeated a thousand times, with an id and without one, trains a thousand times and lies in one place once."""
+    rng = random.Random(8)
+    rows = [(k, " ".join(rng.choice("abcd") for _ in range(20))) for k in range(100)]
+    rows += [(5, "same old text " * 30)] * 1000 + [(None, "quite another " * 20)] * 500
+    monkeypatch.setattr("quire.llm.lm_scoring.BLOCK_BYTES", 20_000)
+    few = lm_scoring.once(spark.createDataFrame([(i, t, False) for i, t in rows], "id long, text string, held_out boolean"))
+    assert few.count() == 102 and few.agg({"copies": "sum"}).collect()[0][0] == 1600
+    got = lm_scoring.lm_scores(frame(spark, rows), samples=0).collect()
+    monkeypatch.setattr("quire.llm.lm_scoring.COPIES", 10**9)
+    want = lm_scoring.lm_scores(frame(spark, rows), samples=0).collect()
+    key = lambda r: (str(r.doc_id), r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6), round(r.score, 3))
+    assert len(got) == len(rows) and sorted(map(key, got)) == sorted(map(key, want))
+
+
+def test_a_sweep_moves_all_customers():
+    """The tables of large dishes settle, on average, where one by one moves settle too."""
+    n = np.r_[np.full(100, 600), np.full(100, 150)]
+    ends = []
+    for moves in (64, 10_000):
+        rng, t = np.random.default_rng(1), []
+        seats = lm_scoring.Seats(n, np.ones(200, int), n.copy(), n)
+        for turn in range(40):
+            seats.sweep(lambda dish: np.full(len(dish), 4.0), 0.5, rng, moves)
+            assert (seats.n == n).all() and seats.packed().sum() == n.sum() and (seats.packed() > 0).all()
+            t += [seats.t.reshape(2, 100).mean(1)] if turn >= 15 else []
+        ends.append(np.mean(t, 0))
+    assert np.allclose(ends[0], ends[1], rtol=0.1)
