@@ -1,7 +1,7 @@
 """Exact dedup in two Bloom passes: only rows whose text may repeat are shuffled.
 
 Pass one groups the 64-bit hashes of the normalised texts and sets two bits in a filter for each hash
-that occurs twice.  Pass two tests each row against the filter: a row with a clear bit is certainly
+that occurs twice; the filter grows with those, up to what is broadcast.  Pass two tests each row against the filter: a row with a clear bit is certainly
 unique and passes straight through; the others are grouped by the SHA-256 of the normalised text.
 """
 
@@ -10,12 +10,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quire.plans.staging import stage
+from quire.plans.staging import drop_stage, stage
 
 BLANKS = " \t\n\x0b\x0c\r"
 BITS_A_ROW = 16
-#: A filter of more bits (64 MB) is joined by its buckets, in a shuffle, and not broadcast.
+#: The largest filter (64 MB): it is broadcast.  With more hashes than it has room for, more rows that are unique are shuffled.
 BROADCAST_BITS = 1 << 29
+#: Bits of one bitmap; both bits of a hash lie in one.
+BUCKET = 1 << 15
 
 
 def normalised(text: Column) -> Column:
@@ -31,19 +33,23 @@ def filter_bits(rows: int, per_row: int = BITS_A_ROW) -> int:
     return 1 << max(12, (max(rows, 1) * per_row - 1).bit_length())
 
 
-def slots(digest: Column, bits: int) -> list[Column]:
-    """Two slots, from 1 on, of a 64-bit hash."""
-    return [F.pmod(digest, F.lit(bits)) + 1, F.pmod(F.xxhash64(digest, F.lit(2)), F.lit(bits)) + 1]
+def buckets(bits: int) -> int:
+    """How many bitmaps a filter of so many bits has, up to the largest that is broadcast."""
+    return max(1, min(bits, BROADCAST_BITS) // BUCKET)
+
+
+def positions(digest: Column) -> list[Column]:
+    """Two positions of a 64-bit hash within its bitmap."""
+    return [F.pmod(F.xxhash64(digest, F.lit(k)), F.lit(BUCKET)) for k in (2, 3)]
 
 
 def bitmaps(digests: DataFrame, bits: int) -> DataFrame:
-    """(bucket, bitmap) of a filter in which the slots of the hashes of a one-column table are set."""
-    slot = F.explode(F.array(*slots(F.col(digests.columns[0]), bits)))
+    """(bucket, bitmap) of a filter in which the bits of the hashes of a one-column table are set."""
+    digest = F.col(digests.columns[0])
     return (
-        digests.select(slot.alias("slot"))
-        .groupBy(F.bitmap_bucket_number("slot").alias("bucket"))
-        .agg(F.bitmap_construct_agg(F.bitmap_bit_position("slot")).alias("bitmap"))
-    )
+        digests.select(F.pmod(digest, F.lit(buckets(bits))).alias("bucket"), F.explode(F.array(*positions(digest))).alias("position"))
+        .groupBy("bucket").agg(F.bitmap_construct_agg("position").alias("bitmap"))
+    )
 
 
 def bit(bitmap: Column, position: Column) -> Column:
@@ -52,15 +58,11 @@ def bit(bitmap: Column, position: Column) -> Column:
 
 
 def tested(rows: DataFrame, digest: str, found: DataFrame, bits: int, flag: str) -> DataFrame:
-    """rows with a flag: whether both slots of the digest are set in a staged filter of bitmaps()."""
-    both = None
-    for k, slot in enumerate(slots(F.col(digest), bits)):
-        side = found.select(F.col("bucket").alias(f"{flag}_b{k}"), F.col("bitmap").alias(f"{flag}_m{k}"))
-        side = F.broadcast(side) if bits <= BROADCAST_BITS else side  # at most 64 MB, the same table both times
-        rows = rows.join(side, F.bitmap_bucket_number(slot) == F.col(f"{flag}_b{k}"), "left")
-        hit = bit(F.col(f"{flag}_m{k}"), F.bitmap_bit_position(slot))
-        both = hit if both is None else both & hit
-    return rows.withColumn(flag, both).drop(*(f"{flag}_{c}{k}" for c in "bm" for k in (0, 1)))
+    """rows with a flag: whether both bits of the digest are set in a staged filter of bitmaps().  No row is shuffled."""
+    side = F.broadcast(found.select(F.col("bucket").alias(f"{flag}_b"), F.col("bitmap").alias(f"{flag}_m")))  # at most BROADCAST_BITS
+    rows = rows.join(side, F.pmod(F.col(digest), F.lit(buckets(bits))) == F.col(f"{flag}_b"), "left")
+    one, two = (bit(F.col(f"{flag}_m"), at) for at in positions(F.col(digest)))
+    return rows.withColumn(flag, one & two).drop(f"{flag}_b", f"{flag}_m")
 
 
 def others(columns: list[str], added: list[str]) -> list[str]:
@@ -78,10 +80,11 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """
     own = others(docs.columns, ["keep_id", "group_size", "kept", "text_sha256"])
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
-    bits, norm = filter_bits(docs.count()), normalised(text)
-
-    twice = docs.select(F.xxhash64(norm).alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h")
+    norm = normalised(text)
+    twice = stage(docs.select(F.xxhash64(norm).alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h"), "twice")
+    bits = filter_bits(twice.count())
     found = stage(bitmaps(twice, bits), "bloom")
+    drop_stage(twice)
     rows = docs.select(
         F.struct(*[F.col(f"`{c}`") for c in own]).alias("own"), F.col(f"`{id_col}`").alias("id"), F.sha2(norm.cast("binary"), 256).alias("sha"),
         (-F.char_length(text)).alias("short"), F.xxhash64(norm).alias("h"))
