@@ -23,6 +23,8 @@ from quire.llm.training import labelled_sample
 
 CONTENT = 1
 N_FEATURES = 16
+#: Lines of a training sequence.
+LONGEST = 256
 
 
 @dataclass
@@ -87,26 +89,25 @@ class Field:
 
     def decode(self, features: np.ndarray, first: np.ndarray) -> np.ndarray:
         """The likeliest marks of the lines of texts that begin at `first` (with the end)."""
-        gain = (features @ self.emit).tolist()
-        (s00, s01), (s10, s11) = self.step.tolist()
-        b0, b1 = self.begin.tolist()
-        out = np.zeros(len(gain), np.int8)
-        for a, b in zip(first[:-1].tolist(), first[1:].tolist()):
-            if a == b:
-                continue
-            p0, p1 = b0, b1 + gain[a]
-            from0, from1 = [], []
-            for t in range(a + 1, b):
-                x, y = p0 + s00, p1 + s10
-                u, v = p0 + s01, p1 + s11
-                from0.append(y > x)
-                from1.append(v > u)
-                p0, p1 = (y if y > x else x), (v if v > u else u) + gain[t]
-            mark = int(p1 > p0)
-            out[b - 1] = mark
-            for t in range(b - 2, a - 1, -1):
-                mark = int(from1[t - a] if mark else from0[t - a])
-                out[t] = mark
+        gain, length = features @ self.emit, np.diff(first)
+        order = np.argsort(-length, kind="stable")
+        start, length = first[:-1][order], length[order]
+        live = np.searchsorted(-length, -np.arange(1, length.max(initial=0) + 1), "right")  # texts with so many lines
+        (s00, s01), (s10, s11) = self.step
+        one = start[: live[0]] if len(live) else start[:0]
+        p = np.stack([np.full(len(one), self.begin[0]), self.begin[1] + gain[one]])
+        back = np.zeros((2, len(gain)), bool)  # whether the line before is content, for either mark of a line
+        for t in range(1, len(live)):  # a line of all texts that have so many
+            n, at = live[t], start[: live[t]] + t
+            x, y, u, v = p[0, :n] + s00, p[1, :n] + s10, p[0, :n] + s01, p[1, :n] + s11
+            back[0, at], back[1, at] = y > x, v > u
+            p[0, :n], p[1, :n] = np.where(y > x, y, x), np.where(v > u, v, u) + gain[at]
+        out, mark = np.zeros(len(gain), np.int8), (p[1] > p[0]).astype(np.int8)
+        for t in range(len(live) - 1, -1, -1):
+            n = live[t]
+            at = start[:n] + t
+            out[at] = mark[:n]
+            mark[:n] = np.where(mark[:n] == 1, back[1, at], back[0, at])
         return out
 
 
@@ -134,7 +135,7 @@ def trained(data: list[Sequence], theta: np.ndarray, rounds: int, rate: float =
     """Weights after some rounds of Adam on the conditional likelihood, and each sequence's chance of content by line."""
     length = np.array([len(t.marks) for t in data])
     batches = []
-    for pick in np.array_split(np.argsort(length, kind="stable"), -(-len(data) // 64)):
+    for pick in np.array_split(np.argsort(length, kind="stable"), -(-len(data) // 64)):  # of similar length, at most LONGEST
         x, y, inside = np.zeros((len(pick), length[pick].max(), N_FEATURES)), np.zeros((len(pick), length[pick].max()), int), np.arange(length[pick].max()) < length[pick][:, None]
         for k, t in enumerate(pick):
             x[k, : length[t]], y[k, : length[t]] = data[t].features, data[t].marks
@@ -175,21 +176,41 @@ def trained(data: list[Sequence], theta: np.ndarray, rounds: int, rate: float =
     return theta, chances
 
 
-def fit(texts: list[str], labels: list[int], share: float, rounds: int = 80, sure: float = 0.98) -> Field:
-    """Fits the field on labelled texts; with one class alone, every line is content."""
+def bounded(data: list[Sequence], labels: list[int], most: int, seed: int = 5) -> tuple[list[Sequence], list[int]]:
+    """Of each label, sequences picked at random of about `most` lines together; all of them where they have no more."""
+    keep = np.zeros(len(data), bool)
+    for value in (0, 1):
+        own = np.flatnonzero(np.array(labels) == value)
+        size = np.array([len(data[k].marks) for k in own])
+        if size.sum() <= most:
+            keep[own] = True
+            continue
+        pick = np.random.default_rng(seed).permutation(len(own))
+        keep[own[pick[np.cumsum(size[pick]) - size[pick] < most]]] = True
+    return [d for d, k in zip(data, keep) if k], [v for v, k in zip(labels, keep) if k]
+
+
+def fit(texts: list[str], labels: list[int], share: float, rounds: int = 80, sure: float = 0.98, most_lines: int = 60_000) -> Field:
+    """Fits the field on labelled texts, of each label about most_lines lines; with one class alone, every line is content.
+
+    Texts of more than LONGEST lines are cut into sequences of so many, which share the text's weight.
+    """
     if len(set(labels)) < 2:
         return Field(np.r_[10.0, np.zeros(N_FEATURES - 1)], np.zeros((2, 2)), np.zeros(2))
     label = np.array(labels)
     weight = np.where(label == 1, share / (label == 1).mean(), (1 - share) / (label == 0).mean())
-    data = []
+    data, of = [], []
     for a, b, w in chunks(pa.array(texts)):
         own = lines(w)
         first = own.first(w.n_docs)
-        data += [Sequence(own.features[i:j], np.full(j - i, label[a + k]), weight[a + k]) for k, (i, j) in enumerate(zip(first[:-1], first[1:]))]
-    theta, chances = trained(data + spliced(data, labels, len(data) // 2), np.zeros(N_FEATURES + 6), rounds)
+        for k, (i, j) in enumerate(zip(first[:-1].tolist(), first[1:].tolist())):
+            data += [Sequence(own.features[c : min(c + LONGEST, j)], np.full(min(c + LONGEST, j) - c, label[a + k]), weight[a + k] * (min(c + LONGEST, j) - c) / (j - i)) for c in range(i, j, LONGEST)]
+            of += [label[a + k]] * -(-(j - i) // LONGEST)
+    data, of = bounded(data, of, most_lines)
+    theta, chances = trained(data + spliced(data, of, len(data) // 2), np.zeros(N_FEATURES + 6), rounds)
     for t, chance in zip(data, chances):
         t.marks = np.where(chance > sure, 1, np.where(chance < 1 - sure, 0, t.marks))
-    theta, _ = trained(data + spliced(data, labels, len(data) // 2), theta, rounds // 2)
+    theta, _ = trained(data + spliced(data, of, len(data) // 2), theta, rounds // 2)
     return Field(theta[:N_FEATURES], theta[N_FEATURES : N_FEATURES + 4].reshape(2, 2), theta[-2:])
 
 

@@ -251,8 +251,7 @@ def fit(texts: list[str], labels: list[int], share: float, landmarks: int = 300,
             break
     x = signs(margins(rows, model.weights) + model.bias, row, doc, len(label))
     y = np.where(label == 1, 1.0, -1.0)
-    told = (y < 0) | (x[:, 0] > np.median(x[y < 0, 0]))  # a toxic label without a string that shows it says nothing of the curve
-    model.slope, model.shift = _curve(x[told], y[told], share)
+    model.slope, model.shift = _curve(x, y, share)
     return model
 
 

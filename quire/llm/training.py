@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -11,12 +11,12 @@ def bucket(ident: Column, n: int) -> Column:
     return F.crc32(ident.cast("string").cast("binary")) % n
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int, id_col: str = "doc_id", text_col: str = "text", folds: int = 5, longest: int = 200_000) -> tuple[list[str], list[int], float]:
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int, id_col: str = "doc_id", text_col: str = "text", folds: int = 5, most_bytes: int = 16 << 20) -> tuple[list[str], list[int], float]:
     """Texts and labels of at most per_class labelled rows of each class, and the share of ones.
 
     Rows of bucket 0 of the folds are held out.  The rows of smallest id hash are taken, so the sample
-    does not depend on the layout of the tables, and its size does not grow with them.  Of those rows the
-    ones of more than `longest` characters are left out: all of it must fit into the driver.
+    does not depend on the layout of the tables, and its size does not grow with them: all of it must fit into the
+    driver.  A class's rows end with the one that brings their texts to most_bytes, whatever its length.
     """
     known = (
         labels.where(F.col(label).isNotNull() & F.col(id_col).isNotNull() & (bucket(F.col(id_col), folds) != 0))
@@ -27,12 +27,13 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: i
     for value in (0, 1):
         part = known.where(F.col("label") == value).orderBy(F.xxhash64("id"), "id").limit(per_class)
         taken = part if taken is None else taken.unionByName(part)
-    text = F.col(f"`{text_col}`")
     rows = (
-        docs.where(F.coalesce(F.char_length(text), F.lit(0)) <= longest).select(F.col(f"`{id_col}`").alias("id"), text.alias("text"))
+        docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
         .join(F.broadcast(taken), "id")  # at most 2 * per_class ids
         .groupBy("id", "label").agg(F.min("text").alias("text"))
-        .orderBy("id").limit(2 * per_class).collect()
     )
+    before = Window.partitionBy("label").orderBy(F.xxhash64("id"), "id").rowsBetween(Window.unboundedPreceding, -1)  # of at most per_class rows
+    rows = rows.withColumn("before", F.coalesce(F.sum(F.coalesce(F.octet_length("text"), F.lit(0))).over(before), F.lit(0)))
+    rows = rows.where(F.col("before") < most_bytes).drop("before").orderBy("id").limit(2 * per_class).collect()
     total = sum(counts.values())
     return [r["text"] or "" for r in rows], [r["label"] for r in rows], counts.get(1, 0) / total if total else 0.5
