@@ -5,15 +5,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quire.operators.scans import carried, chunked, within
+
 
 def _before(keys: list[str], order: list[str]):
     return Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
 
 
 def monotone(rows: DataFrame, keys: list[str], order: list[str], value: str, floor: float = 0.0) -> DataFrame:
-    """Rows whose value is strictly above all values before, and above the floor."""
-    best = F.coalesce(F.max(value).over(_before(keys, order)), F.lit(floor))
-    return rows.withColumn("__best", best).where(F.col(value) > F.col("__best")).drop("__best")
+    """Rows whose value is strictly above all values before, and above the floor.  A key may hold any share of all rows."""
+    chunks = carried(chunked(rows, keys, order), keys, F.max(value), "max", "__before")
+    best = F.coalesce(F.greatest("__before", F.max(value).over(within(keys, order))), F.lit(floor))
+    return chunks.withColumn("__best", best).where(F.col(value) > F.col("__best")).select(*rows.columns)
 
 
 def page_markers(rows: DataFrame, keys: list[str], order: list[str], line: str) -> DataFrame:
@@ -95,8 +98,9 @@ def row_duration(ticks: DataFrame, key: str, time: str, kind: str, done: str) ->
 
 def accepted_ticks(ticks: DataFrame, key: str, order: str, end: Column) -> DataFrame:
     """Ticks up to a row's first terminal tick: later ones never reopen it."""
-    last = F.min(F.when(end, F.col(order))).over(Window.partitionBy(key))
-    return ticks.withColumn("__end", last).where(F.col("__end").isNull() | (F.col(order) <= F.col("__end"))).drop("__end")
+    ends = ticks.where(end).groupBy(F.col(key).alias("__key")).agg(F.min(order).alias("__end"))
+    both = ticks.join(ends, F.col(key).eqNullSafe(F.col("__key")), "left")
+    return both.where(F.col("__end").isNull() | (F.col(order) <= F.col("__end"))).select(*ticks.columns)
 
 
 def first_outcomes(ticks: DataFrame, key: str, order: str, end: Column) -> DataFrame:

@@ -8,14 +8,15 @@ from __future__ import annotations
 import zlib
 from collections.abc import Callable
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import BinaryType
+from pyspark.sql.types import ArrayType, BinaryType, IntegerType
 
 from quire.functions import geometry as G, numbers as N, pricing, rows as R, text as T
-from quire.operators import keyed as K, pixels as P, totals as A
-from quire.plans.bindings_more import OTSU, PIXELS, grey
+from quire.operators import keyed as K, pages as W, pixels as P, totals as A
+from quire.plans.bindings_more import OTSU, PIXELS, grey_pages
 from quire.plans.bindings_rows import CLASSED, FILES, VERSIONS, files, table, versions
 from quire.plans.staging import stage_path
 from quire.sources import composed as C, documents as D, files as B, history as H
@@ -215,10 +216,21 @@ def masked_images(spark, sf_dir):
 
 
 def tiles(spark, sf_dir, across: int) -> DataFrame:
-    """Square pages of across x across tiles."""
-    tile = F.col("id") % (across * across)
-    return grey(spark, sf_dir).select(
-        F.floor(F.col("id") / (across * across)).cast("long").alias("id"), (tile % across * 8 + F.col("x")).cast("int").alias("x"), (F.floor(tile / across) * 8 + F.col("y")).cast("int").alias("y"), "v")
+    """Square pages of across x across tiles, as whole rows; -1 where the last page has no tile."""
+
+    @F.pandas_udf(ArrayType(IntegerType()))
+    def laid(parts: pd.Series) -> pd.Series:
+        def one(tiles: list) -> np.ndarray:
+            page = np.full((across, 8, across, 8), -1, np.int32)
+            for t in tiles:
+                page[t["tile"] // across, :, t["tile"] % across, :] = np.asarray(t["v"]).reshape(8, 8)
+            return page.ravel()
+
+        return parts.map(one)
+
+    n = across * across
+    pages = grey_pages(spark, sf_dir).select(F.floor(F.col("id") / n).cast("long").alias("id"), F.struct((F.col("id") % n).cast("int").alias("tile"), "v").alias("t"))
+    return pages.groupBy("id").agg(F.collect_list("t").alias("t")).select("id", F.lit(across * 8).alias("width"), laid("t").alias("v"))  # n tiles a page
 
 
 def _tiles(across: int) -> str:
@@ -227,13 +239,18 @@ def _tiles(across: int) -> str:
     return PIXELS.replace("p AS (", "t AS (", 1) + f""", g AS (SELECT id // {n} AS id, (id % {n} % {across} * 8 + x)::INT AS x, (id % {n} // {across} * 8 + y)::INT AS y, v FROM t)"""
 
 
-def _marks(pix: DataFrame) -> DataFrame:
+def _marks(pages: DataFrame) -> DataFrame:
     """Pages of marks on white, two or three pixels wide; those of two have gaps and on every third page a tint."""
     wide = F.when(F.col("id") % 4 == 3, 3).otherwise(2)
-    on = (F.col("x") % 4 < wide) & (F.col("y") % 4 < wide) & ((wide == 3) | (F.col("v") % 5 > 0))
-    dark = F.floor(F.col("v") / 2).cast("int")
-    tint = (F.col("id") % 3 * 20).cast("int")
-    return pix.select("id", "x", "y", F.when(on, dark + tint).otherwise(255).alias("r"), *(F.when(on, dark).otherwise(255).alias(c) for c in "gb"))
+
+    def shade(tint):
+        def one(v, k):
+            on = (k % F.col("width") % 4 < wide) & (F.floor(k / F.col("width")) % 4 < wide) & ((wide == 3) | (v % 5 > 0))
+            return F.when(v < 0, -1).when(on, F.floor(v / 2).cast("int") + tint).otherwise(255).cast("int")
+
+        return F.transform("v", one)
+
+    return pages.select("id", "width", shade((F.col("id") % 3 * 20).cast("int")).alias("r"), *(shade(F.lit(0)).alias(c) for c in "gb"))
 
 
 _MARKS = _tiles(8) + """, m AS (SELECT *, CASE WHEN id % 4 = 3 THEN 3 ELSE 2 END AS wide FROM g),
@@ -243,25 +260,30 @@ _LUMA = _MARKS + """, p AS (SELECT id, x, y, ((r * 299 + g * 587 + b * 114) // 1
 
 
 def page_features(spark, sf_dir):
-    out = P.page_features(_marks(tiles(spark, sf_dir, 8)))
+    out = W.features(_marks(tiles(spark, sf_dir, 8)), "r", "g", "b").drop("width", "r", "g", "b")
     return out.withColumn("mean_area", F.round("mean_area", 6))
 
 
 def colour_statistics(spark, sf_dir):
     """Extremes and coloured pixels of pages in colour."""
-    c = _marks(tiles(spark, sf_dir, 8))
-    v, strong = P.luminance(F.col("r"), F.col("g"), F.col("b")), P.chroma(F.col("r"), F.col("g"), F.col("b"))
-    return P.statistics(c.select("id", v.alias("v"), strong.alias("c")), F.col("c"))
+    c = _marks(tiles(spark, sf_dir, 8)).select("id", "width", F.arrays_zip("r", "g", "b").alias("p"))
+    grey_ = lambda x: F.when(x["r"] < 0, -1).otherwise(P.luminance(x["r"], x["g"], x["b"]))
+    c = c.select("id", "width", F.transform("p", grey_).alias("v"), F.transform("p", lambda x: P.chroma(x["r"], x["g"], x["b"])).alias("c"))
+    return W.statistics(c, "v", "c").drop("width", "v", "c")
 
 
 def local_threshold(spark, sf_dir):
     """Ink against squares of 31 x 31 pixels, by page."""
-    out = P.local_ink(tiles(spark, sf_dir, 8))
-    return out.groupBy("id").agg(F.count_if("ink").alias("ink"), F.max("n").alias("largest"), F.min("n").alias("smallest"), F.sum("s").alias("s"))
+    pages = tiles(spark, sf_dir, 8)
+    out = W.local_ink(pages, "v").withColumn("here", F.transform("v", lambda x: x >= 0))
+    kept = lambda name: F.transform(F.filter(F.arrays_zip("here", name), lambda x: x["here"]), lambda x: x[name])
+    n = kept("n")
+    return out.select("id", F.size(F.filter("ink", lambda x: x)).cast("long").alias("ink"), F.array_max(n).alias("largest"), F.array_min(n).alias("smallest"), F.aggregate(kept("s"), F.lit(0).cast("long"), lambda a, x: a + x).alias("s"))
 
 
 def strided_ink(spark, sf_dir):
-    return P.ink_ratio(tiles(spark, sf_dir, 20).withColumn("v", F.col("v") * 2), 160, 160)
+    pages = tiles(spark, sf_dir, 20).withColumn("v", F.transform("v", lambda x: x * 2))
+    return W.ink_ratio(pages, "v").drop("width", "v")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (

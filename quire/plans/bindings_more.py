@@ -210,20 +210,19 @@ o AS (SELECT i.id, coalesce((min(bin) + max(bin)) // 2, 127)::INT AS threshold F
 
 
 def otsu(spark, sf_dir):
-    return P.otsu(P.histogram(grey(spark, sf_dir)))
+    return W.thresholds(grey_pages(spark, sf_dir), "v").select("id", "threshold")
 
 
 def near_bilevel(spark, sf_dir):
-    return P.statistics(grey(spark, sf_dir))
+    return W.statistics(grey_pages(spark, sf_dir), "v").drop("width", "v")
 
 
 def ink_counts(spark, sf_dir):
-    pix = grey(spark, sf_dir)
-    return P.ink_counts(pix, P.otsu(P.histogram(pix)))
+    return W.ink_counts(grey_pages(spark, sf_dir), "v").drop("width", "v")
 
 
 def ink_ratio(spark, sf_dir):
-    return P.ink_ratio(grey(spark, sf_dir).withColumn("v", F.col("v") * 2), 8, 8)
+    return W.ink_ratio(grey_pages(spark, sf_dir).withColumn("v", F.transform("v", lambda x: x * 2)), "v").drop("width", "v")
 
 
 def block_mean(spark, sf_dir):

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from quire.functions import pricing, text as T
 from quire.operators import pages as W
-from quire.plans.bindings_more import PIXELS, grey, grey_pages
+from quire.plans.bindings_more import PIXELS, grey_pages
 from quire.plans.bindings_rows import VERSIONS, table, versions
 from quire.sources import composed as C, documents as D, files
 
@@ -82,7 +82,8 @@ def budgeted_names(spark, sf_dir):
 
 
 def packed_bits(spark, sf_dir):
-    return D.packed_bits(grey(spark, sf_dir)).select("id", "y", "byte", "value")
+    rows = W.packed_bits(grey_pages(spark, sf_dir), "v").select("id", "bits_width", F.posexplode("bits").alias("k", "value"))
+    return rows.select("id", F.floor(F.col("k") / F.col("bits_width")).cast("int").alias("y"), (F.col("k") % F.col("bits_width")).alias("byte"), "value")
 
 
 def composite(spark, sf_dir):

@@ -1,6 +1,7 @@
 """Cases that the tables lack: ties, nulls, empty inputs, odd sizes."""
 
 import json
+import random
 import zlib
 
 import pytest
@@ -180,3 +181,28 @@ def test_swapped_slots_keep_their_addresses(spark):
     rows = spark.createDataFrame([(("u1", 5), ("u2", 7)), (("u1", 5), None)], "shipped struct<url:string,bytes:long>, parked struct<url:string,bytes:long>")
     got = rows.select(*(c.alias(n) for n, c in K.swapped("shipped", "parked", ["bytes"]).items())).collect()
     assert tuple(got[0].shipped) == ("u1", 7) and tuple(got[0].parked) == ("u2", 5) and tuple(got[1].shipped) == ("u1", 5)
+
+
+def test_a_hot_key_is_scanned_by_many_tasks(spark):
+    """A key with two thirds of all rows: its values rise as in one loop, and no range holds most of it."""
+    from quire.operators import ordered as O, scans
+
+    rng = random.Random(3)
+    rows = [(7 if k % 3 else k, k, float(rng.randint(0, 10**6)), "done" if k == 50_000 else "tick") for k in range(60_000)] + [(None, k, float(k % 7), "tick") for k in range(100)]
+    rng.shuffle(rows)
+    frame = spark.createDataFrame(rows, "key long, k long, v double, kind string").repartition(8)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        parts = scans.chunked(frame, ["key"], ["k"]).where("key = 7").groupBy(scans.CHUNK).count().collect()
+        got = sorted((str(r.key), r.k) for r in O.monotone(frame, ["key"], ["k"], "v").collect())
+        early = O.accepted_ticks(frame, "key", "k", F.col("kind") == "done").count()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    best, want = {}, []
+    for key, k, v, _ in sorted(rows, key=lambda r: (str(r[0]), r[1])):
+        if v > best.get(key, 0.0):
+            best[key] = v
+            want.append((str(key), k))
+    assert got == sorted(want)
+    assert len(parts) >= 3 and max(p["count"] for p in parts) < 25_000
+    assert early == sum(not (r[0] == 7 and r[1] > 50_000) for r in rows)
