@@ -5,6 +5,7 @@ import math
 import os
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -326,6 +327,31 @@ def test_held_out_accuracy(spark):
     for fn, name, least in ((toxicity.toxicity, "toxic", 0.94), (quality_classifier.quality, "quality", 0.98)):
         out = fn(docs.select("doc_id", "text"), known).join(known, "doc_id").where("held_out").select("predicted", name).collect()
         assert np.mean([r.predicted == r[name] for r in out]) > least
+        if name == "toxic":  # of the toxic ones, and of those called toxic
+            assert np.mean([r.predicted for r in out if r.toxic == 1]) > 0.88 and np.mean([r.toxic for r in out if r.predicted == 1]) > 0.95
+
+
+def test_lines_without_end_in_a_training_text_are_cut():
+    """One text of 40,000 lines does not stretch the others' batch, and its lines are sampled."""
+    began = time.monotonic()
+    texts = [f"a plain line of words number {k}.\nAnd one more, with an end." for k in range(40)] + ["\n".join(f"BUY {k} || now" for k in range(40_000))] + [f"# {k} | {k} |\n>>> {k}" for k in range(40)]
+    field = quality_rules.fit(texts, [1] * 40 + [0] * 41, 0.5, rounds=10, most_lines=2_000)
+    assert time.monotonic() - began < 60
+    w = textkernel.words(*textkernel.flat(pa.array([texts[0], texts[40]])), textkernel.BYTES_FOLDED)
+    own = quality_rules.lines(w)
+    mark = field.decode(own.features, own.first(2))
+    assert mark[own.doc == 0].mean() > 0.5 > mark[own.doc == 1].mean()
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_lines_of_many_texts_are_decoded_as_one_by_one(seed):
+    rng = np.random.default_rng(seed)
+    field = quality_rules.Field(rng.normal(size=3), rng.normal(size=(2, 2)), rng.normal(size=2))
+    length = rng.integers(0, 9, 60)
+    x, first = rng.normal(size=(length.sum(), 3)), np.r_[0, np.cumsum(length)]
+    whole = field.decode(x, first)
+    for a, b in zip(first[:-1], first[1:]):
+        assert (field.decode(x[a:b], np.array([0, b - a])) == whole[a:b]).all()
 
 
 @held
