@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quire.operators.scans import carried, chunked, within
+from quire.operators.scans import CHUNK, carried, chunked, folded, within
+from quire.plans.staging import stage
 
 
 def _before(keys: list[str], order: list[str]):
@@ -36,38 +37,80 @@ def composed_span(composed: Column, start: Column, width: Column) -> Column:
     return F.when(width > 0, F.least(F.lit(1.0), F.greatest(F.lit(0.0), (composed - start) / width)))
 
 
-def smoothed_eta(ticks: DataFrame, keys: list[str], order: str) -> DataFrame:
-    """Per tick (fraction, elapsed): the smoothed estimate eta, which does not rise.
+NEWEST = 0.3
 
-    Repeats of a fraction are dropped first.  The rate weighs the newest reading 0.3; below a tenth
-    there is no estimate and the next one starts anew.  Ticks pass by in order, a batch at a time, and only the
-    last rate and estimate of the key at hand are held.
-    """
-    import pyarrow as pa
 
-    w = Window.partitionBy(*keys).orderBy(order)
-    fresh = ticks.withColumn("__last", F.lag("fraction").over(w)).where(F.col("__last").isNull() | (F.col("__last") != F.col("fraction")))
-    columns = [*keys, order]
-    rows = fresh.select(*columns, F.col("fraction").cast("double"), F.col("elapsed").cast("double")).repartition(*keys).sortWithinPartitions(*columns)
+def _rates(keys: list[str], columns: list[str]):
+    """Sorted ticks of ranges with i (their number among the key's valid ones), the first valid reading and the rate so far."""
+    import numpy as np
+    import pyarrow as pa
 
     def run(batches):
-        key, rate, eta = None, None, None
+        held = None  # the key and range at hand, its valid ticks so far, first reading and rate
         for batch in batches:
-            out = []
-            for own, f, t in zip(zip(*(batch.column(k).to_pylist() for k in keys)), batch.column("fraction").to_pylist(), batch.column("elapsed").to_pylist()):
-                if own != key:
-                    key, rate, eta = own, None, None
-                if f is not None and t is not None and f >= 0.1 and t > 0:
-                    rate = f / t if rate is None else 0.3 * (f / t) + 0.7 * rate
-                    left = int(max(0.0, 1 - f) / rate + 0.5)
-                    eta = left if eta is None else min(left, eta)
-                else:
-                    eta = None
-                out.append(eta)
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in columns), pa.array(out, pa.int64())], [*columns, "eta"])
-
-    kinds = dict(ticks.dtypes)
-    return rows.mapInArrow(run, ", ".join([*(f"`{c}` {kinds[c]}" for c in columns), "eta long"]))
+            n = batch.num_rows
+            if not n:
+                continue
+            own = list(zip(*(batch.column(k).to_pylist() for k in (*keys, CHUNK))))
+            begin = np.flatnonzero([True, *(a != b for a, b in zip(own, own[1:]))])
+            part = np.repeat(np.arange(len(begin)), np.diff(np.r_[begin, n]))
+            f, t = (batch.column(c).to_numpy(zero_copy_only=False).astype(float) for c in ("fraction", "elapsed"))
+            with np.errstate(invalid="ignore", divide="ignore"):
+                valid = (f >= 0.1) & (t > 0)
+                x = np.where(valid, f / t, 0.0)
+            at = np.flatnonzero(valid)
+            size = np.bincount(part[at], minlength=len(begin))
+            first = np.cumsum(size) - size
+            i, head, rate = np.zeros(n, np.int64), np.zeros(n), np.zeros(n)
+            before, start, last = np.zeros(len(begin), np.int64), np.zeros(len(begin)), np.zeros(len(begin))
+            if held is not None and held[0] == own[0]:
+                before[0], start[0], last[0] = held[1:]
+            some = np.flatnonzero((size > 0) & (before == 0))
+            start[some] = x[at[first[some]]]
+            order = np.argsort(-size, kind="stable")
+            now, live = last.copy(), np.searchsorted(-size[order], -np.arange(1, size.max(initial=0) + 1), "right")
+            for k, m in enumerate(live):  # the k-th valid tick of all keys that have so many
+                key = order[:m]
+                place = at[first[key] + k]
+                fresh = before[key] + k == 0
+                now[key] = np.where(fresh, x[place], NEWEST * x[place] + (1 - NEWEST) * now[key])
+                rate[place], i[place], head[place] = now[key], before[key] + k + 1, start[key]
+            held = (own[-1], int(before[-1] + size[-1]), start[-1], now[-1])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in columns), pa.array(valid), pa.array(i), pa.array(head), pa.array(rate)], [*columns, "valid", "i", "head", "rate"])
+
+    return run
+
+
+def smoothed_eta(ticks: DataFrame, keys: list[str], order: str) -> DataFrame:
+    """Per tick (fraction, elapsed): the smoothed estimate eta, which does not rise.
+
+    Repeats of a fraction are dropped first.  The rate weighs the newest reading 0.3; below a tenth
+    there is no estimate and the next one starts anew.  A key may hold any share of all ticks: ranges are smoothed
+    apart, as if nothing came before; a rate r before a range adds 0.7 ** i * (r - first reading) to its i-th rate.
+    """
+    columns = [*keys, order, "fraction", "elapsed", CHUNK]
+    chunks = chunked(ticks.select(*keys, order, F.col("fraction").cast("double"), F.col("elapsed").cast("double")), keys, [order])
+    chunks = carried(chunks, keys, F.max_by("fraction", order), "last", "__before")
+    w = Window.partitionBy(*keys, CHUNK).orderBy(order)
+    last = F.when(F.row_number().over(w) == 1, F.col("__before")).otherwise(F.lag("fraction").over(w))
+    fresh = chunks.withColumn("__last", last).where(F.col("__last").isNull() | (F.col("__last") != F.col("fraction"))).select(*columns)
+    kinds = dict(fresh.dtypes)
+    schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in columns), "valid boolean", "i long", "head double", "rate double"])
+    rated = stage(fresh.repartition(*keys, CHUNK).sortWithinPartitions(*keys, CHUNK, order).mapInArrow(_rates(keys, columns), schema), "rates")
+    parts = rated.where("valid").groupBy(*keys, CHUNK).agg(F.max("i").alias("n"), F.max("head").alias("head"), F.max_by("rate", "i").alias("rate"))
+    slow = lambda n, r, head: F.pow(F.lit(1 - NEWEST), n) * (r - head)
+    step = lambda r, p: p["rate"] + F.coalesce(slow(p["n"], r, p["head"]), F.lit(0.0))
+    rated = folded(rated, keys, parts, F.lit(None).cast("double"), step, "__rate")
+    rate = F.col("rate") + F.coalesce(slow(F.col("i"), F.col("__rate"), F.col("head")), F.lit(0.0))
+    left = F.when(F.col("valid"), F.floor(F.greatest(F.lit(0.0), 1 - F.col("fraction")) / rate + 0.5))
+    resets = F.count_if(~F.col("valid")).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    told = stage(rated.withColumns({"left": left, "resets": resets}).select(*keys, order, CHUNK, "valid", "left", "resets"), "left")
+    tails = told.groupBy(*keys, CHUNK, "resets").agg(F.min("left").alias("tail")).groupBy(*keys, CHUNK).agg(F.max("resets").alias("resets"), F.max_by("tail", "resets").alias("tail"))
+    lower = lambda m, p: F.when(p["resets"] > 0, p["tail"]).otherwise(F.least(m, p["tail"]))
+    told = folded(told, keys, tails, F.lit(None).cast("long"), lower, "__least")
+    own = F.min("left").over(Window.partitionBy(*keys, CHUNK, "resets").orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
+    eta = F.when(F.col("valid"), F.when(F.col("resets") == 0, F.least(own, F.col("__least"))).otherwise(own))
+    return told.select(*keys, order, eta.cast("long").alias("eta"))
 
 
 def object_numbers(rows: DataFrame, keys: list[str], order: list[str], count: str, start: int = 3) -> DataFrame:

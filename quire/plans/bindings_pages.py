@@ -12,7 +12,9 @@ from quire.plans.bindings_more import PIXELS, grey_pages
 from quire.plans.bindings_rows import table
 from quire.plans.staging import stage, stage_path
 from quire.sources import composed as C, group4 as G
+from quire.sources.copies import copy_files
 from quire.sources.history import read_history, write_history
+from quire.streaming import outcomes as O
 
 
 def spread_blocks(spark, sf_dir):
@@ -42,7 +44,34 @@ def history_total(spark, sf_dir):
     return rows.withColumn("lifetime", total.scalar())
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (spread_blocks, coded_pages, history_total)}
+def copied_files(spark, sf_dir):
+    """The files of a table copied by tasks, and the copies read back."""
+    orders = table(spark, sf_dir, "orders")
+    folder = stage_path(spark, "copies")
+    plan = spark.createDataFrame([(f, f"{folder}/{k}.parquet") for k, f in enumerate(sorted(orders.inputFiles()))], "source string, target string")
+    copies = stage(copy_files(plan), "copied")
+    found = spark.read.schema(orders.schema).parquet(folder)
+    n = copies.agg(F.count_if(F.col("status") == "ok").alias("ok"), F.bool_and(F.length("sha256") == 64).alias("told"))
+    out = found.groupBy("o_orderpriority").agg(F.count(F.lit(1)).alias("n"), F.max("o_orderkey").cast("long").alias("last"))
+    return out.withColumn("all_copied", n.select((F.col("ok") == plan.count()) & F.col("told")).scalar())
+
+
+def streamed_outcomes(spark, sf_dir):
+    """Each user's first purchase, taken out of a stream of events into a table."""
+    setting = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(setting)
+    folder, schema = stage_path(spark, "outcomes"), table(spark, sf_dir, "events").schema
+    spark.conf.set(setting, O.STORE)
+    try:
+        # a pattern, as a stream's path must be a folder or a pattern, whether the table is a folder or a file
+        ticks = spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parque[t]").select("user_id", "event_id", "event_type", "value")
+        O.ingested(O.first_outcomes(ticks, "user_id", "event_id", "event_type", ["purchase"]), f"{folder}/table", f"{folder}/checkpoint").awaitTermination()
+    finally:
+        spark.conf.set(setting, before)
+    return spark.read.schema("user_id long, event_id long, event_type string, value double").parquet(f"{folder}/table").select("user_id", "event_id", "value")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (spread_blocks, coded_pages, history_total, copied_files, streamed_outcomes)}
 
 
 def _spread_sql() -> str:
@@ -59,6 +88,8 @@ SELECT id, (i % 4)::INT AS block_x, (i // 4)::INT AS block_y, floor(coalesce(m[i
 
 SQL: dict[str, str] = {
     "spread_blocks": _spread_sql(),
+    "copied_files": "SELECT o_orderpriority, count(*)::BIGINT AS n, max(o_orderkey)::BIGINT AS last, true AS all_copied FROM orders GROUP BY 1",
+    "streamed_outcomes": "SELECT user_id, min(event_id) AS event_id, arg_min(value, event_id) AS value FROM events WHERE event_type = 'purchase' GROUP BY 1",
     "history_total": """WITH o AS (SELECT o_orderkey, round(o_totalprice * 100)::BIGINT AS saved FROM orders), n AS (SELECT * FROM o ORDER BY o_orderkey DESC LIMIT 200)
 SELECT count(*)::BIGINT AS batches, max(o_orderkey)::BIGINT AS newest, sum(saved)::BIGINT AS shown, (SELECT sum(saved)::BIGINT FROM o) AS lifetime FROM n""",
 }

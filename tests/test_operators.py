@@ -206,3 +206,37 @@ def test_a_hot_key_is_scanned_by_many_tasks(spark):
     assert got == sorted(want)
     assert len(parts) >= 3 and max(p["count"] for p in parts) < 25_000
     assert early == sum(not (r[0] == 7 and r[1] > 50_000) for r in rows)
+
+
+@pytest.mark.parametrize("split", [False, True])
+def test_estimates_of_a_hot_key_equal_one_loop(spark, split):
+    from quire.operators import ordered as O
+
+    rng, rows = random.Random(6), []
+    for k in range(6000):
+        key = 7 if k % 3 else k % 40
+        f = rng.choice([None, 0.05, 0.5, 0.5, min(1.0, k / 6000), min(1.0, k / 6000), rng.random()]) if rng.random() < 0.2 else min(1.0, 0.1 + k / 7000)
+        rows.append((key, k, f, rng.choice([0.0, 1.0 + k, 2.0 + k, 1.0 + k])))
+    frame = spark.createDataFrame(rows, "key long, k long, fraction double, elapsed double").repartition(8)
+    if split:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = {(r.key, r.k): r.eta for r in O.smoothed_eta(frame, ["key"], "k").collect()}
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    want, state = {}, {}
+    for key, k, f, t in sorted(rows):
+        last, rate, eta = state.get(key, (None, None, None))
+        if last is not None and (f is None or f == last):  # as rows are told apart
+            state[key] = (f, rate, eta)
+            continue
+        if f is not None and f >= 0.1 and t > 0:
+            rate = f / t if rate is None else 0.3 * (f / t) + 0.7 * rate
+            left = int(max(0.0, 1 - f) / rate + 0.5)
+            eta = left if eta is None else min(left, eta)
+        else:
+            eta = None
+        want[key, k] = eta
+        state[key] = (f, rate, eta)
+    assert got.keys() == want.keys()
+    assert sum(got[x] != want[x] for x in want) == 0
