@@ -430,14 +430,99 @@ class Shard:
         return np.bincount(self.x, values, len(self.contexts)).astype(np.int64)
 
 
-KINDS = "kind int, shard int, x long, c long, t long, raw binary"
-STATE, CONTEXT, HOT, SUMS, TABLES, STATIC = range(6)
+KINDS = "kind int, shard int, owner int, x long, c long, t long, raw binary"
+STATE, CONTEXT, HOT, SUMS, TABLES, STATIC, BASE, OWNER = range(8)
 
 
-def _rows(kind: int, shard: int, x=None, c=None, t=None, raw: bytes | None = None) -> pa.RecordBatch:
+def _rows(kind: int, shard: int | None, x=None, c=None, t=None, raw: bytes | None = None, owner: int | None = None) -> pa.RecordBatch:
     size = 1 if x is None else len(x)
     ints = [pa.array(np.asarray(v, np.int64)) if v is not None else pa.nulls(size, pa.int64()) for v in (None if x is None else x.view(np.int64), c, t)]
-    return pa.RecordBatch.from_arrays([pa.array(np.full(size, kind, np.int32)), pa.array(np.full(size, shard, np.int32)), *ints, pa.array([raw] * size, pa.binary())], ["kind", "shard", "x", "c", "t", "raw"])
+    return pa.RecordBatch.from_arrays(
+        [*(pa.array([v] * size, pa.int32()) for v in (kind, shard, owner)), *ints, pa.array([raw] * size, pa.binary())], ["kind", "shard", "owner", "x", "c", "t", "raw"])
+
+
+# ---- contexts and their owners: a context's restaurant is spread over shards, its owner adds up what they have of it
+
+
+def by_owner(x: np.ndarray, owners: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """An order of contexts by their owner, the owners, and where each one's begin (with the end)."""
+    of = (mix(x + U64(77)) % U64(owners)).astype(np.int64)
+    order = np.argsort(of, kind="stable")
+    some, first = np.unique(of[order], return_index=True)
+    return order, some, np.r_[first, len(order)]
+
+
+def sent(kind: int, shard: int, x: np.ndarray, owners: int, **numbers: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """A row for each owner of a shard's contexts: the contexts and numbers of them."""
+    order, some, cut = by_owner(x, owners)
+    for o, lo, hi in zip(some.tolist(), cut[:-1], cut[1:]):
+        at = order[lo:hi]
+        yield _rows(kind, shard, owner=o, raw=save(x=x[at], **{k: v for name, values in numbers.items() for k, v in small(name, values[at]).items()}))
+
+
+def told(x: np.ndarray, owners: int, answers: dict[int, dict[str, np.ndarray]], name: str) -> np.ndarray:
+    """What owners answered of each context that a shard sent them."""
+    order, some, _ = by_owner(x, owners)
+    out = np.zeros(len(x), np.int64)
+    if len(x):
+        out[order] = np.concatenate([whole(answers[o], name) for o in some.tolist()])
+    return out
+
+
+def based(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From what shards have of all their contexts to each owner's contexts, with training tokens c and words t that come once."""
+    for owner, table in gathered(batches, "owner"):
+        parts = [load(r) for r in table.column("raw").to_pylist()]
+        x, back = np.unique(np.concatenate([z["x"] for z in parts]), return_inverse=True)
+        add = lambda name: np.bincount(back, np.concatenate([whole(z, name) for z in parts]), len(x)).astype(np.int64)  # noqa: B023, E731
+        yield _rows(BASE, None, owner=owner, raw=save(x=x, **small("c", add("c")), **small("t", add("t"))))
+
+
+TOTALS = "kind int, shard int, owner int, raw binary, log double, yes double, no double"
+
+
+def owned(now: Weights, turn: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """From an owner's contexts and the tables that shards have of them to the totals: all for itself, and each shard's for the shard.
+
+    With the owner's row go the auxiliary sums of its restaurants."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def row(kind: int, shard: int | None, owner: int, raw: bytes, parts) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([*(pa.array([v], pa.int32()) for v in (kind, shard, owner)), pa.array([raw], pa.binary()), *(pa.array([v], pa.float64()) for v in parts)], ["kind", "shard", "owner", "raw", "log", "yes", "no"])
+
+        for owner, table in gathered(batches, "owner"):
+            kinds, shards, raw = (table.column(c).to_pylist() for c in ("kind", "shard", "raw"))
+            base = load(raw[kinds.index(BASE)])
+            total, asked = whole(base, "t"), []
+            for kind, shard, r in sorted(zip(kinds, shards, raw), key=lambda z: z[1] or 0):
+                if kind == TABLES:
+                    z = load(r)
+                    at = np.searchsorted(base["x"], z["x"])
+                    total[at] += whole(z, "t")  # a shard sends a context once
+                    asked.append((shard, at))
+            parts = strength_parts(whole(base, "c"), total, now.d, now.s, np.random.default_rng([turn + 1, owner]))
+            yield row(OWNER, None, owner, save(**small("t", total)), parts)
+            for shard, at in asked:
+                yield row(CONTEXT, shard, owner, save(**small("t", total[at])), [None] * 3)
+
+    return run
+
+
+def told_all(samples: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """From an owner's contexts, its totals of each sample (kinds from OWNER on) and all that shards have to answers c, t0, t1 .."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for owner, table in gathered(batches, "owner"):
+            kinds, shards, raw = (table.column(c).to_pylist() for c in ("kind", "shard", "raw"))
+            base = load(raw[next(k for k, v in enumerate(shards) if v is None and kinds[k] == BASE)])
+            numbers = {"c": whole(base, "c")} | {f"t{k}": whole(load(raw[kinds.index(OWNER + k)]), "t") for k in range(samples)}
+            for kind, shard, r in zip(kinds, shards, raw):
+                if kind == BASE and shard is not None:
+                    at = np.searchsorted(base["x"], load(r)["x"])
+                    out = save(**{k: v for name, values in numbers.items() for k, v in small(name, values[at]).items()})
+                    yield pa.RecordBatch.from_arrays([pa.array([v], pa.int32()) for v in (CONTEXT, shard, owner)] + [pa.array([out], pa.binary())], ["kind", "shard", "owner", "raw"])
+
+    return run
 
 
 def request(where: Map) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -475,7 +560,8 @@ def opened(where: Map) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Recor
             kinds = np.array([END[0], END[0], END[0]])
             yield _rows(SUMS, shard, kinds, [n.sum(), ((n > 0) & ~hot).sum(), c.sum()], [0, 1, 2])
             known, t = np.unique(s.x[many], return_counts=True)
-            yield _rows(TABLES, shard, s.contexts[known], np.zeros(len(known)), t)
+            yield from sent(TABLES, shard, s.contexts[known], where.shards, t=t)
+            yield from sent(BASE, shard, s.contexts, where.shards, c=s.per_context(s.n), t=s.per_context(s.n == 1))
 
     return run
 
@@ -487,14 +573,14 @@ def reseated(now: Weights, where: Map, hot_c: np.ndarray, hot_t: np.ndarray, tur
         for shard, table in gathered(batches, "shard"):
             kind = table.column("kind").to_numpy()
             part = table.filter(pa.array(kind == CONTEXT))
-            known = part.column("x").to_numpy().view(U64)
-            order = np.argsort(known)
-            known, total = known[order], part.column("t").to_numpy()[order]
+            answers = {o: load(r) for o, r in zip(part.column("owner").to_pylist(), part.column("raw").to_pylist())}
             z = load(table.filter(pa.array(kind == STATE)).column("raw")[0].as_py())
             del table
             rng = np.random.default_rng([turn, shard])
             w, t0 = z["w"], z["t"]
-            tables = total[np.searchsorted(known, z["x"])] if len(w) else np.zeros(0, np.int64)
+            known, of_known = np.unique(z["x"], return_inverse=True)
+            tables = told(known, where.shards, answers, "t")[of_known]
+            del part, answers
             hot, at = where.find(z["words"])
             of_words = lambda t: z["singles"] + np.bincount(w, t, len(z["words"])).astype(np.int64)
             c, rt = of_words(t0), z["rt"].copy()
@@ -531,43 +617,7 @@ def reseated(now: Weights, where: Map, hot_c: np.ndarray, hot_t: np.ndarray, tur
             closed = [closed_parts(sizes, now.d, rng), closed_parts(rsizes, now.d0, rng)]
             kinds = np.repeat(END, 4)
             yield _rows(SUMS, shard, kinds, [new_c.sum(), root.t.sum(), *(int(round(v)) for v in closed)], [2, 3, 4, 5])
-            x, back = np.unique(z["x"], return_inverse=True)
-            yield _rows(TABLES, shard, x, np.zeros(len(x)), np.bincount(back, seats.t, len(x)).astype(np.int64))
-
-    return run
-
-
-def contexts_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From what shards staged to (shard, x, c, t): contexts, their training tokens and their words that come once."""
-    for batch in batches:
-        for shard, raw in zip(batch.column("shard").to_pylist(), batch.column("raw").to_pylist()):
-            s = Shard.loaded(raw)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(s.contexts), shard, np.int32)), *(pa.array(v) for v in (s.contexts.view(np.int64), s.per_context(s.n), s.per_context(s.n == 1)))], ["shard", "x", "c", "t"])
-
-
-def bundled(names: list[str]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """From rows of shard and numbers to a row for each shard and million rows: the numbers as arrays."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-
-        def out() -> Iterator[pa.RecordBatch]:
-            table = pa.Table.from_batches(held)
-            held.clear()
-            order = np.argsort(table.column("shard").to_numpy(), kind="stable")
-            columns = {c: table.column(c).to_numpy()[order] for c in ("shard", *names)}
-            shards, first = np.unique(columns["shard"], return_index=True)
-            for shard, lo, hi in zip(shards, first, np.r_[first[1:], len(order)]):
-                raw = save(x=columns["x"][lo:hi], **{k: v for c in names[1:] for k, v in small(c, columns[c][lo:hi]).items()})
-                yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([raw], pa.binary())], ["shard", "raw"])
-
-        for batch in batches:
-            if batch.num_rows:
-                held.append(batch)
-            if sum(b.num_rows for b in held) >= 1_000_000:
-                yield from out()
-        if held:
-            yield from out()
+            yield from sent(TABLES, shard, known, where.shards, t=np.bincount(of_known, seats.t, len(known)).astype(np.int64))
 
     return run
 
@@ -577,19 +627,12 @@ def answered(of: list[Weights], where: Map, hot: list[tuple[np.ndarray, np.ndarr
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for shard, table in gathered(batches, "shard"):
-            raw: dict[int, list[bytes]] = {}
-            for kind, x in zip(table.column("kind").to_pylist(), table.column("raw").to_pylist()):
-                raw.setdefault(kind, []).append(x)
+            kinds, raw = table.column("kind").to_pylist(), table.column("raw").to_pylist()
+            answers = {o: load(r) for kind, o, r in zip(kinds, table.column("owner").to_pylist(), raw) if kind == CONTEXT}
             del table
-            s, z = Shard.loaded(raw.pop(STATIC)[0]), load(raw.pop(STATE)[0])
-            parts = [load(x) for x in raw.pop(CONTEXT)]
-            del raw
-            known = np.concatenate([p["x"] for p in parts]).view(U64)
-            order = np.argsort(known)
-            assert (known[order] == s.contexts).all()
-            column = lambda c: np.concatenate([whole(p, c) for p in parts])[order]
-            customers, tables = column("c"), [column(f"t{k}") for k in range(len(of))]
-            del known, order, parts
+            s, z = Shard.loaded(raw[kinds.index(STATIC)]), load(raw[kinds.index(STATE)])
+            customers, *tables = (told(s.contexts, where.shards, answers, c) for c in ("c", *(f"t{k}" for k in range(len(of)))))
+            del raw, answers
             is_hot, at = where.find(s.words)
             turns = sorted(int(k.rsplit("_", 1)[1]) for k in z if k.startswith("sample_t_"))
             samples = [{k: z[f"sample_{k}_{turn}"] for k in ("t", "c", "rt")} for turn in turns]
@@ -680,7 +723,7 @@ def once(rows: DataFrame) -> DataFrame:
 class Sample:
     weights: Weights
     hot: tuple[np.ndarray, np.ndarray]
-    totals: DataFrame  # x, c, t: customers and tables of each context's restaurant
+    totals: DataFrame  # rows of owned(): the tables of each context's restaurant
 
 
 def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 7, held: int = 2, burn_in: int = 2, samples: int = 2) -> DataFrame:
@@ -708,9 +751,7 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", f
     requests = stage(requests, "requests", "wave")
     state = in_waves(lambda wave: stage(by(requests.where(F.col("wave") == wave), "shard").mapInArrow(opened(where), KINDS), "opened"))
     drop_stage(requests)
-    static = state.where(F.col("kind") == STATIC)
-    contexts = static.select("shard", "raw").mapInArrow(contexts_of, "shard int, x long, c long, t long")
-    all_x = stage(contexts.groupBy("x").agg(F.sum("c").alias("c"), F.sum("t").alias("t")), "contexts")
+    base = stage(by(state.where(F.col("kind") == BASE).select("owner", "raw"), "owner").mapInArrow(based, KINDS), "contexts")
     first, rng = state, np.random.default_rng(11)
     sums = lambda df: {r["t"]: r["c"] for r in df.where(F.col("kind") == SUMS).groupBy("t").agg(F.sum("c").alias("c")).collect()}
 
@@ -728,18 +769,19 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", f
     now = Weights(customers=float(got.get(2) or 0), tables=float(n_words), words=n_words)
     taken: list[Sample] = []
 
-    def totals(df: DataFrame) -> DataFrame:
-        own = df.where(F.col("kind") == TABLES).groupBy("x").agg(F.sum("t").alias("own"))
-        return stage(all_x.join(own, "x", "left").select("x", "c", (F.col("t") + F.coalesce("own", F.lit(0))).alias("t")), "totals")
+    messages = lambda df, kind: df.where(F.col("kind") == kind).select("kind", "shard", "owner", "raw")
 
-    now_totals = totals(state)
+    def totals(df: DataFrame, turn: int) -> DataFrame:
+        both = messages(base, BASE).unionByName(messages(df, TABLES))
+        return stage(by(both, "owner").mapInArrow(owned(now, turn), TOTALS), "totals")
+
+    now_totals = totals(state, -1)
     if not samples:
         taken.append(Sample(now, (hot_c, hot_seats.t.copy()), now_totals))
     for turn in range(burn_in + samples if samples else 0):
         keep = turn >= burn_in
-        need = state.where(F.col("kind") == TABLES).select("shard", "x").join(now_totals.select("x", "t"), "x")
-        need = need.select(F.lit(CONTEXT).alias("kind"), "shard", "x", F.lit(0).cast("long").alias("c"), "t", F.lit(None).cast("binary").alias("raw"))
-        new = by(state.where(F.col("kind") == STATE).unionByName(need), "shard").mapInArrow(reseated(now, where, hot_c, hot_seats.t.copy(), turn, keep, turn == 0), KINDS)
+        both = messages(state, STATE).unionByName(messages(now_totals, CONTEXT))
+        new = by(both, "shard").mapInArrow(reseated(now, where, hot_c, hot_seats.t.copy(), turn, keep, turn == 0), KINDS)
         new = stage(new, "seated")
         if state is not first:
             drop_stage(state)
@@ -750,9 +792,9 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", f
         hot_seats.sweep(weight, now.d0, rng)
         if not (taken and taken[-1].totals is now_totals):
             drop_stage(now_totals)
-        now_totals = totals(state)
+        now_totals = totals(state, turn)
         customers, tables = float(got.get(2) or 0), float((got.get(3) or 0) + hot_seats.t.sum())
-        parts = now_totals.select("c", "t").mapInArrow(_strength(now, turn), "log double, yes double, no double").agg(*(F.sum(c) for c in ("log", "yes", "no"))).first()
+        parts = now_totals.agg(*(F.sum(c) for c in ("log", "yes", "no"))).first()
         d, s = sampled(*(float(v or 0) for v in parts), float(got.get(4) or 0), rng)
         root = strength_parts(np.array([customers]), np.array([int(tables)]), now.d0, now.s0, rng)
         closed = float(got.get(5) or 0) + closed_parts(hot_seats.packed(), now.d0, rng)
@@ -761,17 +803,14 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", f
         if keep:
             taken.append(Sample(now, (hot_c, hot_seats.t.copy()), now_totals))
 
-    told = all_x.select("x", "c")
+    asked = messages(base, BASE).unionByName(messages(first, BASE))
     for k, sample in enumerate(taken):
-        told = told.join(sample.totals.select("x", F.col("t").alias(f"t{k}")), "x")
-    names = ["x", "c", *(f"t{k}" for k in range(len(taken)))]
-    told = stage(told, "told")
-    known = stage(contexts.select("shard", "x").join(told, "x").select("shard", *names).mapInArrow(bundled(names), "shard int, raw binary"), "known")
-    for table in {id(t): t for t in (all_x, told, now_totals, *(x.totals for x in taken))}.values():
+        asked = asked.unionByName(messages(sample.totals, OWNER).withColumn("kind", F.lit(OWNER + k)))
+    known = stage(by(asked, "owner").mapInArrow(told_all(len(taken)), "kind int, shard int, owner int, raw binary"), "known")
+    for table in {id(t): t for t in (base, now_totals, *(x.totals for x in taken))}.values():
         drop_stage(table)
     answer = answered([x.weights for x in taken], where, [x.hot for x in taken], hot_n)
-    of_kind = lambda df, kind: df.select(F.lit(kind).alias("kind"), "shard", "raw")
-    all_ = of_kind(static, STATIC).unionByName(of_kind(state.where(F.col("kind") == STATE), STATE)).unionByName(of_kind(known, CONTEXT))
+    all_ = messages(first, STATIC).unionByName(messages(state, STATE)).unionByName(known)
     of_wave = lambda wave: all_.where(F.pmod("shard", F.lit(WAVES)) == wave)
     answers = in_waves(lambda wave: stage(by(of_wave(wave), "shard").mapInArrow(answer, "block int, shard int, p binary, n binary"), "answers"))
     for table in {id(t): t for t in (first, state, known)}.values():
@@ -782,14 +821,3 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", f
     scored = by(both, "block").mapInArrow(added_up(where, n_all, n_words), f"id {id_type}, held_out boolean, copies long, n_tokens long, n_known long, base_score double, score double")
     scored = scored.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
     return scored.select(F.col("id").alias(id_col), "held_out", "n_tokens", "n_known", F.lit(n_all).cast("long").alias("train_tokens"), "base_score", "score")
-
-
-def _strength(now: Weights, turn: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            c, t = batch.column("c").to_numpy(), batch.column("t").to_numpy()
-            if len(c):
-                parts = strength_parts(c, t, now.d, now.s, np.random.default_rng([turn, int(c.sum()), int(t.sum())]))
-                yield pa.RecordBatch.from_arrays([pa.array([v]) for v in parts], ["log", "yes", "no"])
-
-    return run
