@@ -31,6 +31,7 @@ from quire.plans.staging import drop_stage
 BLOCK_BYTES = 12 << 20
 PROBE_BYTES = 64 << 20  # of text at most, or a twentieth, tell which words are spread over several shards
 WAVES = 4
+WIDE = 16
 MOVES, GROUPS = 64, 8  # customers of a dish that a sweep moves one by one, and the groups in which it moves the others
 COPIES = 64  # rows of one id and text beyond this number are scored as one row
 END = np.array([0x5E9D0F1AE2B3C4D5], U64)
@@ -182,23 +183,55 @@ class Seats:
             self.move(dish, -(-(self.n[dish] - moves) // GROUPS), fresh, discount, own)
 
     def move(self, dish: np.ndarray, many: np.ndarray, fresh: Callable[[np.ndarray], np.ndarray], discount: float, rng: np.random.Generator) -> None:
-        """Takes `many` customers of each dish out, at random, and seats them again by the weights without them."""
-        for d, k in zip(dish.tolist(), many.tolist()):
-            own = self.size[self.at[d] : self.at[d] + self.t[d]]
-            left = own - rng.multivariate_hypergeometric(own, k)
-            left = left[left > 0]
-            own[:] = 0
-            self.size[self.at[d] : self.at[d] + len(left)] = left
-            self.t[d], self.n[d] = len(left), self.n[d] - k
+        """Takes `many` customers of each dish out, at random, and seats them again by the weights without them.
+
+        A table after the other, of all dishes that have so many at once: how many leave it is hypergeometric given those that
+        left the ones before, how many come to it binomial."""
+        order = np.argsort(-self.t[dish], kind="stable")
+        dish, many = dish[order], many[order]
+        begin, t = self.at[dish], self.t[dish]
+        wide = int(np.searchsorted(-t, -WIDE, "left"))  # dishes of more tables go one by one
+        for b, k, n in zip(begin[:wide].tolist(), many[:wide].tolist(), t[:wide].tolist()):
+            self.size[b : b + n] -= rng.multivariate_hypergeometric(self.size[b : b + n], k)
+        live = np.searchsorted(-t, -np.arange(1, min(t[0], WIDE) + 1), "right")
+        left, rest = many.copy(), self.n[dish].copy()
+        for j, m in enumerate(live):
+            place = begin[wide:m] + j
+            size = self.size[place]
+            rest[wide:m] -= size
+            take = rng.hypergeometric(size, rest[wide:m], left[wide:m])
+            left[wide:m] -= take
+            self.size[place] = size - take
+        self.n[dish] -= many
+        place, first = self.places(dish)
+        size = self.size[place]
+        keep = size > 0
+        rank = np.cumsum(keep) - keep
+        rank -= np.repeat(rank[first[:-1]], t)
+        self.size[place] = 0
+        self.size[(np.repeat(begin, t) + rank)[keep]] = size[keep]
+        self.t[dish] = t = np.add.reduceat(keep, first[:-1])
         weight = fresh(dish)
-        opened_ = rng.binomial(many, weight / (weight + self.n[dish] - discount * self.t[dish]))
-        for d, k, new in zip(dish.tolist(), many.tolist(), opened_.tolist()):
-            own = self.size[self.at[d] : self.at[d] + self.t[d]]
-            share = own - discount
-            own += rng.multinomial(k - new, share / share.sum())
-            self.size[self.at[d] + self.t[d] : self.at[d] + self.t[d] + new] = 1
-            self.t[d] += new
-            self.n[d] += k
+        share = self.n[dish] - discount * t
+        opened_ = rng.binomial(many, weight / (weight + share))
+        left, come, narrow = many - opened_, [], t <= WIDE
+        for d in np.flatnonzero(~narrow).tolist():
+            part = self.size[begin[d] : begin[d] + t[d]] - discount
+            come.append((slice(begin[d], begin[d] + t[d]), rng.multinomial(left[d], part / part.sum())))
+        for j in range(t[narrow].max(initial=0)):
+            own = np.flatnonzero(narrow & (t > j))
+            place = begin[own] + j
+            part = self.size[place] - discount
+            add = rng.binomial(left[own], np.clip(part / np.maximum(share[own], 1e-12), 0, 1))
+            add = np.where(t[own] == j + 1, left[own], add)  # the last table takes what is left
+            left[own] -= add
+            share[own] -= part
+            come.append((place, add))
+        for place, add in come:
+            self.size[place] += add
+        self.size[np.repeat(begin + t, opened_) + np.arange(opened_.sum()) - np.repeat(np.cumsum(opened_) - opened_, opened_)] = 1
+        self.t[dish] += opened_
+        self.n[dish] += many
 
     def resize(self, n: np.ndarray, fresh: Callable[[np.ndarray], np.ndarray], discount: float, rng: np.random.Generator) -> None:
         """Brings the dishes to n customers: so many leave or come, one by one, and all beyond MOVES at once."""
