@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 
 from quire.llm.textkernel import BYTES_FOLDED, Words, copies, exact_windows, prefix, words
 from quire.llm.toxicity import scored
-from quire.llm.training import labelled_sample
+from quire.llm.training import labelled_sample, released
 
 BITS, FACTORS, SHARE = 14, 4, 8.0  # hashed words, factors, and the scale of a word's share of the text
 N_STATS = 15
@@ -136,5 +136,5 @@ def quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col
     without words.  A row without an id is not held out.  Rows that repeat are scored alike; an empty
     table, or labels of one class only, give scores at the labels' share.
     """
-    model = fit(*labelled_sample(docs, labels, "quality", per_class, id_col, text_col))
+    model = released(fit(*labelled_sample(docs, labels, "quality", per_class, id_col, text_col)))
     return scored(docs, model.score, threshold, id_col, text_col)

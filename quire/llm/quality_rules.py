@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from quire.llm.quality_classifier import BAR, BLANKS, DIGITS, HIGH, LOWER, NEWLINE, SHOUT, STOPS, SYMBOLS, TAIL, UPPER
 from quire.llm.textkernel import Words, chunks, copies, dense, exact_windows, hashes, prefix
-from quire.llm.training import labelled_sample
+from quire.llm.training import labelled_sample, released
 
 CONTENT = 1
 N_FEATURES = 16
@@ -246,7 +246,7 @@ def quality_rules(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
     and fails.  The field is fitted on at most per_class labelled texts of each quality.  Rows that
     repeat an id each give their row; other columns of docs are left out.
     """
-    field = fit(*labelled_sample(docs, labels, "quality", per_class, id_col, text_col))
+    field = released(fit(*labelled_sample(docs, labels, "quality", per_class, id_col, text_col)))
     id_type = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -21,7 +21,7 @@ from pyspark.sql.types import DoubleType, StructType
 
 from quire.llm.exact_dedup import others
 from quire.llm.textkernel import BYTES_FOLDED, Words, chunks
-from quire.llm.training import bucket, labelled_sample
+from quire.llm.training import bucket, labelled_sample, released
 
 LONG, SPAN, DECAY, LETTERS = 12, 5, 0.7, 42
 WIDTH = LONG + 2  # a sign for the string's beginning and one for its end
@@ -71,6 +71,9 @@ def letter_rows(w: Words) -> tuple[np.ndarray, np.ndarray]:
     return rows, np.stack([row, np.repeat(doc, n)])
 
 
+PART = 8000  # rows of which subsequences are numbered at once
+
+
 def codes(rows: np.ndarray) -> Iterator[tuple[np.ndarray, float]]:
     """For each pair of steps: the subsequence at each place of each row (0: none), and its weight."""
     for a, b in STEPS:
@@ -89,8 +92,9 @@ def scale(rows: np.ndarray) -> np.ndarray:
 def used(rows: np.ndarray) -> np.ndarray:
     """The place of each subsequence among those that the rows have (0: none, and all that they lack)."""
     found = np.zeros(LETTERS**3, bool)
-    for code, _ in codes(rows):
-        found[code] = True
+    for at in range(0, len(rows), PART):
+        for code, _ in codes(rows[at : at + PART]):
+            found[code] = True
     found[0] = True
     return np.where(found, np.cumsum(found) - 1, 0).astype(np.int32)
 
@@ -118,8 +122,9 @@ def project(rows: np.ndarray, table: np.ndarray, place: np.ndarray) -> np.ndarra
 
 def margins(rows: np.ndarray, weights: np.ndarray) -> np.ndarray:
     out = np.zeros(len(rows), np.float32)
-    for code, weight in codes(rows):
-        out += weights[code].sum(1) * np.float32(weight)
+    for at in range(0, len(rows), PART):
+        for code, weight in codes(rows[at : at + PART]):
+            out[at : at + PART] += weights[code].sum(1) * np.float32(weight)
     return out / scale(rows).astype(np.float32)
 
 
@@ -191,26 +196,32 @@ def fit(texts: list[str], labels: list[int], share: float, landmarks: int = 300,
     label = np.array(labels)
     if len(set(labels)) < 2:
         return Model(np.zeros(LETTERS**3, np.float32), 0.0, np.zeros(2), float(np.log((share + 1e-3) / (1 - share + 1e-3))))
-    parts, row, doc, at = [], [], [], 0
+    parts, codes_, row, doc, at = [], [], [], [], 0
     for a, _, w in chunks(pa.array(texts), BYTES_FOLDED):
         own, (r, d) = letter_rows(w) if len(w.start) else (np.zeros((0, WIDTH), np.int32), np.zeros((2, 0), np.int64))
         parts.append(own)
+        codes_.append(own.astype(np.uint64) @ _POSITION)
         row.append(r + at)
         doc.append(d + a)
         at += len(own)
-    rows = np.concatenate(parts)
-    _, pick, same = np.unique(rows.astype(np.uint64) @ _POSITION, return_index=True, return_inverse=True)
-    rows, row, doc = rows[pick], same[np.concatenate(row)], np.concatenate(doc)
+    _, pick, same = np.unique(np.concatenate(codes_), return_index=True, return_inverse=True)
+    rows, row, doc = np.concatenate(parts)[pick], same[np.concatenate(row)], np.concatenate(doc)
+    del parts, codes_, same
     rng = np.random.default_rng(17)
     toxic = label[doc] == 1
     # the first choice: strings with four letters in a row, or a beginning, that toxic texts have beyond chance
-    wide = rows.astype(np.int64)
-    gram = ((wide[:, :-3] * LETTERS + wide[:, 1:-2]) * LETTERS + wide[:, 2:-1]) * LETTERS + wide[:, 3:]
+    gram = rows[:, :-3].astype(np.int32)
+    for k in (1, 2, 3):
+        gram *= LETTERS
+        gram += rows[:, k : rows.shape[1] - 3 + k]
     gram[(rows[:, 3:] == 0) | (rows[:, :-3] == 0)] = 0
-    begun = np.cumsum(wide[:, :10] * np.array([LETTERS**k for k in range(10)], np.int64), 1)[:, 4:] * 16 + np.arange(4, 10)
-    gram = np.concatenate([gram, np.where((rows[:, 4:10] > 0) & (rows[:, :1] == BEGIN), -begun, 0)], 1)
-    kinds, gram = np.unique(gram, return_inverse=True)
-    gram = gram.reshape(len(rows), -1).astype(np.int32)
+    begun = np.cumsum(rows[:, :10].astype(np.int64) * np.array([LETTERS**k for k in range(10)], np.int64), 1)[:, 4:] * 16 + np.arange(4, 10)
+    begun = np.where((rows[:, 4:10] > 0) & (rows[:, :1] == BEGIN), -begun, 0)
+    there = np.zeros(LETTERS**4, bool)
+    there[gram] = True
+    kinds, begins = np.flatnonzero(there), np.unique(begun)
+    gram = np.concatenate([(np.cumsum(there, dtype=np.int32) - 1)[gram], (np.searchsorted(begins, begun) + len(kinds)).astype(np.int32)], 1)
+    kinds = np.r_[kinds, begins]
     seen = np.zeros((2, len(kinds)), np.int32)
     for v, own in zip(label, np.split(row[np.argsort(doc, kind="stable")], np.cumsum(np.bincount(doc, minlength=len(label)))[:-1])):
         seen[v, np.unique(gram[own])] += 1
@@ -218,7 +229,7 @@ def fit(texts: list[str], labels: list[int], share: float, landmarks: int = 300,
     odds = np.where(seen[1] > max(usual, 0.9) * seen.sum(0), _ratio(seen[1], seen[0], usual), 0).astype(np.float32)
     odds[kinds == 0] = 0
     value = odds[gram].max(1)
-    del wide, begun, gram, kinds, seen, odds
+    del begun, gram, kinds, seen, odds
     pair = np.unique(np.stack([row, doc]), axis=1)
     n_toxic, n_clean = (np.bincount(pair[0][label[pair[1]] == v], minlength=len(rows)) for v in (1, 0))
     # a string stands for a toxic text if no clean one has it, or if far more toxic ones than chance has it do: one
@@ -264,7 +275,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     scores as the least toxic text does.  A row without an id is not held out.  Rows that repeat
     are scored alike; an empty table, or labels of one class only, give scores at the labels' share.
     """
-    model = fit(*labelled_sample(docs, labels, "toxic", per_class, id_col, text_col))
+    model = released(fit(*labelled_sample(docs, labels, "toxic", per_class, id_col, text_col)))
     return scored(docs, model.score, 0.5, id_col, text_col)
 
 

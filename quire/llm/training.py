@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -37,3 +40,10 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: i
     rows = rows.where(F.col("before") < most_bytes).drop("before").orderBy("id").limit(2 * per_class).collect()
     total = sum(counts.values())
     return [r["text"] or "" for r in rows], [r["label"] for r in rows], counts.get(1, 0) / total if total else 0.5
+
+
+def released(value):
+    """The value, after memory that a fit on the driver no longer uses went back to the system."""
+    with contextlib.suppress(OSError, AttributeError):  # another C library has no such call
+        ctypes.CDLL(None).malloc_trim(0)
+    return value
