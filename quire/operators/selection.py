@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quire.plans.staging import stage
+
 
 def race(kind: Column, size: Column, baseline: Column, baseline_valid: Column, ccitt: Column, ccitt_valid: Column, mrc: Column, mrc_valid: Column, rebuild: Column, preset: Column) -> Column:
     """The shipped candidate and its runner-up, by ordered rules; a tie never beats what came before.
@@ -40,7 +44,10 @@ def first_match(rows: DataFrame, keys: list[str], order: str, value: str) -> Dat
 
 
 def version_cards(rows: DataFrame, keys: list[str], slots: list[str]) -> DataFrame:
-    """Cards of a row in slot order, of slots that are filled; an original already among them is left out."""
+    """Cards of a row in slot order, of slots that are filled; an original already among them is left out.
+
+    Rows of equal keys share one list of cards: all of a slot, by bytes, variant and url, before those of the next.
+    """
     filled = {s: F.col(s).isNotNull() for s in slots}
     again = F.lit(False)
     for s in slots:
@@ -49,11 +56,15 @@ def version_cards(rows: DataFrame, keys: list[str], slots: list[str]) -> DataFra
     shown = {s: (filled[s] & ~again if s == "original" else filled[s]) for s in slots}
     flags = rows.select(*keys, *slots, *(v.cast("int").alias(f"__on_{s}") for s, v in shown.items()))
     at, cards = F.lit(0), []
-    for s in slots:
-        cards.append(F.struct(F.col(f"__on_{s}").alias("on"), at.alias("pos"), F.lit(s).alias("slot"), F.col(f"{s}.url").alias("url"), F.col(f"{s}.bytes").alias("bytes"), F.col(f"{s}.variant").alias("variant")))
+    for k, s in enumerate(slots):
+        cards.append(F.struct(F.col(f"__on_{s}").alias("on"), at.alias("pos"), F.lit(s).alias("slot"), F.col(f"{s}.url").alias("url"), F.col(f"{s}.bytes").alias("bytes"), F.col(f"{s}.variant").alias("variant"), F.lit(k).alias("k")))
         at = at + F.col(f"__on_{s}")
-    out = flags.select(*keys, F.explode(F.array(*cards)).alias("card")).where("card.on = 1")
-    return out.select(*keys, *(f"card.{c}" for c in ("pos", "slot", "url", "bytes", "variant")))
+    made = lambda some: some.select(*keys, F.explode(F.array(*cards)).alias("card")).where("card.on = 1").select(*keys, "card.*")
+    shared = stage(rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(*(F.col(c).alias(f"__{c}") for c in keys)), "shared")
+    same = reduce(Column.__and__, (F.col(c).eqNullSafe(F.col(f"__{c}")) for c in keys))
+    place = F.row_number().over(Window.partitionBy(*keys).orderBy("k", "bytes", "variant", "url")) - 1
+    out = made(flags.join(shared, same, "left_anti")).unionByName(made(flags.join(shared, same, "left_semi")).withColumn("pos", place))
+    return out.select(*keys, "pos", "slot", "url", "bytes", "variant")
 
 
 def variant_pairs(rows: DataFrame, key: str, variant: str, size: str) -> DataFrame:

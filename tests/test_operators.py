@@ -240,3 +240,11 @@ def test_estimates_of_a_hot_key_equal_one_loop(spark, split):
         state[key] = (f, rate, eta)
     assert got.keys() == want.keys()
     assert sum(got[x] != want[x] for x in want) == 0
+
+
+def test_cards_of_rows_that_share_their_keys_are_one_list(spark):
+    slot = lambda name: F.when(F.col(name).isNotNull(), F.struct(F.lit("u").alias("url"), F.col(name).alias("bytes"), F.lit("plain").alias("variant")))
+    rows = spark.createDataFrame([(1, 5, 7), (1, 4, None), (2, 9, 8), (None, 3, None), (None, 3, 6)], "run long, a long, b long").select("run", slot("a").alias("shipped"), slot("b").alias("previous"))
+    got = [(r.run, r.pos, r.slot, r.bytes) for r in S.version_cards(rows, ["run"], ["shipped", "previous"]).collect()]
+    want = [(1, 0, "shipped", 4), (1, 1, "shipped", 5), (1, 2, "previous", 7), (2, 0, "shipped", 9), (2, 1, "previous", 8), (None, 0, "shipped", 3), (None, 1, "shipped", 3), (None, 2, "previous", 6)]
+    assert sorted(got, key=repr) == sorted(want, key=repr)
