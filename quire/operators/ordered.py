@@ -119,11 +119,16 @@ def object_numbers(rows: DataFrame, keys: list[str], order: list[str], count: st
 
 
 def sections(rows: DataFrame, keys: list[str], number: str) -> DataFrame:
-    """Runs of consecutive distinct numbers: first and size."""
-    distinct = rows.select(*keys, number).distinct()
-    w = Window.partitionBy(*keys).orderBy(number)
-    runs = distinct.withColumn("__run", F.col(number) - F.row_number().over(w))
-    return runs.groupBy(*keys, "__run").agg(F.min(number).alias("first_number"), F.count(F.lit(1)).alias("size")).drop("__run")
+    """Runs of consecutive distinct numbers: first and size.  One sort of the rows by keys and number; no table of groups is held."""
+    n, w = F.col(number), Window.partitionBy(*keys).orderBy(number)
+    before, after = F.lag(number).over(w), F.lead(number).over(w)
+    first = F.when(n.isNull(), F.row_number().over(w) == 1).otherwise(before.isNull() | (n > before + 1))
+    last = n.isNull() | after.isNull() | (after > n + 1)
+    ends = rows.select(*keys, number, first.alias("__first"), last.alias("__last")).where("__first OR __last")
+    # a run's last row follows its first one, or comes in any order with it if both hold the same number
+    end = F.when(F.col("__last") | F.coalesce(F.lead("__first").over(w), F.lit(True)), n).otherwise(F.lead(number).over(w))
+    runs = ends.withColumn("__end", end).where("__first")
+    return runs.select(*keys, n.alias("first_number"), F.coalesce((F.col("__end") - n).cast("long") + 1, F.lit(1).cast("long")).alias("size"))
 
 
 def extents(rows: DataFrame, keys: list[str], offset: str, length: Column) -> DataFrame:

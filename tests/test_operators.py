@@ -248,3 +248,11 @@ def test_cards_of_rows_that_share_their_keys_are_one_list(spark):
     got = [(r.run, r.pos, r.slot, r.bytes) for r in S.version_cards(rows, ["run"], ["shipped", "previous"]).collect()]
     want = [(1, 0, "shipped", 4), (1, 1, "shipped", 5), (1, 2, "previous", 7), (2, 0, "shipped", 9), (2, 1, "previous", 8), (None, 0, "shipped", 3), (None, 1, "shipped", 3), (None, 2, "previous", 6)]
     assert sorted(got, key=repr) == sorted(want, key=repr)
+
+
+def test_sections_hold_no_groups(spark):
+    rows = spark.createDataFrame([(1, 4), (1, 4), (1, 5), (1, 5), (1, 9), (1, 9), (1, 11), (2, None), (2, None), (2, 1), (2, 0), (None, 7), (None, 8), (3, None)], "run long, n long")
+    out = O.sections(rows, ["run"], "n")
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Aggregate" not in plan and plan.count("Exchange") == 1
+    assert sorted(map(tuple, out.collect()), key=repr) == sorted([(1, 4, 2), (1, 9, 1), (1, 11, 1), (2, None, 1), (2, 0, 2), (None, 7, 2), (3, None, 1)], key=repr)
