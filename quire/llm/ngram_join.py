@@ -5,8 +5,9 @@ forest of trees holds the nodes sorted by the tree's own stretch of their signat
 a prefix are matched from the longest prefixes on; the prefixes are shortened until an isolated pair
 right at the threshold is found at the target recall, whatever other pairs there are.  What is
 connected by likely pairs is verified exactly, word by word: all nodes of a component against its hub,
-the node with most likely partners; where some are not linked to the hub, the component is cut again by rare runs of
-words, and those of them that can still have links meet hubs or all nodes of what is left of it.
+the node with most likely partners.  Nodes that share so much with the hub that they must be linked to each other are
+counted; where there are others, the component is cut again by rare runs of words, and those of them that can still
+have links meet hubs or all nodes of what is left of it.
 """
 
 from __future__ import annotations
@@ -249,7 +250,11 @@ def _sets(texts: pa.ChunkedArray, size: int) -> tuple[np.ndarray, np.ndarray, np
 
 
 def to_hub(size: int, threshold: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """From parts of components, the hub first, to each node's hub if it is linked to it, and the copies of either."""
+    """From parts of components, the hub first, to each node's hub, whether it is linked to it and close to it, and the copies of either.
+
+    Sets of a and b runs that share s and r with the hub's h share at least s + r - h, and are linked where they share
+    t / (1 + t) of a + b.  So two nodes with s - t / (1 + t) a of h / 2 or more, close ones, are linked, to the hub as well.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table, cut in grouped(batches, ["label", "part"], 400):
@@ -261,17 +266,18 @@ def to_hub(size: int, threshold: float) -> Callable[[Iterator[pa.RecordBatch]],
             both = np.bincount(doc[np.isin(key, key[hub[doc]])], minlength=len(n))
             of = cut[:-1][group.astype(np.int64)]
             linked = (both >= threshold * (n + n[of] - both) - 1e-9) & (n > 0) & ~hub
+            close = linked & ((1 + threshold) * both - threshold * n >= (1 + threshold) * n[of] / 2 + 1e-9)
             node, own = table.column("node").to_numpy(), table.column("copies").to_numpy()
             at = np.flatnonzero(~hub)
             yield pa.RecordBatch.from_arrays(
-                [table.column("label").combine_chunks().take(pa.array(at)), *(pa.array(x[at]) for x in (node, node[of], linked, own, own[of]))],
-                ["label", "node", "hub", "linked", "copies", "hub_copies"])
+                [table.column("label").combine_chunks().take(pa.array(at)), *(pa.array(x[at]) for x in (node, node[of], linked, close, own, own[of]))],
+                ["label", "node", "hub", "linked", "close", "copies", "hub_copies"])
 
     return run
 
 
 def to_all(size: int, threshold: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """From blocks of unlinked nodes beside blocks of all nodes of their component to links counted and edges that hold them."""
+    """From blocks of rest nodes beside blocks of all nodes of their component to links counted and edges that hold them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table, cut in grouped(batches, ["label", "low", "high"], 400):
@@ -284,7 +290,7 @@ def to_all(size: int, threshold: float) -> Callable[[Iterator[pa.RecordBatch]],
                 same = overlaps(doc[lo:hi] - a, np.unique(run_[lo:hi], return_inverse=True)[1], b - a)
                 total = n[a:b, None] + n[None, a:b]
                 link = (same >= threshold * (total - same) - 1e-6) & (same > 0) & (node[:, None] != node[None, :])
-                link &= (side[:, None] == 0) & (side[None, :] == 1)  # unlinked ones against all
+                link &= (side[:, None] == 0) & (side[None, :] == 1)  # rest ones against all
                 i, j = np.nonzero(link)
                 places, place = np.unique(node, return_inverse=True)
                 head = joined(place[i], place[j], len(places))
@@ -363,7 +369,7 @@ def met_all(texts: DataFrame, members: DataFrame, size: int, threshold: float) -
 
 
 def met_hubs(texts: DataFrame, members: DataFrame, size: int, threshold: float) -> DataFrame:
-    """(label, node, hub, linked, copies, hub_copies) of all nodes but the hub of each component; members are (node, label).
+    """(label, node, hub, linked, close, copies, hub_copies) of all nodes but the hub of each component; members are (node, label).
 
     The hub is the node with most likely partners."""
     rows = stage(texts.join(members, "node"), "members")
@@ -374,15 +380,16 @@ def met_hubs(texts: DataFrame, members: DataFrame, size: int, threshold: float)
     part = F.explode(F.when(is_hub, F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).otherwise(F.array(F.pmod(F.xxhash64("node"), F.col("parts")))))
     rows = rows.withColumn("last", ~is_hub).withColumn("part", part)
     rows = rows.repartition("label", "part").sortWithinPartitions("label", "part", "last")
-    return stage(rows.select("label", "part", "node", "copies", "text").mapInArrow(to_hub(size, threshold), "label long, node long, hub long, linked boolean, copies long, hub_copies long"), "near")
+    return stage(rows.select("label", "part", "node", "copies", "text").mapInArrow(to_hub(size, threshold), "label long, node long, hub long, linked boolean, close boolean, copies long, hub_copies long"), "near")
 
 
 def verified(docs: DataFrame, nodes: DataFrame, labels: DataFrame, degrees: DataFrame, id_col: str, text_col: str, size: int, threshold: float) -> DataFrame:
     """(node, links, to): counts of verified links, and edges that hold the verified classes together.
 
-    All nodes of a component meet its hub.  Where some are not linked to it, the component is cut again by rare runs of
-    words.  A new component of at most half the old one's nodes, all unlinked, is treated as the old one was; in any other
-    the unlinked nodes meet all.  So a node meets a hub a logarithmic number of times.
+    All nodes of a component meet its hub.  Those close to it are linked to each other and counted without meeting.  Where
+    there are others, the component is cut again by rare runs of words.  A new component of at most half the old one's
+    nodes, none of them close, is treated as the old one was; in any other those that are not close meet all.  So a node
+    meets a hub a logarithmic number of times, and no link within a component is left out.
     """
     told = labels.join(nodes.select("node", "copies", "n", "r1", "r2"), "node").join(degrees, "node", "left").withColumn("degree", F.coalesce("degree", F.lit(0)))
     texts = stage(texts_of(docs, stage(told.drop("label"), "candidates"), id_col, text_col), "texts")
@@ -392,11 +399,14 @@ def verified(docs: DataFrame, nodes: DataFrame, labels: DataFrame, degrees: Data
         linked = near.where("linked")
         found.append(linked.select("node", F.col("hub_copies").alias("links"), F.col("hub").alias("to")))
         found.append(linked.groupBy(F.col("hub").alias("node")).agg(F.sum("copies").alias("links")).withColumn("to", F.col("node")))
-        rest = near.groupBy("label").agg(F.count_if(~F.col("linked")).alias("unlinked"), F.count(F.lit(1)).alias("old")).where("unlinked > 0")
+        close = near.where("close")
+        crowd = stage(close.groupBy("label").agg(F.sum("copies").alias("all"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"), "crowd")
+        found.append(close.join(crowd, "label").select("node", (F.col("all") - F.col("copies")).alias("links"), F.col("hub").alias("to")))
+        rest = near.groupBy("label").agg(F.count_if(~F.col("close")).alias("others"), F.count(F.lit(1)).alias("old")).where("others > 0 AND old > 1")
         rest = stage(rest, "rest")
         if rest.limit(1).count() == 0:
             break
-        open_ = stage(near.select("label", "node", (~F.col("linked")).alias("rest")).join(rest.select("label"), "label"), "open")  # the hub has met all
+        open_ = stage(near.select("label", "node", (~F.col("close")).alias("rest")).join(rest.select("label"), "label"), "open")  # the hub has met all
         old = open_.join(rest.select("label", "old"), "label").select("node", "old")
         new = cut_again(texts, open_, size, threshold).join(old, "node")
         kinds = new.groupBy("label").agg(((F.count(F.lit(1)) > BLOCK) & F.bool_and("rest") & (F.count(F.lit(1)) * 2 <= F.min("old"))).alias("anew"))
@@ -418,10 +428,8 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     more; words are runs of bytes between ASCII blanks, as they are written.  A text of fewer words is
     linked to rows of the same words only.  same_id is the smallest id of the rows of the same
     sequence of words and n_copies their number; class_id is the smallest id that links lead to, over
-    any number of them.  n_links counts the rows that the row was found linked to: its copies, the
-    hub of its component (for a hub, all rows linked to it) and, where it or the other is not linked
-    to the hub, each other row.  Two texts that are both linked to one hub are in its class without being
-    compared: so many pairs of one class have no bound.  A null or empty text, or one of blanks, has no
+    any number of them.  n_links counts the rows that the row is linked to: its copies, and all rows of its
+    component (those that the forest connects) whose similarity is `threshold` or more.  A null or empty text, or one of blanks, has no
     links and its own id as class.  Repeated rows are copies of each other, rows that share an id but no
     text are not; a null id is the smallest only where there is no other.  Other columns of docs are
     left out; an empty table gives no rows.

@@ -232,3 +232,19 @@ def test_recall_of_many_near_links(spark):
             total += 1
             found += out[a[0]] == out[b[0]]
     assert total >= 200 and found >= 0.99 * total
+
+
+def test_all_links_of_texts_around_one_hub_are_counted(spark):
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choices("abcdefghij", k=7))
+    rows, n = [], 0
+    for changes in (1, 2, 3, 6):
+        base = [word() for _ in range(240)]
+        for _ in range(30):
+            text = list(base)
+            for k in rng.sample(range(240), rng.randint(0, changes)):
+                text[k] = word()
+            rows.append((n, " ".join(text)))
+            n += 1
+    out = ngram_join(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.class_id, r.n_links) for r in out) == brute(rows)
