@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from quire.plans.bindings_lists import _packed_document
 from quire.plans.bindings_rows import table
 from quire.plans.bindings_sources import made
-from quire.plans.staging import stage
+from quire.plans.staging import stage_rows
 from quire.sources import composed as C, files
 from quire.sources.content import references, text_lines
 from quire.sources.structure import parsed
@@ -38,14 +38,14 @@ def _sources(spark, sf_dir):
 
 def text_layers(spark, sf_dir):
     """Files with an update that puts text on their first page; what is read back from the updated bytes."""
-    docs = stage(_sources(spark, sf_dir), "sources")
+    docs = stage_rows(_sources(spark, sf_dir), "sources")
     label = F.concat(F.lit("Layer ("), F.col("page_id").cast("string"), F.lit(")"))
     text = docs.where("page_id % 5 > 0").select("page_id", F.when(F.col("page_id") % 7 == 0, 9).otherwise(0).alias("page"), F.lit(0).alias("run"), label.alias("text"), F.lit(0.25).alias("x"), F.lit(0.5).alias("y"), F.lit(0.5).alias("w"), F.lit(0.03125).alias("h"))
-    sections = stage(text_sections(docs, text, "page_id"), "sections")
+    sections = stage_rows(text_sections(docs, text, "page_id"), "sections")
     updated = docs.join(sections, "page_id").withColumn("after", files.incremental(F.col("content"), F.col("section")))
-    updated = stage(updated.withColumn("section_text", F.decode(F.coalesce("section", F.lit("").cast("binary")), "ISO-8859-1")), "updated")
+    updated = stage_rows(updated.withColumn("section_text", F.decode(F.coalesce("section", F.lit("").cast("binary")), "ISO-8859-1")), "updated")
     old = F.octet_length("content")
-    told = stage(parsed(updated.select("page_id", F.col("after").alias("content")), "page_id"), "parsed")
+    told = stage_rows(parsed(updated.select("page_id", F.col("after").alias("content")), "page_id"), "parsed")
     new = told.join(updated.select("page_id", old.alias("old")), "page_id").where("start >= old").groupBy("page_id").agg(F.count(F.lit(1)).alias("new_objects"), F.max("obj").alias("largest"))
     ends = told.where("obj IS NULL").select("page_id", "ending.form", "ending.root", "ending.size", F.col("ending.startxref").alias("place"))
     offsets = F.transform(F.regexp_extract_all("section_text", F.lit(r"(?m)^(\d{10}) \d{5} n $"), 1), lambda x: x.cast("int"))

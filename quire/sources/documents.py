@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quire.plans.staging import stage
+from quire.plans.staging import stage_rows
 from quire.sources.content import reference, references
 from quire.sources.structure import parsed, values
 
@@ -147,13 +147,13 @@ def inspected(files_: DataFrame, key: str, content: str = "content") -> DataFram
     open it), noPages or ok.  Pages are the leaves of the page tree of the live definitions, packed ones
     too; has_text says whether the first page's contents show text.
     """
-    told = stage(parsed(files_, key, content, contents=True), "parsed")
+    told = stage_rows(parsed(files_, key, content, contents=True), "parsed")
     alive = told.where("obj IS NOT NULL")
     ends = told.where("obj IS NULL").select(key, "ending.state", F.col("ending.root").alias("obj"))
     tree = alive.join(ends.where("state = 'open'").select(key, "obj"), [key, "obj"])
     roots = tree.select(key, reference(F.col("node")["Pages"]).alias("obj")).where("obj IS NOT NULL")
     nodes = alive.where("node IS NOT NULL AND kind <> '/Catalog'").select(key, "obj", F.when(F.col("kind") != "/Page", F.col("kids")).alias("kids"))
-    leaves = stage(page_leaves(nodes, roots, key), "leaves")
+    leaves = stage_rows(page_leaves(nodes, roots, key), "leaves")
     first = leaves.where("page = 0").join(alive.where("node IS NOT NULL").select(key, "obj", F.col("node")["Contents"].alias("streams")), [key, "obj"])
     first = first.select(key, F.explode(references(F.col("streams"))).alias("r")).select(key, F.col("r.obj").alias("obj"))
     shown = first.join(alive.where("plain IS NOT NULL").select(key, "obj", "plain"), [key, "obj"]).groupBy(key).agg(F.bool_or(shows_text(F.col("plain"))).alias("has_text"))

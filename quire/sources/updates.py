@@ -14,7 +14,7 @@ from pyspark.sql.types import BinaryType, LongType, StructType
 from quire.functions.geometry import placement
 from quire.functions.numbers import number_text
 from quire.functions.text import escaped
-from quire.plans.staging import stage
+from quire.plans.staging import stage_rows
 from quire.sources.content import dictionary, numbers, positioned_runs, reference, references
 from quire.sources.documents import page_leaves
 from quire.sources.structure import parsed, ref_of, spans, values
@@ -122,7 +122,7 @@ def _latin(*parts: Column | str) -> Column:
 def _objects(told: DataFrame, text: DataFrame, key: str) -> DataFrame:
     """(key, obj, gen, body): new and superseded objects; a null body is one that could not be made."""
     objects = told.where("obj IS NOT NULL").select(key, "obj", "gen", "head", (F.col("stream_start").isNotNull() | F.startswith("head", F.lit("<<").cast("binary"))).alias("whole"))
-    pages = stage(page_rows(told, key), "pages")
+    pages = stage_rows(page_rows(told, key), "pages")
     ends = told.where("obj IS NULL").select(key, F.greatest("ending.largest", F.col("ending.size") - 1).alias("base"))
     wanted = text.where(F.char_length("text") > 0).select(key, "page").distinct()
     n = F.row_number().over(Window.partitionBy(key).orderBy("page"))
@@ -131,7 +131,7 @@ def _objects(told: DataFrame, text: DataFrame, key: str) -> DataFrame:
     first = F.when(F.size(references(F.col("Contents"))) == 1, reference(F.col("Contents")))
     targets = targets.withColumns({"entry": entry, "shared": reference(F.col("Resources")), "one": first})
     sound = objects.select(key, F.col("obj").alias("one"), F.col("whole").alias("one_whole"))
-    targets = stage(targets.join(sound, [key, "one"], "left"), "targets")
+    targets = stage_rows(targets.join(sound, [key, "one"], "left"), "targets")
 
     own = targets.where("shared IS NULL").withColumn("made", _with_font("Resources", "entry"))
     held = targets.where("shared IS NOT NULL").select(key, F.col("shared").alias("obj"), "entry").distinct()
@@ -181,10 +181,10 @@ def text_sections(files: DataFrame, text: DataFrame, key: str, content: str = "c
     outside Latin-1 is shown as `?`.  The table of references has the form that the file's last one has.  A file's
     new bytes are one value.
     """
-    told = stage(parsed(files, key, content), "parsed")
+    told = stage_rows(parsed(files, key, content), "parsed")
     ends = told.where("obj IS NULL").select(key, "ending")
     usable = told.join(ends.where("ending.state = 'open' AND NOT ending.encrypted").select(key), key, "left_semi")
-    made = stage(_objects(usable, text.join(ends.select(key), key, "left_semi"), key), "updates")
+    made = stage_rows(_objects(usable, text.join(ends.select(key), key, "left_semi"), key), "updates")
     bad = made.groupBy(key).agg(F.count_if(F.col("body").isNull()).alias("bad"))
     good = made.join(bad.where("bad = 0").select(key), key, "left_semi")
     length = ends.select(key, "ending.length")
@@ -196,7 +196,7 @@ def text_sections(files: DataFrame, text: DataFrame, key: str, content: str = "c
     whole = whole.select(
         key, "bodies", (F.col("ending.length") + 1 + F.octet_length("bodies")).alias("place"), F.greatest("top", "ending.largest", F.col("ending.size") - 1).alias("top"),
         "ending.form", "ending.startxref", F.concat_ws(" ", F.col("ending.root").cast("string"), F.col("ending.root_gen").cast("string"), F.lit("R")).alias("root"))
-    whole = stage(whole, "sections")
+    whole = stage_rows(whole, "sections")
     zero = F.lit(0).cast("long")
     itself = whole.where("form = 'stream'").select(key, (F.col("top") + 1).alias("obj"), zero.alias("gen"), F.col("place").alias("at"))
     tables = _table(new.select(key, "obj", "gen", "at").unionByName(itself), key)
@@ -220,7 +220,7 @@ def text_sections(files: DataFrame, text: DataFrame, key: str, content: str = "c
 
 def page_streams(told: DataFrame, key: str) -> DataFrame:
     """Pages of parsed(contents=True) files with their box, fonts and the bytes of all their streams, one after the other."""
-    pages = stage(page_boxes(page_rows(told, key)), "pages")
+    pages = stage_rows(page_boxes(page_rows(told, key)), "pages")
     objects = told.where("obj IS NOT NULL")
     # a reference to an array of streams stands for the array
     single = pages.select(key, "page", reference(F.col("Contents")).alias("obj")).join(objects.where("stream_start IS NULL").select(key, "obj", "head"), [key, "obj"])
@@ -249,5 +249,5 @@ def page_fonts(pages: DataFrame, objects: DataFrame, key: str) -> DataFrame:
 
 def file_runs(files: DataFrame, key: str, content: str = "content") -> DataFrame:
     """Positioned runs of all pages of files: see content.positioned_runs()."""
-    told = stage(parsed(files, key, content, contents=True), "parsed")
+    told = stage_rows(parsed(files, key, content, contents=True), "parsed")
     return positioned_runs(page_streams(told, key), key, fonts="fonts")
