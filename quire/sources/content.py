@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, LongType, MapType, StringType, StructType
 
 from quire.sources.locks import string_bytes
-from quire.sources.structure import _TOKEN, name_text, ref_of, refs_of, values
+from quire.sources.structure import _TOKEN, name_text, refs_of, values
 
 #: Width of a character without widths of its own, in ems.
 WIDTH = 0.5
@@ -200,15 +200,10 @@ def dictionary(value: Column) -> Column:
     return _dictionary(value)
 
 
-@F.udf(LongType(), useArrow=True)
-def _reference(value: bytes | None) -> int | None:
-    found = ref_of(bytes(value)) if value is not None else None
-    return found[0] if found else None
-
-
 def reference(value: Column) -> Column:
     """The object that a raw value names; null for anything else."""
-    return _reference(value)
+    number = F.regexp_extract(F.decode(value, "ISO-8859-1"), r"\A\s*(\d{1,10})\s+\d{1,5}\s+R\s*\z", 1)
+    return F.when(number != "", number).cast("long")
 
 
 def numbers(value: Column) -> Column:

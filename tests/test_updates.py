@@ -313,3 +313,11 @@ def test_joins_of_staged_rows_are_no_broadcasts(spark):
     data = build([(1, b"<< /Type /Catalog /Pages 2 0 R >>"), (2, b"<< /Type /Pages /Kids [3 0 R] /Count 1 >>"), (3, page), (4, b"<< /Type /Font >>"), (5, stream(b"BT (x) Tj ET"))])
     plan = U.file_runs(table(spark, [("a", data), ("b", data)]), "f")._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
+
+
+def test_the_object_of_a_reference_takes_no_python(spark):
+    """With all cores at work each Python step of a stage has a process for every core."""
+    raw = [b"12 0 R", b" 3\t4\n R ", b"1234567890 99999 R", b"12345678901 0 R", b"1 0 R 2 0 R", b"[1 0 R]", b"<< /A 1 0 R >>", b"1 R", b"1 0 r", b"\xe9 1 0 R", b"1\x0b0\x0cR", b"1\x850 R", b"", None]
+    told = table(spark, [(str(k), v) for k, v in enumerate(raw)]).select(F.col("f").cast("int").alias("k"), content.reference(F.col("content")).alias("obj"))
+    assert "EvalPython" not in told._jdf.queryExecution().executedPlan().toString()
+    assert [r.obj for r in told.orderBy("k").collect()] == [(S.ref_of(v) or (None,))[0] for v in raw]
