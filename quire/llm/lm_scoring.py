@@ -116,6 +116,33 @@ def load(raw: bytes) -> dict[str, np.ndarray]:
     return out
 
 
+def distinct(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """np.unique(values, return_inverse=True) of 64-bit numbers, by one plain sort: a value's upper bits before its place.
+
+    Where the bits that are left out tell values apart in another order, np.unique does it.
+    """
+    if not len(values):
+        return values, np.zeros(0, np.int32)
+    low = U64(max(1, len(values).bit_length()))
+    mask = (U64(1) << low) - U64(1)
+    mixed = values << U64(64 - max(1, int(values.max()).bit_length()))
+    mixed &= ~mask
+    mixed |= np.arange(len(values), dtype=U64)
+    mixed.sort()
+    mixed &= mask
+    place = mixed.view(np.int64)
+    held = values[place]
+    if (held[1:] < held[:-1]).any():
+        return np.unique(values, return_inverse=True)
+    new = np.r_[True, held[1:] != held[:-1]]
+    held = held[new]
+    rank = np.cumsum(new, dtype=np.int32)
+    rank -= 1
+    inverse = np.empty(len(values), np.int32)
+    inverse[place] = rank
+    return held, inverse
+
+
 # ---- seating
 
 
@@ -139,10 +166,14 @@ class Seats:
 
     def _pick(self, dish: np.ndarray, less: float, rng: np.random.Generator) -> np.ndarray:
         """A table of each dish, by the sizes less a discount."""
-        place, first = self.places(dish)
+        share, out = rng.random(len(dish)), self.at[dish]
+        more = np.flatnonzero(self.t[dish] > 1)
+        place, first = self.places(dish[more])
         total = np.r_[0.0, np.cumsum(self.size[place] - less)]
-        aim = total[first[:-1]] + rng.random(len(dish)) * (total[first[1:]] - total[first[:-1]])
-        return place[np.clip(np.searchsorted(total, aim, "right") - 1, first[:-1], first[1:] - 1)]
+        aim = total[first[:-1]] + share[more] * (total[first[1:]] - total[first[:-1]])
+        if len(more):
+            out[more] = place[np.clip(np.searchsorted(total, aim, "right") - 1, first[:-1], first[1:] - 1)]
+        return out
 
     def leave(self, dish: np.ndarray, rng: np.random.Generator) -> None:
         """One customer of each dish goes; a table that is then empty closes."""
@@ -381,26 +412,30 @@ class Block:
 def block_of(texts: pa.Array, trains: np.ndarray, where: Map) -> Block:
     """trains: how often each text is trained on."""
     token, doc = tokens(words(*flat(texts), BYTES_FOLDED))
-    kinds, number = np.unique(np.r_[token, BEGIN], return_inverse=True)
+    token = np.r_[token, BEGIN]
+    kinds, number = distinct(token)
     del token
     number = number.astype(np.uint32)
     before = np.r_[number[-1], number[:-2]] if len(doc) else number[:0]
     before[np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]])] = number[-1]
     code = number[:-1].astype(U64)
     del number
-    code <<= U64(32)
-    code |= before
+    code *= U64(len(kinds))
+    code += before
     del before
-    code, pair = np.unique(code, return_inverse=True)
-    pair = pair.astype(np.int32)
+    code, pair = distinct(code)
+    pair = pair.astype(np.int32, copy=False)
     n = np.bincount(pair, trains[doc], len(code)).astype(np.int64)
-    word, context = kinds[(code >> U64(32)).astype(np.int64)], kinds[(code & U64(0xFFFFFFFF)).astype(np.int64)]
-    del code
+    first = code // U64(len(kinds))
+    word, context = kinds[first.astype(np.int64)], kinds[(code - first * U64(len(kinds))).astype(np.int64)]
+    del code, first
     shard = where.shard(word, context)
-    order = np.argsort(shard, kind="stable")
+    order = np.argsort(shard.astype(np.uint16) if where.shards < 1 << 16 else shard, kind="stable")  # of 16 bits by digits
     place = np.empty(len(order), np.int32)
     place[order] = np.arange(len(order))
-    shards, cut = np.unique(shard[order], return_index=True)
+    shard = shard[order]
+    cut = runs(shard)
+    shards = shard[cut]
     return Block(doc, place[pair], word[order], context[order], n[order], np.r_[cut, len(order)], shards)
 
 
@@ -427,11 +462,13 @@ class Shard:
         parts = [load(x) for x in table.column("raw").to_pylist()]
         self.words = np.unique(np.concatenate([z["w"] for z in parts]))
         self.contexts = np.unique(np.concatenate([z["d"] for z in parts]))
-        code = np.concatenate([np.repeat(np.searchsorted(self.words, z["w"]).astype(U64) << U64(32), whole(z, "k")) for z in parts])
-        code |= np.concatenate([np.searchsorted(self.contexts, z["d"]).astype(U64)[wide(z["x"])] for z in parts])
-        code, self.back = np.unique(code, return_inverse=True)
-        self.back = self.back.astype(np.int32)
-        self.w, self.x = (code >> U64(32)).astype(np.int32), (code & U64(0xFFFFFFFF)).astype(np.int32)
+        n_contexts = U64(max(1, len(self.contexts)))
+        code = np.concatenate([np.repeat(np.searchsorted(self.words, z["w"]).astype(U64) * n_contexts, whole(z, "k")) for z in parts])
+        code += np.concatenate([np.searchsorted(self.contexts, z["d"]).astype(U64)[wide(z["x"])] for z in parts])
+        code, self.back = distinct(code)
+        self.back = self.back.astype(np.int32, copy=False)
+        self.w = (code // n_contexts).astype(np.int32)
+        self.x = (code - self.w.astype(U64) * n_contexts).astype(np.int32)
         del code
         self.n = np.bincount(self.back, np.concatenate([whole(z, "n") for z in parts]), len(self.w)).astype(np.int64)
         self.ends = np.cumsum([len(z["x"]) for z in parts])
@@ -482,7 +519,7 @@ def request(where: Map) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Reco
             del table
             for shard, lo, hi in zip(b.shards, b.cut[:-1], b.cut[1:]):
                 head = runs(b.word[lo:hi])
-                known, place = np.unique(b.context[lo:hi], return_inverse=True)
+                known, place = distinct(b.context[lo:hi])
                 raw = save(w=b.word[lo:hi][head], d=known, x=narrow(place), **small("k", np.diff(np.r_[head, hi - lo])), **small("n", b.n[lo:hi]))
                 yield pa.RecordBatch.from_arrays([pa.array([shard % WAVES], pa.int32()), pa.array([shard], pa.int32()), pa.array([block], pa.int32()), pa.array([raw], pa.binary())], ["wave", "shard", "block", "raw"])
 
@@ -564,7 +601,7 @@ def reseated(now: Weights, where: Map, hot_c: np.ndarray, hot_t: np.ndarray, tur
             closed = [closed_parts(sizes, now.d, rng), closed_parts(rsizes, now.d0, rng)]
             kinds = np.repeat(END, 4)
             yield _rows(SUMS, shard, kinds, [new_c.sum(), root.t.sum(), *(int(round(v)) for v in closed)], [2, 3, 4, 5])
-            x, back = np.unique(z["x"], return_inverse=True)
+            x, back = distinct(z["x"])
             yield _rows(TABLES, shard, x, np.zeros(len(x)), np.bincount(back, seats.t, len(x)).astype(np.int64))
 
     return run
@@ -745,17 +782,20 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", f
     contexts = static.select("shard", "raw").mapInArrow(contexts_of, "shard int, x long, c long, t long")
     all_x = stage(contexts.groupBy("x").agg(F.sum("c").alias("c"), F.sum("t").alias("t")), "contexts")
     first, rng = state, np.random.default_rng(11)
-    sums = lambda df: {r["t"]: r["c"] for r in df.where(F.col("kind") == SUMS).groupBy("t").agg(F.sum("c").alias("c")).collect()}
 
-    def hot_words(df: DataFrame, column: str) -> np.ndarray:
-        """A number of each hot word: there are at most four to a shard."""
-        out = np.zeros(len(where.hot), np.int64)
-        for r in df.where(F.col("kind") == HOT).groupBy("x").agg(F.sum(column).alias("n")).collect():
-            out[np.searchsorted(where.hot, np.array([r["x"]], np.int64).view(U64))[0]] = r["n"]
-        return out
+    def sums(df: DataFrame) -> tuple[dict[int, int], np.ndarray, np.ndarray]:
+        """The shards' sums, and both numbers of each hot word: there are at most four to a shard."""
+        got, hot = {}, np.zeros((2, len(where.hot)), np.int64)
+        which = F.when(F.col("kind") == SUMS, F.col("t")).alias("which")
+        for r in df.where(F.col("kind").isin(SUMS, HOT)).groupBy("kind", which, "x").agg(F.sum("c").alias("c"), F.sum("t").alias("t")).collect():
+            if r["kind"] == SUMS:
+                got[r["which"]] = r["c"]
+            else:
+                hot[:, np.searchsorted(where.hot, np.array([r["x"]], np.int64).view(U64))[0]] = r["c"], r["t"]
+        return got, hot[0], hot[1]
 
-    got, hot_n = sums(state), hot_words(state, "c")
-    n_all, hot_c = got.get(0) or 0, hot_words(state, "t")
+    got, hot_n, hot_c = sums(state)
+    n_all = got.get(0) or 0
     n_words = (got.get(1) or 0) + int((hot_n > 0).sum())
     hot_seats = Seats(hot_c, np.minimum(hot_c, 1), hot_c[hot_c > 0], hot_n)
     now = Weights(customers=float(got.get(2) or 0), tables=float(n_words), words=n_words)
@@ -776,8 +816,8 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", f
         new = stage(new, "seated")
         if state is not first:
             drop_stage(state)
-        state, got = new, sums(new)
-        hot_c = hot_words(state, "t")
+        state = new
+        got, _, hot_c = sums(new)
         weight = lambda dish: np.full(len(dish), now.unknown())  # noqa: B023, E731
         hot_seats.resize(hot_c, weight, now.d0, rng)
         hot_seats.sweep(weight, now.d0, rng)
