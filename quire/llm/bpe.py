@@ -209,7 +209,7 @@ def loaded(path: str) -> Bpe:
 
 
 def text_slices(batch: pa.RecordBatch, column: str, most: int = 1 << 21) -> Iterator[tuple[int, int, list[str]]]:
-    """(from, to, texts) for ranges of a batch's rows of about two megabytes; null counts as empty."""
+    """(from, to, texts) for ranges of a batch's rows of about `most` bytes, two megabytes if not told; null counts as empty."""
     texts = batch.column(column)
     for a, b in spans(flat(texts)[1], most):
         yield a, b, ["" if t is None else t for t in texts.slice(a, b - a).to_pylist()]

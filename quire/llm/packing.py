@@ -17,6 +17,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quire.llm.bpe import loaded, text_slices
+from quire.llm.textkernel import PART_BYTES
+from quire.llm.training import released
 
 
 def difference(sizes: list[int], m: int) -> list[list[int]]:
@@ -110,7 +112,7 @@ def pack(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "te
         kind = None
         for batch in batches:
             kind = batch.column(0).type
-            for a, b, texts in text_slices(batch, "text"):
+            for a, b, texts in text_slices(batch, "text", PART_BYTES):
                 for doc, ids in zip(batch.column(0).slice(a, b - a).to_pylist(), bpe.encode(texts)):
                     ids += end
                     n = len(ids) // 4
@@ -123,6 +125,7 @@ def pack(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "te
                     if held >= windows * capacity:
                         settle()
                 yield out(kind)
+                released()
         if pool:
             settle()
             yield out(kind)

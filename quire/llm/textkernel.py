@@ -17,6 +17,7 @@ import pyarrow.compute as pc
 
 U64 = np.uint64
 CHUNK_BYTES = 1 << 21
+PART_BYTES = 1 << 19  # of text at a time where a chunk's arrays are many times its text
 BLANK = np.zeros(256, bool)
 BLANK[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 _R = 0x9E3779B97F4A7C15
@@ -155,10 +156,10 @@ def words(buf: np.ndarray, offsets: np.ndarray, values: np.ndarray = BYTES, blan
     return Words(buf, offsets, start, end, doc, hashes(low, start, end), low)
 
 
-def chunks(texts: pa.Array, values: np.ndarray = BYTES) -> Iterator[tuple[int, int, Words]]:
-    """(from, to, words) for ranges of rows of a column, about CHUNK_BYTES of text at a time."""
+def chunks(texts: pa.Array, values: np.ndarray = BYTES, most: int = CHUNK_BYTES) -> Iterator[tuple[int, int, Words]]:
+    """(from, to, words) for ranges of rows of a column, about `most` bytes of text at a time."""
     buf, offsets = flat(texts)
-    for a, b in spans(offsets):
+    for a, b in spans(offsets, most):
         part = offsets[a : b + 1]
         yield a, b, words(buf[part[0] : part[-1]], part - part[0], values)
 

@@ -10,7 +10,7 @@ As the machine is linear in the landmarks' kernels, its margin is a sum of one w
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructType
 
 from quire.llm.exact_dedup import others
-from quire.llm.textkernel import BYTES_FOLDED, Words, chunks
+from quire.llm.textkernel import BYTES_FOLDED, PART_BYTES, Words, chunks
 from quire.llm.training import bucket, labelled_sample, released
 
 LONG, SPAN, DECAY, LETTERS = 12, 5, 0.7, 42
@@ -279,18 +279,25 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     return scored(docs, model.score, 0.5, id_col, text_col)
 
 
+def marked(score: Callable[[Words], np.ndarray], text_col: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """From batches to parts of them with score added: a part's memory goes back to the system before the next one."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a, b, w in chunks(batch.column(text_col), BYTES_FOLDED, PART_BYTES):
+                part, marks = batch.slice(a, b - a), pa.array(np.asarray(score(w), np.float64))
+                del w
+                yield pa.RecordBatch.from_arrays([*part.columns, marks], [*part.schema.names, "score"])
+                released()
+
+    return run
+
+
 def scored(docs: DataFrame, score, threshold: float, id_col: str, text_col: str) -> DataFrame:
     """docs with held_out, score and predicted; score maps the words of a chunk of texts to numbers."""
     added = ["held_out", "score", "predicted"]
     own = others(docs.columns, added)
     inner = docs.select(*[F.col(f"`{c}`") for c in own])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for a, b, w in chunks(batch.column(text_col), BYTES_FOLDED):
-                part = batch.slice(a, b - a)
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(np.asarray(score(w), np.float64))], [*part.schema.names, "score"])
-
     schema = StructType([*inner.schema.fields]).add("score", DoubleType())
-    out = inner.mapInArrow(run, schema)
+    out = inner.mapInArrow(marked(score, text_col), schema)
     return out.select(*[F.col(f"`{c}`") for c in own], F.coalesce(bucket(F.col(f"`{id_col}`"), 5) == 0, F.lit(False)).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 import contextlib
 import ctypes
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -42,8 +43,9 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: i
     return [r["text"] or "" for r in rows], [r["label"] for r in rows], counts.get(1, 0) / total if total else 0.5
 
 
-def released(value):
-    """The value, after memory that a fit on the driver no longer uses went back to the system."""
+def released(value=None):
+    """The value, after memory that a fit on the driver, or a chunk of texts in a task, no longer uses went back to the system."""
     with contextlib.suppress(OSError, AttributeError):  # another C library has no such call
         ctypes.CDLL(None).malloc_trim(0)
+    pa.default_memory_pool().release_unused()
     return value

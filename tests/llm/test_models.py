@@ -6,6 +6,7 @@ import os
 import random
 import re
 import time
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -407,3 +408,20 @@ def test_tokens_of_a_block_are_numbered_by_plain_sorts(monkeypatch):
     b = lm_scoring.block_of(texts, np.array([1, 1, 0, 2]), where)
     assert b.cut[-1] == len(b.word) == len(b.n) == 8 and b.n.sum() == 4 + 1 + 2 * 4 and list(b.doc) == [0] * 4 + [1] + [2] * 3 + [3] * 4
     assert list(b.pair[:4]) == list(b.pair[-4:]) and (np.diff(where.shard(b.word, b.context)) >= 0).all()
+
+
+def test_scoring_works_on_small_parts_of_a_batch():
+    """What a task holds beside its batch stays small, whatever the batch's size, and scores do not depend on the parts."""
+    rng = np.random.default_rng(3)
+    letters = np.frombuffer(b"abcdefghijklmnopqrstuvwxyz    ", np.uint8)
+    texts = [rng.choice(letters, 4000).tobytes().decode() for _ in range(1000)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(1000)), pa.array(texts)], ["doc_id", "text"])
+    model = toxicity.Model(rng.normal(size=toxicity.LETTERS**3).astype(np.float32), 0.1, np.array([1.0, 0.5]), 0.0)
+    tracemalloc.start()
+    got = list(toxicity.marked(model.score, "text")(iter([batch])))
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 80e6
+    assert [x for g in got for x in g.column("doc_id").to_pylist()] == list(range(1000))
+    whole = np.concatenate([model.score(w) for _, _, w in chunks(batch.column("text"), BYTES_FOLDED)])
+    assert np.array_equal(np.concatenate([g.column("score").to_numpy() for g in got]), whole)
