@@ -33,6 +33,7 @@ PROBE_BYTES = 64 << 20  # of text at most, or a twentieth, tell which words are
 WAVES = 4
 WIDE = 16
 MOVES, GROUPS = 64, 8  # customers of a dish that a sweep moves one by one, and the groups in which it moves the others
+PLAIN = ("x", "raw", "p", "n")  # hashes and whole arrays: a dictionary of their values would only be filled and given up
 COPIES = 64  # rows of one id and text beyond this number are scored as one row
 END = np.array([0x5E9D0F1AE2B3C4D5], U64)
 BEGIN = np.array([0x1B873593CC9E2D51], U64)
@@ -52,7 +53,7 @@ def stage(df: DataFrame, name: str, *parts: str) -> DataFrame:
     before = conf.get(key, "false")
     conf.set(key, "true")
     try:
-        return staging.stage(df, name, *parts)
+        return staging.stage(df, name, *parts, plain=PLAIN)
     finally:
         conf.set(key, before)
 
@@ -166,13 +167,25 @@ class Seats:
 
     def _pick(self, dish: np.ndarray, less: float, rng: np.random.Generator) -> np.ndarray:
         """A table of each dish, by the sizes less a discount."""
-        share, out = rng.random(len(dish)), self.at[dish]
-        more = np.flatnonzero(self.t[dish] > 1)
-        place, first = self.places(dish[more])
-        total = np.r_[0.0, np.cumsum(self.size[place] - less)]
-        aim = total[first[:-1]] + share[more] * (total[first[1:]] - total[first[:-1]])
+        share, out, t = rng.random(len(dish)), self.at[dish], self.t[dish]
+        more = np.flatnonzero(t > 1)
         if len(more):
-            out[more] = place[np.clip(np.searchsorted(total, aim, "right") - 1, first[:-1], first[1:] - 1)]
+            t = t[more]
+            first = np.zeros(len(t) + 1, np.int64)
+            np.cumsum(t, out=first[1:])
+            place = np.repeat(out[more] - first[:-1], t)
+            place += np.arange(first[-1])
+            total = np.zeros(len(place) + 1)
+            np.cumsum(self.size[place] - less, out=total[1:])
+            low, aim = total[first[:-1]], total[first[1:]]
+            aim -= low
+            aim *= share[more]
+            aim += low
+            found = np.searchsorted(total, aim, "right")
+            found -= 1
+            np.maximum(found, first[:-1], out=found)
+            np.minimum(found, first[1:] - 1, out=found)
+            out[more] = place[found]
         return out
 
     def leave(self, dish: np.ndarray, rng: np.random.Generator) -> None:
@@ -189,9 +202,11 @@ class Seats:
 
     def come(self, dish: np.ndarray, fresh: np.ndarray, discount: float, rng: np.random.Generator) -> None:
         """One customer of each dish takes a table: a new one by the weight `fresh`, else one by its size."""
-        weight = self.n[dish] - discount * self.t[dish]
-        opens = rng.random(len(dish)) * (fresh + weight) < fresh
-        opens |= self.t[dish] == 0
+        t = self.t[dish]
+        weight = self.n[dish] - discount * t
+        weight += fresh
+        opens = rng.random(len(dish)) * weight < fresh
+        opens |= t == 0
         old, new = dish[~opens], dish[opens]
         if len(old):
             self.size[self._pick(old, discount, rng)] += 1
@@ -507,7 +522,8 @@ STATE, CONTEXT, HOT, SUMS, TABLES, STATIC = range(6)
 def _rows(kind: int, shard: int, x=None, c=None, t=None, raw: bytes | None = None) -> pa.RecordBatch:
     size = 1 if x is None else len(x)
     ints = [pa.array(np.asarray(v, np.int64)) if v is not None else pa.nulls(size, pa.int64()) for v in (None if x is None else x.view(np.int64), c, t)]
-    return pa.RecordBatch.from_arrays([pa.array(np.full(size, kind, np.int32)), pa.array(np.full(size, shard, np.int32)), *ints, pa.array([raw] * size, pa.binary())], ["kind", "shard", "x", "c", "t", "raw"])
+    bytes_ = pa.nulls(size, pa.binary()) if raw is None else pa.array([raw] * size, pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array(np.full(size, kind, np.int32)), pa.array(np.full(size, shard, np.int32)), *ints, bytes_], ["kind", "shard", "x", "c", "t", "raw"])
 
 
 def request(where: Map) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -545,22 +561,21 @@ def opened(where: Map) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Recor
             kinds = np.array([END[0], END[0], END[0]])
             yield _rows(SUMS, shard, kinds, [n.sum(), ((n > 0) & ~hot).sum(), c.sum()], [0, 1, 2])
             known, t = np.unique(s.x[many], return_counts=True)
-            yield _rows(TABLES, shard, s.contexts[known], np.zeros(len(known)), t)
+            yield _rows(TABLES, shard, s.contexts[known], t=t)
 
     return run
 
 
 def reseated(now: Weights, where: Map, hot_c: np.ndarray, hot_t: np.ndarray, turn: int, keep: bool, start: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """From a shard's state and the tables of its contexts' restaurants to its next state, after a sweep."""
+    """From a shard's state (raw) and the tables of its contexts' restaurants (x, t) to its next state, after a sweep."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for shard, table in gathered(batches, "shard"):
-            kind = table.column("kind").to_numpy()
-            part = table.filter(pa.array(kind == CONTEXT))
+            part = table.filter(table.column("raw").is_null())
             known = part.column("x").to_numpy().view(U64)
             order = np.argsort(known)
             known, total = known[order], part.column("t").to_numpy()[order]
-            z = load(table.filter(pa.array(kind == STATE)).column("raw")[0].as_py())
+            z = load(table.filter(table.column("raw").is_valid()).column("raw")[0].as_py())
             del table
             rng = np.random.default_rng([turn, shard])
             w, t0 = z["w"], z["t"]
@@ -573,8 +588,8 @@ def reseated(now: Weights, where: Map, hot_c: np.ndarray, hot_t: np.ndarray, tur
 
             def fresh(dish: np.ndarray) -> np.ndarray:
                 """The weight of a new table: its own dish's tables as they are now, all others as the sweep found them."""
-                change = seats.t[dish] - t0[dish]
-                return (now.s + now.d * (tables[dish] + change)) * now.parent(all_c[w[dish]] + change, all_t[w[dish]])
+                change, word = seats.t[dish] - t0[dish], w[dish]
+                return (now.s + now.d * (tables[dish] + change)) * now.parent(all_c[word] + change, all_t[word])
 
             if start:
                 weight = (now.s + now.d * tables) * now.parent(all_c[w], all_t[w])
@@ -602,7 +617,7 @@ def reseated(now: Weights, where: Map, hot_c: np.ndarray, hot_t: np.ndarray, tur
             kinds = np.repeat(END, 4)
             yield _rows(SUMS, shard, kinds, [new_c.sum(), root.t.sum(), *(int(round(v)) for v in closed)], [2, 3, 4, 5])
             x, back = distinct(z["x"])
-            yield _rows(TABLES, shard, x, np.zeros(len(x)), np.bincount(back, seats.t, len(x)).astype(np.int64))
+            yield _rows(TABLES, shard, x, t=np.bincount(back, seats.t, len(x)).astype(np.int64))
 
     return run
 
@@ -811,8 +826,8 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", f
     for turn in range(burn_in + samples if samples else 0):
         keep = turn >= burn_in
         need = state.where(F.col("kind") == TABLES).select("shard", "x").join(now_totals.select("x", "t"), "x")
-        need = need.select(F.lit(CONTEXT).alias("kind"), "shard", "x", F.lit(0).cast("long").alias("c"), "t", F.lit(None).cast("binary").alias("raw"))
-        new = by(state.where(F.col("kind") == STATE).unionByName(need), "shard").mapInArrow(reseated(now, where, hot_c, hot_seats.t.copy(), turn, keep, turn == 0), KINDS)
+        need = need.select("shard", "x", "t", F.lit(None).cast("binary").alias("raw"))
+        new = by(state.where(F.col("kind") == STATE).select("shard", "x", "t", "raw").unionByName(need), "shard").mapInArrow(reseated(now, where, hot_c, hot_seats.t.copy(), turn, keep, turn == 0), KINDS)
         new = stage(new, "seated")
         if state is not first:
             drop_stage(state)

@@ -65,11 +65,15 @@ def _delete(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
-def stage(df: DataFrame, name: str, *parts: str) -> DataFrame:
-    """Writes df as Parquet into the shared folder, by parts if some are named, and returns the table read back."""
+def stage(df: DataFrame, name: str, *parts: str, plain: tuple[str, ...] = ()) -> DataFrame:
+    """Writes df as Parquet into the shared folder, by parts if some are named, and returns the table read back.
+
+    Columns in plain are written without a dictionary of their values.
+    """
     spark = df.sparkSession
     path = stage_path(spark, name)
-    (df.write.partitionBy(*parts) if parts else df.write).parquet(path)
+    out = df.write.options(**{f"parquet.enable.dictionary#{c}": "false" for c in plain})
+    (out.partitionBy(*parts) if parts else out).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
