@@ -425,3 +425,18 @@ def test_scoring_works_on_small_parts_of_a_batch():
     assert [x for g in got for x in g.column("doc_id").to_pylist()] == list(range(1000))
     whole = np.concatenate([model.score(w) for _, _, w in chunks(batch.column("text"), BYTES_FOLDED)])
     assert np.array_equal(np.concatenate([g.column("score").to_numpy() for g in got]), whole)
+
+
+def test_context_rows_carry_no_more_than_the_sweep_reads():
+    """Rows of contexts hold no counts or bytes that nothing reads: there are millions of them a sweep."""
+    texts = pa.array(["a b a b a b c"] * 20)
+    where = lm_scoring.Map(1, np.zeros(0, np.uint64), np.zeros(0, np.int64))
+    sent = lm_scoring.request(where)(iter([pa.RecordBatch.from_arrays([texts, pa.array([1] * 20), pa.array([0] * 20, pa.int32())], ["text", "trains", "block"])]))
+    state = pa.Table.from_batches(list(lm_scoring.opened(where)(sent)))
+    kind = state.column("kind").to_numpy()
+    known = state.filter(pa.array(kind == lm_scoring.TABLES))
+    assert known.num_rows and known.column("c").null_count == known.num_rows
+    own, told = state.filter(pa.array(kind == lm_scoring.STATE)).select(["shard", "x", "t", "raw"]), known.select(["shard", "x", "t", "raw"])
+    none = np.zeros(0, np.int64)
+    out = pa.Table.from_batches(list(lm_scoring.reseated(lm_scoring.Weights(), where, none, none, 1, False, False)(iter(pa.concat_tables([own, told]).to_batches()))))
+    assert (out.column("kind").to_numpy() == lm_scoring.TABLES).sum() == known.num_rows
