@@ -23,8 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.textkernel import BYTES_FOLDED, U64, Words, flat, mix, words
-from quire.llm.training import bucket
+from quire.llm.textkernel import BYTES_FOLDED, U64, Words, chunks, mix
+from quire.llm.training import bucket, released
 from quire.plans import staging
 from quire.plans.staging import drop_stage
 
@@ -34,6 +34,7 @@ WAVES = 4
 WIDE = 16
 MOVES, GROUPS = 64, 8  # customers of a dish that a sweep moves one by one, and the groups in which it moves the others
 PLAIN = ("x", "raw", "p", "n")  # hashes and whole arrays: a dictionary of their values would only be filled and given up
+PART = 1 << 17  # pairs whose chances are worked out at a time
 COPIES = 64  # rows of one id and text beyond this number are scored as one row
 END = np.array([0x5E9D0F1AE2B3C4D5], U64)
 BEGIN = np.array([0x1B873593CC9E2D51], U64)
@@ -69,6 +70,26 @@ def tokens(w: Words) -> tuple[np.ndarray, np.ndarray]:
     return token, doc
 
 
+def tokens_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """tokens() of many texts, a chunk after the other: what finds the words of a chunk is many times as large as its text."""
+    token, doc = [np.zeros(0, U64)], [np.zeros(0, np.int32)]
+    for a, _, w in chunks(texts, BYTES_FOLDED):
+        own, at = tokens(w)
+        token.append(own)
+        doc.append(at + np.int32(a))
+    return np.concatenate(token), np.concatenate(doc)
+
+
+def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """run, after whose end its memory goes back to the system: a Python worker is kept for its next task, beside others that work."""
+
+    def out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        released()
+
+    return out
+
+
 def save(**arrays: np.ndarray) -> bytes:
     """Arrays one after the other, each at a multiple of eight bytes, behind what they are: a few bytes an array."""
     head, data, at = [], [], 0
@@ -426,11 +447,12 @@ class Block:
 
 def block_of(texts: pa.Array, trains: np.ndarray, where: Map) -> Block:
     """trains: how often each text is trained on."""
-    token, doc = tokens(words(*flat(texts), BYTES_FOLDED))
+    token, doc = tokens_of(texts)
+    released()
     token = np.r_[token, BEGIN]
     kinds, number = distinct(token)
     del token
-    number = number.astype(np.uint32)
+    number = number.view(np.uint32) if number.dtype == np.int32 else number.astype(np.uint32)
     before = np.r_[number[-1], number[:-2]] if len(doc) else number[:0]
     before[np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]])] = number[-1]
     code = number[:-1].astype(U64)
@@ -440,18 +462,21 @@ def block_of(texts: pa.Array, trains: np.ndarray, where: Map) -> Block:
     del before
     code, pair = distinct(code)
     pair = pair.astype(np.int32, copy=False)
-    n = np.bincount(pair, trains[doc], len(code)).astype(np.int64)
+    n = np.bincount(pair, trains.astype(np.float64)[doc], len(code)).astype(np.int64)
     first = code // U64(len(kinds))
     word, context = kinds[first.astype(np.int64)], kinds[(code - first * U64(len(kinds))).astype(np.int64)]
     del code, first
     shard = where.shard(word, context)
     order = np.argsort(shard.astype(np.uint16) if where.shards < 1 << 16 else shard, kind="stable")  # of 16 bits by digits
     place = np.empty(len(order), np.int32)
-    place[order] = np.arange(len(order))
+    place[order] = np.arange(len(order), dtype=np.int32)
     shard = shard[order]
     cut = runs(shard)
     shards = shard[cut]
-    return Block(doc, place[pair], word[order], context[order], n[order], np.r_[cut, len(order)], shards)
+    word, context, n, pair = word[order], context[order], n[order], place[pair]
+    del order, place, shard
+    released()
+    return Block(doc, pair, word, context, n, np.r_[cut, len(word)], shards)
 
 
 def runs(word: np.ndarray) -> np.ndarray:
@@ -469,6 +494,18 @@ def gathered(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[tuple[int,
             yield int(k), table.filter(pa.array(keys == k)) if (keys != k).any() else table
 
 
+def state_of(words: np.ndarray, w: np.ndarray, x: np.ndarray, **counts: np.ndarray) -> bytes:
+    """A shard's state: its pairs rise by word, and counts are mostly small, so that most numbers but hashes take a byte."""
+    per = np.bincount(w, minlength=len(words))
+    return save(words=words, x=x, **small("per", per), **{k: v for name, values in counts.items() for k, v in small(name, values).items()})
+
+
+def state_from(raw: bytes) -> dict[str, np.ndarray]:
+    z = load(raw)
+    counts = {k: whole(z, k) for k in z if f"{k}_at" in z}
+    return {"words": z["words"], "x": z["x"], "w": np.repeat(np.arange(len(z["words"]), dtype=np.int32), counts.pop("per")), **counts}
+
+
 class Shard:
     """All pairs that blocks sent to a shard, added up: pairs are sorted by word and context."""
 
@@ -503,17 +540,14 @@ class Shard:
         s.block, s.ends, s.words, s.contexts, s.x, s.n = z["block"], z["ends"], z["words"], z["contexts"], wide(z["x"]).astype(np.int32), whole(z, "n")
         s.w = np.repeat(np.arange(len(s.words), dtype=np.int32), whole(z, "per"))
         s.many, step = np.flatnonzero(s.n > 1), whole(z, "step")
-        first = np.r_[0, s.ends[:-1]]
-        total = np.cumsum(step)
-        s.back = (total - np.repeat(total[first] - step[first], np.diff(np.r_[0, s.ends]))).astype(np.int32)
+        s.back = np.empty(len(step), np.int32)
+        for lo, hi in zip(np.r_[0, s.ends[:-1]], s.ends):
+            np.cumsum(step[lo:hi], dtype=np.int32, out=s.back[lo:hi])
         return s
 
     def per_word(self, values: np.ndarray, at: np.ndarray | slice = slice(None)) -> np.ndarray:
         return np.bincount(self.w[at], values, len(self.words)).astype(np.int64)
 
-    def per_context(self, values: np.ndarray) -> np.ndarray:
-        return np.bincount(self.x, values, len(self.contexts)).astype(np.int64)
-
 
 KINDS = "kind int, shard int, x long, c long, t long, raw binary"
 STATE, CONTEXT, HOT, SUMS, TABLES, STATIC = range(6)
@@ -554,7 +588,7 @@ def opened(where: Map) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Recor
             many = s.many
             c = singles + s.per_word(np.ones(len(many)), many)
             root = np.where(hot, 0, np.minimum(c, 1))
-            raw = save(words=s.words, n=n, singles=singles, w=s.w[many], x=s.contexts[s.x[many]], pn=s.n[many], t=np.ones(len(many), np.int64), sizes=s.n[many], rt=root, rsizes=np.where(hot, 0, c)[root > 0])
+            raw = state_of(s.words, s.w[many], s.contexts[s.x[many]], n=n, singles=singles, pn=s.n[many], t=np.ones(len(many), np.int64), sizes=s.n[many], rt=root, rsizes=np.where(hot, 0, c)[root > 0])
             yield _rows(STATE, shard, raw=raw)
             yield _rows(STATIC, shard, raw=s.staged())
             yield _rows(HOT, shard, s.words[hot], n[hot], c[hot])
@@ -575,7 +609,7 @@ def reseated(now: Weights, where: Map, hot_c: np.ndarray, hot_t: np.ndarray, tur
             known = part.column("x").to_numpy().view(U64)
             order = np.argsort(known)
             known, total = known[order], part.column("t").to_numpy()[order]
-            z = load(table.filter(table.column("raw").is_valid()).column("raw")[0].as_py())
+            z = state_from(table.filter(table.column("raw").is_valid()).column("raw")[0].as_py())
             del table
             rng = np.random.default_rng([turn, shard])
             w, t0 = z["w"], z["t"]
@@ -610,7 +644,7 @@ def reseated(now: Weights, where: Map, hot_c: np.ndarray, hot_t: np.ndarray, tur
             root.sweep(weight, now.d0, rng)
             sizes, rsizes = seats.packed(), root.packed()
             past = {k: v for k, v in z.items() if k.startswith("sample")} | ({f"sample_{k}_{turn}": v for k, v in (("t", seats.t), ("c", new_c), ("rt", root.t))} if keep else {})
-            raw = save(**{k: z[k] for k in ("words", "n", "singles", "w", "x", "pn")}, t=seats.t, sizes=sizes, rt=root.t, rsizes=rsizes, **past)
+            raw = state_of(z["words"], w, z["x"], **{k: z[k] for k in ("n", "singles", "pn")}, t=seats.t, sizes=sizes, rt=root.t, rsizes=rsizes, **past)
             yield _rows(STATE, shard, raw=raw)
             yield _rows(HOT, shard, z["words"][hot], z["n"][hot], new_c[hot])
             closed = [closed_parts(sizes, now.d, rng), closed_parts(rsizes, now.d0, rng)]
@@ -625,9 +659,19 @@ def reseated(now: Weights, where: Map, hot_c: np.ndarray, hot_t: np.ndarray, tur
 def contexts_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """From what shards staged to (shard, x, c, t): contexts, their training tokens and their words that come once."""
     for batch in batches:
-        for shard, raw in zip(batch.column("shard").to_pylist(), batch.column("raw").to_pylist()):
-            s = Shard.loaded(raw)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(s.contexts), shard, np.int32)), *(pa.array(v) for v in (s.contexts.view(np.int64), s.per_context(s.n), s.per_context(s.n == 1)))], ["shard", "x", "c", "t"])
+        for shard, raw in zip(batch.column("shard").to_pylist(), batch.column("raw")):
+            z = load(raw.as_py())
+            x, n, known = wide(z["x"]), whole(z, "n"), z["contexts"]
+            of = lambda values: pa.array(np.bincount(x, values, len(known)).astype(np.int64))  # noqa: B023, E731
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(known), shard, np.int32)), pa.array(known.view(np.int64)), of(n), of(n == 1)], ["shard", "x", "c", "t"])
+
+
+def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From what shards staged to (shard, x): their contexts alone."""
+    for batch in batches:
+        for shard, raw in zip(batch.column("shard").to_pylist(), batch.column("raw")):
+            known = load(raw.as_py())["contexts"]
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(known), shard, np.int32)), pa.array(known.view(np.int64))], ["shard", "x"])
 
 
 def bundled(names: list[str]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -666,7 +710,7 @@ def answered(of: list[Weights], where: Map, hot: list[tuple[np.ndarray, np.ndarr
             for kind, x in zip(table.column("kind").to_pylist(), table.column("raw").to_pylist()):
                 raw.setdefault(kind, []).append(x)
             del table
-            s, z = Shard.loaded(raw.pop(STATIC)[0]), load(raw.pop(STATE)[0])
+            s, z = Shard.loaded(raw.pop(STATIC)[0]), state_from(raw.pop(STATE)[0])
             parts = [load(x) for x in raw.pop(CONTEXT)]
             del raw
             known = np.concatenate([p["x"] for p in parts]).view(U64)
@@ -685,8 +729,13 @@ def answered(of: list[Weights], where: Map, hot: list[tuple[np.ndarray, np.ndarr
                 t[s.many] = sample["t"]
                 c, rt = sample["c"].copy(), sample["rt"].copy()
                 c[is_hot], rt[is_hot] = hc[at[is_hot]], ht[at[is_hot]]
-                chance += now.predict(s.n, t, customers[s.x], total[s.x], now.parent(c, rt)[s.w])
-            score = np.log10(chance / len(of)).astype("<f4")
+                parent = now.parent(c, rt)
+                for a in range(0, len(chance), PART):
+                    part = slice(a, a + PART)
+                    chance[part] += now.predict(s.n[part], t[part], customers[s.x[part]], total[s.x[part]], parent[s.w[part]])
+            chance /= len(of)
+            score = np.log10(chance, out=chance).astype("<f4")
+            del chance, samples, customers, tables
             count = z["n"].copy()
             count[is_hot] = hot_n[at[is_hot]]
             for block, lo, hi in zip(s.block, np.r_[0, s.ends[:-1]], s.ends):
@@ -706,7 +755,10 @@ def added_up(where: Map, n_all: int, n_words: int) -> Callable[[Iterator[pa.Reco
             del table
             if not texts.num_rows:
                 continue
-            b = block_of(texts.column("text").combine_chunks(), texts.column("trains").to_numpy(), where)
+            text, trains = texts.column("text").combine_chunks(), texts.column("trains").to_numpy()
+            texts = texts.select(["id", "held_out", "copies"])
+            b = block_of(text, trains, where)
+            del text
             told = {r["shard"]: r for r in told}
             score, count = np.zeros(len(b.word)), np.zeros(len(b.word), np.int64)
             for shard, lo, hi in zip(b.shards.tolist(), b.cut[:-1], b.cut[1:]):
@@ -728,7 +780,7 @@ def frequent(docs: DataFrame, size: int, shards: int) -> Map:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            token, _ = tokens(words(*flat(batch.column("text")), BYTES_FOLDED))
+            token, _ = tokens_of(batch.column("text"))
             word, n = np.unique(token, return_counts=True)
             some = n * 8 * shards > len(token)
             yield pa.RecordBatch.from_arrays([pa.array(np.r_[word[some].view(np.int64), 0]), pa.array(np.r_[n[some], len(token)])], ["word", "n"])
@@ -736,7 +788,7 @@ def frequent(docs: DataFrame, size: int, shards: int) -> Map:
     if shards == 1:
         return Map(1, np.zeros(0, U64), np.zeros(0, np.int64))
     part = docs.select("text").sample(min(1.0, max(0.05, PROBE_BYTES / max(1, size))), seed=1)
-    found = stage(part.mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")), "frequent")
+    found = stage(part.mapInArrow(lean(run), "word long, n long").groupBy("word").agg(F.sum("n").alias("n")), "frequent")
     total = found.where("word = 0").agg(F.sum("n")).first()[0] or 0
     rows = found.where((F.col("word") != 0) & (F.col("n") * 4 * shards > total)).collect()  # at most 4 * shards
     drop_stage(found)
@@ -789,12 +841,12 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", f
     placed = rows.withColumns({"trains": trains, "block": F.pmod(F.xxhash64("id", "text"), F.lit(blocks)).cast("int")})
     by = lambda df, key: df.repartitionById(blocks, F.col(key))
 
-    requests = by(placed, "block").select("text", "trains", "block").mapInArrow(request(where), "wave int, shard int, block int, raw binary")
+    requests = by(placed, "block").select("text", "trains", "block").mapInArrow(lean(request(where)), "wave int, shard int, block int, raw binary")
     requests = stage(requests, "requests", "wave")
-    state = in_waves(lambda wave: stage(by(requests.where(F.col("wave") == wave), "shard").mapInArrow(opened(where), KINDS), "opened"))
+    state = in_waves(lambda wave: stage(by(requests.where(F.col("wave") == wave), "shard").mapInArrow(lean(opened(where)), KINDS), "opened"))
     drop_stage(requests)
     static = state.where(F.col("kind") == STATIC)
-    contexts = static.select("shard", "raw").mapInArrow(contexts_of, "shard int, x long, c long, t long")
+    contexts = static.select("shard", "raw").mapInArrow(lean(contexts_of), "shard int, x long, c long, t long")
     all_x = stage(contexts.groupBy("x").agg(F.sum("c").alias("c"), F.sum("t").alias("t")), "contexts")
     first, rng = state, np.random.default_rng(11)
 
@@ -827,7 +879,7 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", f
         keep = turn >= burn_in
         need = state.where(F.col("kind") == TABLES).select("shard", "x").join(now_totals.select("x", "t"), "x")
         need = need.select("shard", "x", "t", F.lit(None).cast("binary").alias("raw"))
-        new = by(state.where(F.col("kind") == STATE).select("shard", "x", "t", "raw").unionByName(need), "shard").mapInArrow(reseated(now, where, hot_c, hot_seats.t.copy(), turn, keep, turn == 0), KINDS)
+        new = by(state.where(F.col("kind") == STATE).select("shard", "x", "t", "raw").unionByName(need), "shard").mapInArrow(lean(reseated(now, where, hot_c, hot_seats.t.copy(), turn, keep, turn == 0)), KINDS)
         new = stage(new, "seated")
         if state is not first:
             drop_stage(state)
@@ -854,20 +906,21 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", f
         told = told.join(sample.totals.select("x", F.col("t").alias(f"t{k}")), "x")
     names = ["x", "c", *(f"t{k}" for k in range(len(taken)))]
     told = stage(told, "told")
-    known = stage(contexts.select("shard", "x").join(told, "x").select("shard", *names).mapInArrow(bundled(names), "shard int, raw binary"), "known")
+    of_shards = static.select("shard", "raw").mapInArrow(lean(named), "shard int, x long")
+    known = stage(of_shards.join(told, "x").select("shard", *names).mapInArrow(lean(bundled(names)), "shard int, raw binary"), "known")
     for table in {id(t): t for t in (all_x, told, now_totals, *(x.totals for x in taken))}.values():
         drop_stage(table)
     answer = answered([x.weights for x in taken], where, [x.hot for x in taken], hot_n)
     of_kind = lambda df, kind: df.select(F.lit(kind).alias("kind"), "shard", "raw")
     all_ = of_kind(static, STATIC).unionByName(of_kind(state.where(F.col("kind") == STATE), STATE)).unionByName(of_kind(known, CONTEXT))
     of_wave = lambda wave: all_.where(F.pmod("shard", F.lit(WAVES)) == wave)
-    answers = in_waves(lambda wave: stage(by(of_wave(wave), "shard").mapInArrow(answer, "block int, shard int, p binary, n binary"), "answers"))
+    answers = in_waves(lambda wave: stage(by(of_wave(wave), "shard").mapInArrow(lean(answer), "block int, shard int, p binary, n binary"), "answers"))
     for table in {id(t): t for t in (first, state, known)}.values():
         drop_stage(table)
     none = lambda kind: F.lit(None).cast(kind)
     both = placed.select("block", "id", "text", "held_out", "copies", "trains", none("int").alias("shard"), none("binary").alias("p"), none("binary").alias("n")).unionByName(
         answers.select("block", none(id_type).alias("id"), none("string").alias("text"), none("boolean").alias("held_out"), none("long").alias("copies"), none("long").alias("trains"), "shard", "p", "n"))
-    scored = by(both, "block").mapInArrow(added_up(where, n_all, n_words), f"id {id_type}, held_out boolean, copies long, n_tokens long, n_known long, base_score double, score double")
+    scored = by(both, "block").mapInArrow(lean(added_up(where, n_all, n_words)), f"id {id_type}, held_out boolean, copies long, n_tokens long, n_known long, base_score double, score double")
     scored = scored.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
     return scored.select(F.col("id").alias(id_col), "held_out", "n_tokens", "n_known", F.lit(n_all).cast("long").alias("train_tokens"), "base_score", "score")
 

@@ -440,3 +440,41 @@ def test_context_rows_carry_no_more_than_the_sweep_reads():
     none = np.zeros(0, np.int64)
     out = pa.Table.from_batches(list(lm_scoring.reseated(lm_scoring.Weights(), where, none, none, 1, False, False)(iter(pa.concat_tables([own, told]).to_batches()))))
     assert (out.column("kind").to_numpy() == lm_scoring.TABLES).sum() == known.num_rows
+
+
+def test_a_block_and_a_state_take_little_memory():
+    """Words of a whole block at once took 15 times its text, and each number of a state eight bytes: executors passed their memory."""
+    rng = np.random.default_rng(5)
+    kinds = np.array([f"word{k:x}" for k in range(20_000)])
+    texts = pa.array([" ".join(kinds[(rng.random(500) ** 4 * len(kinds)).astype(int)]) for _ in range(1600)])
+    where = lm_scoring.Map(1, np.zeros(0, np.uint64), np.zeros(0, np.int64))
+    trains = np.ones(len(texts), np.int64)
+    tracemalloc.start()
+    b = lm_scoring.block_of(texts, trains, where)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 10 * texts.nbytes, most / texts.nbytes
+    token, doc = lm_scoring.tokens(textkernel.words(*textkernel.flat(texts), BYTES_FOLDED))
+    assert np.array_equal(b.doc, doc) and np.array_equal(b.word[b.pair], token)
+
+    sent = lm_scoring.request(where)(iter([pa.RecordBatch.from_arrays([texts, pa.array(trains), pa.array([0] * len(texts), pa.int32())], ["text", "trains", "block"])]))
+    raw = next(x for x in lm_scoring.opened(where)(sent) if x.column("kind")[0].as_py() == lm_scoring.STATE).column("raw")[0].as_py()
+    z = lm_scoring.state_from(raw)
+    assert len(raw) < 16 * (len(z["words"]) + len(z["x"])), len(raw) / (len(z["words"]) + len(z["x"]))
+    n = b.n[b.n > 1]
+    assert sorted(z["pn"]) == sorted(n) and len(z["w"]) == len(z["x"]) == len(n) and (np.diff(z["w"]) >= 0).all() and z["n"].sum() == len(token)
+    big = {"words": np.arange(3).astype(np.uint64), "w": np.array([0, 0, 2], np.int32), "x": np.arange(5, 8).astype(np.uint64), "pn": np.array([2, 255, 1 << 40]), "sample_t_2": np.array([254, 256, 0])}
+    back = lm_scoring.state_from(lm_scoring.state_of(**big))
+    assert back.keys() == big.keys() and all(np.array_equal(back[k], big[k]) for k in big)
+
+
+def test_a_worker_gives_memory_back_when_its_task_has_ended(monkeypatch):
+    """Workers that wait kept some 60 MB of their last task each, beside those that work."""
+    told = []
+    monkeypatch.setattr(lm_scoring, "released", lambda: told.append("released"))
+
+    def run(batches):
+        yield from batches
+        told.append("end")
+
+    assert list(lm_scoring.lean(run)(iter([1, 2]))) == [1, 2] and told == ["end", "released"]
