@@ -901,14 +901,13 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", f
         if keep:
             taken.append(Sample(now, (hot_c, hot_seats.t.copy()), now_totals))
 
-    told = all_x.select("x", "c")
-    for k, sample in enumerate(taken):
+    told = taken[0].totals.select("x", "c", F.col("t").alias("t0"))
+    for k, sample in enumerate(taken[1:], 1):
         told = told.join(sample.totals.select("x", F.col("t").alias(f"t{k}")), "x")
     names = ["x", "c", *(f"t{k}" for k in range(len(taken)))]
-    told = stage(told, "told")
     of_shards = static.select("shard", "raw").mapInArrow(lean(named), "shard int, x long")
     known = stage(of_shards.join(told, "x").select("shard", *names).mapInArrow(lean(bundled(names)), "shard int, raw binary"), "known")
-    for table in {id(t): t for t in (all_x, told, now_totals, *(x.totals for x in taken))}.values():
+    for table in {id(t): t for t in (all_x, now_totals, *(x.totals for x in taken))}.values():
         drop_stage(table)
     answer = answered([x.weights for x in taken], where, [x.hot for x in taken], hot_n)
     of_kind = lambda df, kind: df.select(F.lit(kind).alias("kind"), "shard", "raw")

@@ -41,10 +41,15 @@ PAD = 8
 _MASK = np.array([(1 << 8 * k) - 1 for k in range(9)], U64)
 
 
+def mapped(buf: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """values[buf] for a value of each byte, as bytes translate: without an index of each."""
+    return np.frombuffer(buf.tobytes().translate(values.tobytes()), values.dtype)
+
+
 def padded(buf: np.ndarray, values: np.ndarray = BYTES) -> np.ndarray:
     """The buffer's bytes as hashes see them, with eight zeros behind."""
     out = np.zeros(len(buf) + PAD, np.uint8)
-    out[: len(buf)] = buf if values is BYTES else values[buf]
+    out[: len(buf)] = buf if values is BYTES else mapped(buf, values)
     return out
 
 
@@ -144,7 +149,7 @@ def words(buf: np.ndarray, offsets: np.ndarray, values: np.ndarray = BYTES, blan
     if not n:
         none = np.zeros(0, np.int64)
         return Words(buf, offsets, none, none, none, np.zeros(0, U64), low)
-    inside = ~blank[buf]
+    inside = mapped(buf, ~blank)
     cut = np.zeros(n + 1, bool)
     cut[offsets] = True
     begins = inside.copy()
